@@ -13,19 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.session import checkpointed
+
 
 def align_up(value: Column, step: int) -> Column:
     """The least multiple of ``step`` that is not below ``value``, in integer arithmetic."""
-    return F.expr("0L") + (value + F.lit(step - 1)) - F.pmod(value + F.lit(step - 1), F.lit(step))
+    up = value + F.lit(step - 1)
+    return up - F.pmod(up, F.lit(step))
 
 
 def ranged(df: DataFrame, order: Sequence[Column | str], parts: int | None = None) -> DataFrame:
     """Range partitions by the order keys and tags each row with its range, ``_range``.
 
-    The ranges are the order of the keys, so a window over (_range, order) is a piece of the global order.
+    The result is checkpointed: the bounds come from a sample that another evaluation of the same plan may
+    draw differently, and every reader of the tags must see the same ranges.
     """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    return checkpointed(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
 
 
 def running_offset(df: DataFrame, size: str, order: Sequence[str], out: str, parts: int | None = None) -> DataFrame:

@@ -31,3 +31,16 @@ def ship(spark: SparkSession) -> None:
                         z.write(full, os.path.join("lodestone", os.path.relpath(full, PACKAGE_DIR)))
         sc.addPyFile(archive)
     sc._lodestone_shipped = True
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialises ``df`` in the shared checkpoint folder and cuts its lineage.
+
+    The folder is the one the session names in spark.checkpoint.dir; only where that is unset (tests, one
+    machine) does a temporary folder take its place. Files there survive lost executors.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+    return df.checkpoint(eager=True)
