@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -21,15 +23,16 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_lodestone_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        archive = os.path.join(folder, "lodestone.zip")
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-            for at, _, names in os.walk(PACKAGE_DIR):
-                for n in names:
-                    if n.endswith(".py"):
-                        full = os.path.join(at, n)
-                        z.write(full, os.path.join("lodestone", os.path.relpath(full, PACKAGE_DIR)))
-        sc.addPyFile(archive)
+    folder = tempfile.mkdtemp(prefix="lodestone-")  # the driver serves the file for as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "lodestone.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(PACKAGE_DIR):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(at, n)
+                    z.write(full, os.path.join("lodestone", os.path.relpath(full, PACKAGE_DIR)))
+    sc.addPyFile(archive)
     sc._lodestone_shipped = True
 
 
