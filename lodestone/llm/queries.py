@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lodestone.llm import simhash
+from lodestone.llm import bpe, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op4_bpe": bpe.op4_bpe,
     "op8_simhash": simhash.op8_simhash,
 }
 
