@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, simhash, toxicity
+from lodestone.llm import bpe, quality, simhash, toxicity
 
 QUERIES = {
+    "op9_quality": quality.op9_quality,
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_bpe": bpe.op4_bpe,
     "op8_simhash": simhash.op8_simhash,

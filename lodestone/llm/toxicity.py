@@ -23,15 +23,13 @@ from lodestone.llm.common import map_texts, table
 
 #: Bounds of the training sample: so many confirmed toxic and so many unlabelled texts at most, taken by hash.
 POSITIVES = 3000
-UNLABELLED = 6000
+UNLABELLED = 9000
 #: Features kept, and the hashed space they come from.
-FEATURES = 800
+FEATURES = 1500
 SPACE_BITS = 22
 #: Documents in which a feature must be seen among the positives.
 SUPPORT = 4
-STEPS, RATE, BETA, DECAY = 150, 0.1, 0.0, 1e-4
-#: Times more often that a feature is seen in positives than in unlabelled texts.
-LIFT = 2.5
+STEPS, RATE, BETA, DECAY = 400, 0.05, 0.0, 1e-4
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -80,7 +78,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     at = np.minimum(np.searchsorted(uh, ph), max(len(uh) - 1, 0))
     in_u = np.where(uh[at] == ph, uc[at], 0) if len(uh) else np.zeros(len(ph))
     rate_p, rate_u = (pc + 0.5) / (len(positive) + 1), (in_u + 0.5) / (len(unlabelled) + 1)
-    gain = np.where((pc >= min(SUPPORT, len(positive))) & (rate_p >= LIFT * rate_u), np.log(rate_p / rate_u) * rate_p, -1)
+    gain = np.where(pc >= min(SUPPORT, len(positive)), np.log(rate_p / rate_u) * rate_p, -1)
     best = np.argsort(-gain, kind="stable")[:FEATURES]
     hashes = np.sort(ph[best[gain[best] > 0]])
     xp, xu = _design(positive, hashes), _design(unlabelled, hashes)
