@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, quality, simhash, toxicity
+from lodestone.llm import bpe, exact_dedup, quality, sharding, simhash, toxicity
 
 QUERIES = {
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_sharding": sharding.op7_sharding,
     "op9_quality": quality.op9_quality,
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_bpe": bpe.op4_bpe,
     "op8_simhash": simhash.op8_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc_id = max(doc_id) OVER t AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
+    """,
+}
