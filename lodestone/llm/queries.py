@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, decontaminate, exact_dedup, quality, sharding, simhash, toxicity
+from lodestone.llm import bpe, decontaminate, exact_dedup, quality, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_sharding": sharding.op7_sharding,
