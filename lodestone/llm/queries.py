@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, chat, decontaminate, exact_dedup, quality, sharding, simhash, suffix_dedup, toxicity
+from lodestone.llm import bpe, chat, decontaminate, exact_dedup, passages, quality, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
+    "op6_passages": passages.op6_passages,
     "op3_chat": chat.op3_chat,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,

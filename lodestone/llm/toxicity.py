@@ -16,10 +16,11 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_texts, table
+from lodestone.llm.common import map_texts, ship, table
 
 #: Bounds of the training sample: so many confirmed toxic and so many unlabelled texts at most, taken by hash.
 POSITIVES = 3000
@@ -29,7 +30,9 @@ FEATURES = 1500
 SPACE_BITS = 22
 #: Documents in which a feature must be seen among the positives.
 SUPPORT = 4
-STEPS, RATE, BETA, DECAY = 400, 0.05, 0.0, 1e-4
+STEPS, RATE, BETA = 400, 0.05, 0.0
+#: Weight decay times the number of positives: few of them allow small weights only.
+DECAY = 0.2
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -78,10 +81,12 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     at = np.minimum(np.searchsorted(uh, ph), max(len(uh) - 1, 0))
     in_u = np.where(uh[at] == ph, uc[at], 0) if len(uh) else np.zeros(len(ph))
     rate_p, rate_u = (pc + 0.5) / (len(positive) + 1), (in_u + 0.5) / (len(unlabelled) + 1)
-    gain = np.where(pc >= min(SUPPORT, len(positive)), np.log(rate_p / rate_u) * rate_p, -1)
+    sure = np.log(rate_p / rate_u) > 2 * np.sqrt(1 / pc + 1 / (in_u + 0.5))
+    gain = np.where(sure & (pc >= min(SUPPORT, len(positive))), np.log(rate_p / rate_u) * rate_p, -1)
     best = np.argsort(-gain, kind="stable")[:FEATURES]
     hashes = np.sort(ph[best[gain[best] > 0]])
     xp, xu = _design(positive, hashes), _design(unlabelled, hashes)
+    decay = np.float32(DECAY / len(positive))
     tp, tu = np.ascontiguousarray(xp.T), np.ascontiguousarray(xu.T)
     w, b = np.zeros(len(hashes), np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
@@ -95,7 +100,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
         if risk_neg < -BETA:
             push_u, push_p, pull = -push_u, -push_p, np.zeros_like(pull)
         both = pull + push_p
-        grad = np.append(tp @ both.astype(np.float32) + tu @ push_u.astype(np.float32) + DECAY * w, both.sum() + push_u.sum()).astype(np.float32)
+        grad = np.append(tp @ both.astype(np.float32) + tu @ push_u.astype(np.float32) + decay * w, both.sum() + push_u.sum()).astype(np.float32)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - float(move[-1])
@@ -137,6 +142,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_texts(docs, lambda k, texts: {"doc_id": k, "score": [shared.value.score(features(t)) for t in texts]}, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score is under the threshold.
+
+    The rows pass through Python whole, so no join is needed to tell which they are.
+    """
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def over(batches):
+        for batch in batches:
+            clean = [shared.value.score(features(t or "")) < threshold for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(over, docs.schema)
+
+
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(docs, train(docs, labels))
