@@ -49,3 +49,55 @@ def running_offset(df: DataFrame, size: str, order: Sequence[str], out: str, par
         .withColumn(out, (F.col("_before") + F.col("_start")).cast("long"))
         .drop("_range", "_before", "_start")
     )
+
+
+def divide_up(value: Column, by: int) -> Column:
+    """Integer quotient rounded up, for values not below 0."""
+    return (align_up(value, by) / F.lit(by)).cast("long")
+
+
+def padded_layout(df: DataFrame, size: str, order: Sequence[str], step: int, base: int, out: str = "file_offset") -> DataFrame:
+    """Bank layout: payloads start on multiples of ``step`` after ``base``; the last one is not padded.
+
+    Adds ``out`` (start), ``end_offset`` (start plus the unpadded size) and ``stored`` (bytes taken in the file).
+    """
+    sized = df.withColumn("_step", align_up(F.coalesce(F.col(size), F.lit(0)), step))
+    placed = running_offset(sized, "_step", order, "_rel")
+    last = placed.agg(F.max("_rel").alias("_last"))
+    start = align_up(F.lit(base).cast("long"), step) + F.col("_rel")
+    return (
+        placed.join(F.broadcast(last))
+        .withColumn(out, start)
+        .withColumn("end_offset", start + F.coalesce(F.col(size), F.lit(0)))
+        .withColumn("stored", F.when(F.col("_rel") == F.col("_last"), F.col(size)).otherwise(F.col("_step")))
+        .drop("_step", "_rel", "_last")
+    )
+
+
+def seek_index(df: DataFrame, size: str, order: Sequence[str], keyframe: Column, out: str = "byte_offset") -> DataFrame:
+    """Running byte offset of each chunk; only key frames are kept."""
+    return running_offset(df, size, order, out).filter(keyframe)
+
+
+def segment_ranges(df: DataFrame, length: str, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds ``range_start`` and ``range_end``: back-to-back ranges inside each group."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    total = F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("range_end", total).withColumn("range_start", F.col("range_end") - F.col(length))
+
+
+def gcd_of(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
+    """Greatest common divisor of a column, by group: an associative fold, so it is folded per bucket first.
+
+    Values are spread over buckets of equal remainders, each bucket is one array that a higher-order function
+    folds by Euclid's steps, and the bucket results are folded once more; nulls and zeros do not count.
+    """
+    step = lambda a, b: F.aggregate(
+        F.sequence(F.lit(1), F.lit(92)), F.struct(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")),
+        lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.try_mod(s["x"], s["y"]).alias("y"))), lambda s: s["x"],
+    )
+    fold = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), step)
+    v = F.abs(F.col(value).cast("long"))
+    some = df.filter(F.coalesce(v, F.lit(0)) != 0).select(*group, v.alias("_v"), F.pmod(F.xxhash64(v), F.lit(1024)).alias("_b"))
+    first = some.groupBy(*group, "_b").agg(fold(F.collect_set("_v")).alias("_g"))
+    return first.groupBy(*group).agg(fold(F.collect_set("_g")).alias("gcd"))
