@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators import compact, entries, graph, layout, rank, stream
-from lodestone.session import table
+from lodestone.session import checkpointed, table
+from lodestone.sources import files, sinks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -535,3 +536,105 @@ def timeline(spark, sf_dir):
 )
 def safe_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.safe_name(F.col("url")).alias("name"), text.base_name(F.col("url")).alias("base"))
+
+
+ARCHIVE_SQL = """
+    SELECT lang || '/' || source AS file, {path} AS path, CAST(octet_length(encode(text)) AS BIGINT) AS file_size, md5(text) AS digest FROM documents
+"""
+
+
+def _archived(spark, sf_dir):
+    file = F.concat_ws("/", "lang", "source")
+    return table(spark, sf_dir, "documents").select(file.alias("file"), "doc_id", F.concat_ws("/", "source", F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.encode("text", "utf-8").alias("payload"))
+
+
+def _listed(found):
+    return found.select("file", "path", "file_size", F.md5("payload").alias("digest"))
+
+
+@query("package_files", ARCHIVE_SQL.format(path="source || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0')"))
+def package_files(spark, sf_dir):
+    return _listed(files.archive_entries(sinks.package(_archived(spark, sf_dir), "file", "path", "payload"), payload=True))
+
+
+@query("slot_files", ARCHIVE_SQL.format(path="lpad(CAST(doc_id AS VARCHAR), 9, '0')"))
+def slot_files(spark, sf_dir):
+    docs = _archived(spark, sf_dir).withColumn("path", F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+    return _listed(files.archive_entries(sinks.slots(docs, "file", "doc_id", "path", "payload"), payload=True))
+
+
+@query("bank_files", ARCHIVE_SQL.format(path="CAST(doc_id AS VARCHAR)"))
+def bank_files(spark, sf_dir):
+    found = files.archive_entries(sinks.bank(_archived(spark, sf_dir), "file", "doc_id", "payload"), payload=True)
+    return _listed(found.withColumn("path", F.col("entry_id").cast("string")))
+
+
+@query("pair_files", ARCHIVE_SQL.format(path="CAST(row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS VARCHAR)"))
+def pair_files(spark, sf_dir):
+    found = files.archive_entries(sinks.pairs(_archived(spark, sf_dir), "file", "doc_id", "payload"), payload=True)
+    return _listed(found.withColumn("path", F.col("pos").cast("string")))
+
+
+@query(
+    "typed_tables",
+    "SELECT CAST(c_nationkey AS VARCHAR) AS file, c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",
+)
+def typed_tables(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").withColumn("file", F.col("c_nationkey").cast("string"))
+    built = sinks.typed_table(rows, "file", "c_custkey", {"c_custkey": 0x7, "c_name": 0xA, "c_acctbal": 0x9, "c_mktsegment": 0xA})
+    return files.table_rows(built).drop("row_no")
+
+
+@query(
+    "table_storage",
+    """
+    SELECT CAST(n_regionkey AS VARCHAR) AS file, c AS column_name, CASE WHEN c = 'n_regionkey' THEN 48 WHEN c = 'nothing' THEN 16 ELSE 80 END AS flags, COUNT(*) AS n_rows
+    FROM nation, (VALUES ('n_nationkey'), ('n_regionkey'), ('n_name'), ('nothing')) t(c) GROUP BY ALL
+    """,
+)
+def table_storage(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").withColumn("file", F.col("n_regionkey").cast("string")).withColumn("nothing", F.lit(None).cast("int"))
+    built = sinks.typed_table(rows, "file", "n_nationkey", {"n_nationkey": 0x5, "n_regionkey": 0x5, "n_name": 0xA, "nothing": 0x5})
+    return files.table_columns(built).select("file", "column_name", "flags", "n_rows")
+
+
+@query("compressed_payloads", "SELECT page_id, CAST(length(html) AS INT) AS chars, md5(html) AS digest FROM pages")
+def compressed_payloads(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "utf-8").alias("raw"))
+    back = sinks.decompressed(sinks.compressed(pages, "raw", "packed"), "packed", "back")
+    return back.select("page_id", F.length(F.decode("back", "utf-8")).alias("chars"), F.md5("back").alias("digest"))
+
+
+@query("masked_payloads", "SELECT page_id, md5(html) AS digest FROM pages")
+def masked_payloads(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "utf-8").alias("raw"))
+    return sinks.masked(sinks.masked(pages, "raw", "hidden"), "hidden", "back").select("page_id", F.md5("back").alias("digest"))
+
+
+@query(
+    "subtitle_files",
+    """
+    SELECT CAST(user_id AS VARCHAR) AS file, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS cue_no, event_id % 5 AS language_id, event_id * 7 % 100000 AS start, event_type AS text FROM events
+    """,
+)
+def subtitle_files(spark, sf_dir):
+    cues = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("file"), "event_id", (F.col("event_id") % 5).alias("language_id"), F.lit(1000).alias("time_unit"), (F.col("event_id") * 7 % 100000).alias("start"), F.lit(500).alias("duration"), F.col("event_type").alias("text")
+    )
+    return files.subtitles(sinks.subtitle_file(cues, "file", "event_id")).select("file", "cue_no", "language_id", "start", "text")
+
+
+@query(
+    "stream_files",
+    """
+    SELECT CAST(user_id AS VARCHAR) AS file, '@SFA' AS magic, CAST(event_id % 3 AS INT) AS channel, COUNT(*) AS chunks, CAST(SUM(octet_length(encode(props))) AS BIGINT) AS payload_bytes FROM events GROUP BY ALL
+    """,
+)
+def stream_files(spark, sf_dir):
+    chunks = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("file"), "event_id", F.lit("@SFA").alias("magic"), (F.col("event_id") % 3).cast("int").alias("channel"), (F.col("event_id") % 1000).alias("frame_time"), F.encode("props", "utf-8").alias("payload")
+    )
+    built = checkpointed(sinks.stream_file(chunks, "file", ["frame_time", "event_id"]))
+    known = files.stream_directory(built).filter("row > 0").select("file", F.col("stream_id").alias("magic"), "channel")
+    found = files.stream_chunks(built, payload=False).filter("payload_type = 'stream'")
+    return stream.stream_totals(found.join(known, ["file", "magic", "channel"], "left_semi"), ["file", "magic", "channel"], F.col("payload_size"))
