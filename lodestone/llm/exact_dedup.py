@@ -165,11 +165,24 @@ def exact_duplicates(docs: DataFrame, in_snapshot: Column, bucket_size: int = BU
     buckets = max(1, -(-most // bucket_size))
     known = match_snapshot(snapshot, batch, texts.filter("old").select("doc_id", "text"), texts.filter("not old").select("doc_id", "text"), buckets)
     # a batch text joins its snapshot class only once the bytes have been compared
-    owned = snapshot.withColumn("own", F.lit(0)).union(batch.join(known.withColumn("own", F.lit(0)), "digest", "left").select("digest", "keep", "n", F.coalesce("own", F.lit(1)).alias("own")))
-    groups = owned.groupBy("digest", "own").agg(F.max("keep").alias("keep_id"), F.sum("n").alias("group_size"))
-    side = batch.join(known, "digest", "left_semi").select("digest")
-    rows = digested.join(side.withColumn("hit", F.lit(True)), "digest", "left").withColumn("own", F.when(F.col("old") | F.col("hit"), 0).otherwise(1))
-    return rows.join(groups, ["digest", "own"]).select(
+    both = snapshot.select("digest", F.col("keep").alias("old_keep"), F.col("n").alias("old_n")).join(
+        batch.select("digest", F.col("keep").alias("new_keep"), F.col("n").alias("new_n")), "digest", "full"
+    )
+    met = both.join(known.withColumn("hit", F.lit(True)), "digest", "left")
+    one = F.coalesce("hit", F.lit(False))
+    # written out, so that the join below has a plain exchange on either side and hot digests can be split
+    groups = checkpointed(
+        met.select(
+            "digest",
+            F.when(one, F.greatest("old_keep", "new_keep")).otherwise(F.col("old_keep")).alias("old_keep"),
+            F.when(one, F.col("old_n") + F.col("new_n")).otherwise(F.col("old_n")).alias("old_n"),
+            F.when(one, F.greatest("old_keep", "new_keep")).otherwise(F.col("new_keep")).alias("new_keep"),
+            F.when(one, F.col("old_n") + F.col("new_n")).otherwise(F.col("new_n")).alias("new_n"),
+        )
+    )
+    of = lambda old, new: F.when(F.col("old"), F.col(old)).otherwise(F.col(new))
+    rows = digested.join(groups, "digest").select("doc_id", "digest", of("old_keep", "new_keep").alias("keep_id"), of("old_n", "new_n").alias("group_size"))
+    return rows.select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.col("digest").alias("text_sha256")
     )
 
