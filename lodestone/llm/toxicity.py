@@ -30,9 +30,9 @@ FEATURES = 1500
 SPACE_BITS = 22
 #: Documents in which a feature must be seen among the positives.
 SUPPORT = 4
-STEPS, RATE, BETA = 400, 0.05, 0.0
+STEPS, RATE, BETA, CEILING = 400, 0.05, 0.05, 3.0
 #: Weight decay times the number of positives: few of them allow small weights only.
-DECAY = 0.2
+DECAY = 0.02
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -87,20 +87,20 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     hashes = np.sort(ph[best[gain[best] > 0]])
     xp, xu = _design(positive, hashes), _design(unlabelled, hashes)
     decay = np.float32(DECAY / len(positive))
-    tp, tu = np.ascontiguousarray(xp.T), np.ascontiguousarray(xu.T)
     w, b = np.zeros(len(hashes), np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
     sig = lambda g: 1 / (1 + np.exp(-np.clip(g, -500, 500)))
     for step in range(1, STEPS + 1):
-        sp, su = sig((xp @ w).astype(float) + b), sig((xu @ w).astype(float) + b)
-        # logistic loss: l(g,+) = -log s, l(g,-) = -log(1 - s)
-        risk_neg = float(-np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean())
+        gp, gu = (xp @ w).astype(float) + b, (xu @ w).astype(float) + b
+        sp, su = sig(gp), sig(gu)
+        # logistic loss; as a negative, a text costs no more than at CEILING, so what the prior takes back is bounded
+        cost = np.log1p(np.exp(np.minimum(gu, CEILING))).mean() - prior * np.log1p(np.exp(np.minimum(gp, CEILING))).mean()
         pull = prior * (sp - 1) / len(sp)
-        push_u, push_p = su / len(su), -prior * sp / len(sp)
-        if risk_neg < -BETA:
+        push_u, push_p = su * (gu < CEILING) / len(su), -prior * sp * (gp < CEILING) / len(sp)
+        if cost < -BETA * prior:
             push_u, push_p, pull = -push_u, -push_p, np.zeros_like(pull)
         both = pull + push_p
-        grad = np.append(tp @ both.astype(np.float32) + tu @ push_u.astype(np.float32) + decay * w, both.sum() + push_u.sum()).astype(np.float32)
+        grad = np.append(both.astype(np.float32) @ xp + push_u.astype(np.float32) @ xu + decay * w, both.sum() + push_u.sum()).astype(np.float32)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - float(move[-1])
@@ -127,13 +127,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n, toxic = marked.agg(F.count("*"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
     positive = _drawn(marked.filter("toxic = 1").select("doc_id"), POSITIVES).select("doc_id", F.lit(1).alias("side"))
     pool = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    unlabelled = _drawn(pool, UNLABELLED).select("doc_id", F.lit(0).alias("side"))
-    # bounded by the limits above, so safe to broadcast
-    drawn = F.broadcast(positive.union(unlabelled).groupBy("doc_id").agg(F.max("side").alias("side")))
+    unlabelled = _drawn(pool, UNLABELLED).select("doc_id", F.lit(2).alias("side"))
+    # a confirmed text that is drawn among the unlabelled ones too counts on both sides (3): those are a sample of
+    # all texts, or the prior would not hold; bounded by the limits above, so safe to broadcast
+    drawn = F.broadcast(positive.union(unlabelled).groupBy("doc_id").agg(F.sum("side").alias("side")))
     sample = docs.select("doc_id", "text").join(drawn, "doc_id").select(F.col("side").alias("doc_id"), "text")
-    sets = map_texts(sample, lambda k, texts: {"side": k, "f": [features(t) for t in texts]}, "side long, f array<long>").collect()
-    of = lambda side: [np.array(r.f, np.int64) for r in sorted((r for r in sets if r.side == side), key=lambda r: r.f)]
-    return fit(of(1), of(0), (toxic or 0) / n if n else 0.0)
+    packed = lambda t: features(t).astype("<i4").tobytes()  # noqa: E731  as bytes, a feature takes four on the driver
+    sets = map_texts(sample, lambda k, texts: {"side": k, "f": [packed(t) for t in texts]}, "side long, f binary").toArrow()
+    sides, raws = sets.column("side").to_pylist(), sets.column("f").to_pylist()
+    of = lambda side: [np.frombuffer(f, "<i4") for f in sorted(f for s, f in zip(sides, raws) if s & side)]
+    return fit(of(1), of(2), (toxic or 0) / n if n else 0.0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
