@@ -1,0 +1,385 @@
+"""Each document operator against brute force, with nulls, empty and long texts, ties, repeated rows and no rows."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import bpe, chat, decontaminate, exact_dedup, passages, quality, sharding, simhash, suffix_dedup, toxicity
+from lodestone.llm.components import components
+
+RNG = random.Random(7)
+VOCAB = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(2, 6))) for _ in range(400)]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(VOCAB) for _ in range(n))
+
+
+ODD = [(900, None), (901, ""), (902, " \n\t "), (903, "one"), (904, "É É"), (905, "x" * 30000), (906, "ab " * 4000)]
+
+
+def groups(rng, n=40):
+    base = [prose(rng, rng.randint(30, 160)) for _ in range(n)]
+    return [(i, rng.choice(base)) for i in range(2 * n)]
+
+
+# exact duplicates
+
+
+def test_exact_duplicates(frame):
+    rows = groups(random.Random(1)) + ODD + [(950, None), (951, ""), (903, "one")]
+    docs = frame(rows)
+    for old in (F.col("doc_id") < 40, F.lit(True), F.lit(False), F.col("doc_id") % 2 == 0):
+        got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_duplicates(docs, old, 20).collect())
+        by = {}
+        for i, t in rows:
+            by.setdefault(t or "", []).append(i)
+        assert got == Counter((i, max(by[t or ""]), len(by[t or ""]), i == max(by[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    assert exact_dedup.exact_duplicates(frame([]), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 50, 20000])
+def test_fuse_filter(n):
+    keys = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)
+    f = exact_dedup.FuseFilter.unpack(exact_dedup.FuseFilter(np.concatenate([keys, keys])).pack())
+    assert f.may_hold(keys).all()
+    if n > 1000:
+        assert len(f.cells) < 1.4 * n
+        assert f.may_hold(np.random.default_rng(1 + n).integers(0, 2**63, 20000).astype(np.uint64)).mean() < 0.01
+
+
+# near duplicates
+
+
+def near_rows(rng):
+    rows = groups(rng)
+    for i, (_, t) in enumerate(rows[:30]):
+        w = t.split()
+        w[rng.randrange(len(w))] = "changed"
+        rows.append((200 + i, " ".join(w)))
+    return rows + ODD + [(903, "one")]
+
+
+@pytest.mark.parametrize("words", [4, 5])
+def test_simhash(frame, words):
+    rows = near_rows(random.Random(2))
+    got = simhash.near_duplicates(frame(rows), words).collect()
+    fps = [simhash.majority(simhash.shingle_hashes(t or "", words)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if bin(fps[a] ^ fps[b]).count("1") <= 4:
+                root[find(a)] = find(b)
+    least = {}
+    for a, (i, _) in enumerate(rows):
+        least[find(a)] = min(least.get(find(a), i), i)
+    want = Counter((i, np.uint64(fps[a]).view(np.int64).item(), least[find(a)]) for a, (i, _) in enumerate(rows))
+    assert Counter((r.doc_id, r.fp, r.component_id) for r in got) == want
+    assert simhash.near_duplicates(frame([])).count() == 0
+
+
+def test_majority_by_bits():
+    from xxhash import xxh64_intdigest
+
+    words = prose(random.Random(3), 700).split()
+    hashes = [xxh64_intdigest(" ".join(words[i : i + 4]), 42) for i in range(len(words) - 3)]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert simhash.majority(simhash.shingle_hashes(" ".join(words), 4)) == want
+
+
+def test_every_ball_is_probed(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    made = set(base)
+    for b in base:
+        for _ in range(3):
+            made.add(b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 5))))
+    signed = [int(np.uint64(x).view(np.int64)) for x in made]
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    assert got == {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 4}
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2001 + i) for i in range(40)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    for a, b in pairs:
+        for x in (a, b):
+            assert got.get(x, x) == find(x)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# substring duplicates
+
+
+def removed(rows):
+    seen, out = {}, []
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            w = raw[k : k + 100]
+            if seen.setdefault(w, (i, k)) != (i, k):
+                gone[k : k + 100] = b"\1" * 100
+        kept = bytes(x for x, g in zip(raw, gone) if not g)
+        spans = sum(1 for k in range(len(raw)) if gone[k] and not (k and gone[k - 1]))
+        out.append((i, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("owner_bytes", [1 << 25, 300])
+def test_substring_dedup(frame, monkeypatch, owner_bytes):
+    monkeypatch.setattr(suffix_dedup, "OWNER_BYTES", owner_bytes)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 5000)
+    rng = random.Random(6)
+    shared = [prose(rng, 40) for _ in range(5)]
+    rows = [(i, prose(rng, rng.randint(5, 60)) + " " + rng.choice(shared)[rng.randint(0, 60) :] + " " + prose(rng, 20)) for i in range(50)]
+    rows += groups(rng, 6) and [(100 + i, t) for i, t in groups(rng, 6)] + [r for r in ODD if r[0] != 905] + [(907, "y" * 3000)]
+    got = suffix_dedup.remove_repeats(frame(rows)).collect()
+    assert Counter(tuple(r) for r in got) == Counter(removed(rows))
+    assert suffix_dedup.remove_repeats(frame([])).count() == 0
+
+
+def test_repeated_rows_are_one_document(frame):
+    text = prose(random.Random(8), 60)
+    got = suffix_dedup.remove_repeats(frame([(1, text), (1, text), (2, text)])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, len(text))]
+
+
+def test_segments_join(frame, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 150)
+    rng = random.Random(9)
+    rows = [(1, prose(rng, 200)), (2, prose(rng, 90))]
+    rows += [(3, rows[0][1][100:700] + rows[1][1])]
+    assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(frame(rows)).collect()) == Counter(removed(rows))
+
+
+def test_suffix_array():
+    rng = random.Random(10)
+    for _ in range(200):
+        s = bytes(rng.choice(rng.choice([b"a", b"ab", b"abcdef"])) for _ in range(rng.randint(0, 200)))
+        assert suffix_dedup.suffix_array(np.frombuffer(s, np.uint8), 300).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+# passages
+
+
+def test_passages(frame):
+    rng = random.Random(11)
+    shared = [prose(rng, 70) for _ in range(4)]
+    rows = [(i, prose(rng, rng.randint(10, 90)) + " " + shared[i % 4] + "\n" + prose(rng, 30)) for i in range(24)]
+    rows += [(100 + i, prose(rng, 120)) for i in range(20)]
+    near = shared[0].split()
+    near[35] = "other"
+    rows += [(200, prose(rng, 50) + " " + " ".join(near))] + ODD
+    got = passages.near_passages(frame(rows)).collect()
+    linked = {(r.first_id, r.doc_id) for r in got}
+    assert {(i % 4, i) for i in range(4, 24)} | {(0, 200)} <= linked
+    assert all(i % 4 == j % 4 and i < 24 and (j < 24 or j == 200) for i, j in linked)
+    texts = {i: (t or "").split() for i, t in rows}
+    for r in got:
+        a, b = (texts[d][w : w + r.n_words] for d, w in ((r.first_id, r.first_word), (r.doc_id, r.word)))
+        assert r.n_words >= 50 and len(a) == len(b) == r.n_words and 0.8 <= r.similarity <= 1
+        assert sum(x == y for x, y in zip(a, b)) >= 0.9 * r.n_words
+    assert passages.near_passages(frame([])).count() == 0
+
+
+def test_least_tokens():
+    v = np.random.default_rng(0).integers(0, 2**63, 500).astype(np.uint64)
+    least, place = passages.least_tokens(v)
+    for i in range(len(least)):
+        w = v[i : i + passages.WINDOW]
+        assert least[i] == w.min() and v[place[i]] == w.min() and i <= place[i] < i + passages.WINDOW
+
+
+# benchmark overlaps
+
+
+def test_decontamination(frame, spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, prose(rng, rng.randint(15, 50))) for i in range(12)] + [(50, None), (51, ""), (52, "short one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows, want = [], set()
+    for i in range(60):
+        t = prose(rng, 60)
+        if i % 3 == 0:
+            item, passage = items[i % 12]
+            w = passage.upper().split()
+            if i % 2:
+                for k in range(4, len(w), 9):
+                    w[k] = "subst"
+            t, want = prose(rng, i) + ", " + " ".join(w) + ". " + t, want | {(i, item)}
+        rows.append((i, t))
+    rows += ODD
+    for bound in (10**6, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", bound)
+        got = decontaminate.overlaps(frame(rows), bench).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
+        assert all(r.n_equal >= 0.8 * r.n_words and r.n_words >= 10 for r in got)
+    clean = decontaminate.decontaminate(frame(rows), bench)
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _ in rows if i not in {a for a, _ in want})
+    assert decontaminate.overlaps(frame([]), bench).count() == 0
+    assert decontaminate.overlaps(frame(rows), bench.limit(0)).count() == 0
+
+
+# shards
+
+
+def test_sharding(frame):
+    rows = groups(random.Random(13)) + ODD + [(903, "one"), (None, "nobody")]
+    rows += [(3000 + i, "hot") for i in range(200)]
+    got = sharding.shard_rows(frame(rows), 16).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    counts = Counter(r.shard for r in got)
+    assert set(counts) == set(range(16)) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(counts[s])) for s in counts)
+    sizes = {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows}
+    assert {(r.doc_id, r.size, r.text_crc32) for r in got} == sizes
+    # the same as serving the ring row by row
+    points = sharding.ring(16)
+    arcs = Counter(sharding.arc_number(int(hashlib.md5((t or "").encode()).hexdigest()[:8], 16), points) for _, t in rows)
+    room = [len(rows) // 16 + (s < len(rows) % 16) for s in range(16)]
+    want = Counter()
+    for arc in range(len(points)):
+        for _ in range(arcs[arc]):
+            at = arc
+            while want[points[at % len(points)][1]] >= room[points[at % len(points)][1]]:
+                at += 1
+            want[points[at % len(points)][1]] += 1
+    assert counts == want
+    assert sharding.shard_rows(frame([])).count() == 0
+
+
+# tokens
+
+
+def test_bpe_equals_the_library(frame):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(14)
+    letters = ["ab", "aab \n", "hello wrd'st.,", "éèêñßü ", "0123 ", "  \t\n x", "日本語 ", "🙂 a", "=-_ "]
+    rows = [(i, "".join(rng.choice(rng.choice(letters)) for _ in range(rng.randint(0, 80)))) for i in range(400)]
+    rows += ODD + [(950, "<|endoftext|> a<|endoftext|>"), (951, "a" * 5000), (952, " " * 99 + "x"), (953, "I'll  we've\n\n they're")]
+    got = {r.doc_id: r for r in bpe.round_trip(frame(rows)).collect()}
+    for i, t in rows:
+        ids = ref.encode(t or "", add_special_tokens=False).ids
+        back = ref.decode(ids, skip_special_tokens=False)
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()), t
+        assert got[i].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
+    texts = {r.doc_id: r.text for r in bpe.decode(bpe.encode(frame(rows))).collect()}
+    assert texts == {i: t or "" for i, t in rows}
+    assert bpe.round_trip(frame([])).count() == 0
+
+
+def test_cache_turns_over(monkeypatch):
+    t = bpe.tokenizer(bpe._spec(None))
+    texts = [prose(random.Random(i), 50) for i in range(60)]
+    first = [x.tolist() for x in t.encode(texts)]
+    monkeypatch.setattr(t.words, "most", 5)
+    monkeypatch.setattr(t.chunks, "most", 5)
+    assert [t.encode([x])[0].tolist() for x in texts] == first
+
+
+# chats
+
+
+def test_chat_folding(spark):
+    log = [
+        (1, 0, "message", 1, "user", "hi"), (1, 1, "message", 2, "assistant", "he"), (1, 2, "delta", 2, None, "llo"), (1, 3, "edit", 1, None, "Hi</s>"),
+        (1, 4, "message", 3, "user", "more"), (1, 5, "regenerate", 2, None, ""), (1, 6, "delta", 2, None, "again"), (1, 7, "delta", None, None, "!"),
+        (2, 0, None, None, None, None), (3, 1, "message", 1, "a\nb\\", "[INST]\\"),
+    ]
+    events = spark.createDataFrame(log, "conv_id long, seq long, kind string, message long, role string, text string").repartition(3)
+    got = {r.conv_id: r for r in chat.format_chats(events).collect()}
+    assert chat.parse(got[1].formatted) == [("user", "Hi</s>"), ("assistant", "again!")]
+    assert [got[1].formatted[s.begin : s.end] for s in got[1].loss] == ["again!"]
+    assert chat.parse(got[2].formatted) == [("", "")] and chat.parse(got[3].formatted) == [("a\nb\\", "[INST]\\")]
+    assert chat.format_chats(events.limit(0)).count() == 0
+
+
+def test_chat_query(spark):
+    data = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{data}/conversations.parquet").collect()
+    by = {-7: [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]}
+    for r in rows:
+        by.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
+    got = {r.conv_id: r for r in chat.op3_chat(spark, data).collect()}
+    assert got.keys() == by.keys()
+    for c, turns in by.items():
+        turns = sorted(turns)
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        assert (got[c].n_turns, got[c].loss_chars) == (len(turns), len(loss))
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
+        assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_escapes():
+    rng = random.Random(15)
+    parts = ["<", "s", ">", "/", "\\", "[INST]", "</s>", "n", "\n", "<<SYS>>", "|im_start|>", "<|"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert chat.unescape(chat.escape(t)) == t and not any(c in chat.escape(t) for c in chat.CONTROLS)
+        assert chat.parse(chat.render([(t, t), ("assistant", t)])[0]) == [(t, t), ("assistant", t)]
+
+
+# classifiers
+
+
+def labelled(rng, n=900):
+    docs, labels = [], []
+    for i in range(n):
+        toxic, junk = rng.random() < 0.25, rng.random() < 0.3
+        t = prose(rng, rng.randint(20, 90))
+        if toxic:
+            w = t.split()
+            for _ in range(4):
+                w.insert(rng.randrange(len(w)), rng.choice(["awfulword", "nastyword"]))
+            t = " ".join(w)
+        if junk:
+            t = t.upper().replace(" ", "!! ")
+        docs.append((i, t))
+        labels.append((i, 0 if junk else 1, int(toxic)))
+    return docs, labels
+
+
+@pytest.mark.parametrize("module, column, cut, mod, rest", [(toxicity, "toxic", 0.5, 5, 0), (quality, "quality", 0.7, 4, 2)])
+def test_classifiers(spark, frame, module, column, cut, mod, rest):
+    docs, labels = labelled(random.Random(16))
+    marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = module.train(frame(docs + ODD), marked)
+    scores = {r.doc_id: r.score for r in module.score(frame(docs + ODD + [(903, "one")]), model).collect()}
+    assert scores.keys() == {i for i, _ in docs + ODD} and all(0 <= s <= 1 for s in scores.values())
+    truth = {r[0]: r[1] if column == "quality" else r[2] for r in labels}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % mod == rest]
+    assert np.mean([(scores[i] >= cut) == (truth[i] == 1) for i in held]) > 0.95
+    # labels of held-out rows have no say
+    flipped = [(i, 1 - q if zlib.crc32(str(i).encode()) % mod == rest else q, 1 - t if zlib.crc32(str(i).encode()) % mod == rest else t) for i, q, t in labels]
+    other = module.train(frame(docs + ODD), spark.createDataFrame(flipped, marked.schema))
+    again = {r.doc_id: r.score for r in module.score(frame(docs + ODD), other).collect()}
+    assert all(abs(again[i] - scores[i]) < 1e-9 for i in again)
+    empty = module.train(frame([]), marked.limit(0))
+    assert all(0 <= r.score <= 1 for r in module.score(frame(docs[:5] + ODD), empty).collect())
+    assert module.score(frame([]), model).count() == 0
