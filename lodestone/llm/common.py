@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import checkpointed, ship, table
 
-__all__ = ["checkpointed", "ship", "table", "map_texts", "pieces", "whole_text", "fresh"]
+__all__ = ["checkpointed", "ship", "table", "map_texts", "pieces", "whole_text", "fresh", "release"]
 
 #: Bytes of text that a Python worker expands at a time; a longer single text is a piece of its own.
 PIECE_BYTES = 4 << 20
@@ -33,6 +35,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps.
+
+    Spark's cleaner removes them once the driver has collected the plans that own them; what Python still
+    refers to goes in one round, what the JVM then lets go in the next.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def pieces(batch: pa.RecordBatch, column: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most about ``most`` bytes of text each."""
     import pyarrow.compute as pc

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, pieces, ship, table, whole_text
+from lodestone.llm.common import checkpointed, pieces, release, ship, table, whole_text
 
 LENGTH = 100
 GRAM = 32
 #: Bytes of a text that are hashed at a time.
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 #: Bytes of snippets in a bucket, on average.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 2 << 20
 _STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
@@ -227,14 +227,6 @@ def _place_rows(doc, tid, raw, run) -> dict:
     return {"owner": hashes.view(np.int64), "same": same.view(np.int64), "doc_id": np.full(len(starts), doc), "tid": np.full(len(starts), tid, np.int32), "start": starts.astype(np.int32), "windows": counts.astype(np.int32)}
 
 
-def release(spark) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps: it waits for the driver to collect garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shared_places(texts: DataFrame) -> DataFrame:
     """(owner, same, doc_id, tid, start, windows) of every snippet whose owner is seen more than once."""
     seen = _map_runs(texts, "owner long, again boolean", _owner_rows)
