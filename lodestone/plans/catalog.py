@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import compact, entries, graph, layout, rank, stream
+from lodestone.operators import compact, cues, entries, graph, layout, rank, stream
 from lodestone.session import checkpointed, table
 from lodestone.sources import files, sinks
 
@@ -638,3 +638,79 @@ def stream_files(spark, sf_dir):
     known = files.stream_directory(built).filter("row > 0").select("file", F.col("stream_id").alias("magic"), "channel")
     found = files.stream_chunks(built, payload=False).filter("payload_type = 'stream'")
     return stream.stream_totals(found.join(known, ["file", "magic", "channel"], "left_semi"), ["file", "magic", "channel"], F.col("payload_size"))
+
+
+@query(
+    "cue_edges",
+    """
+    SELECT 'cue:' || CAST(o_orderkey AS VARCHAR) AS src,
+           CASE o_orderkey % 10 WHEN 1 THEN 'waveform' WHEN 2 THEN 'synth' WHEN 3 THEN 'sequence' WHEN 5 THEN 'outside_link' WHEN 6 THEN 'synth' WHEN 7 THEN 'sequence' WHEN 8 THEN 'block_sequence' WHEN 9 THEN 'block_sequence'
+             ELSE 'unknown-' || CAST(o_orderkey % 10 AS VARCHAR) END || ':' || CAST(o_custkey AS VARCHAR) AS dst,
+           CASE WHEN o_orderkey % 10 = 5 THEN 'outside_link' ELSE 'reference' END AS kind, 0 AS ordinal
+    FROM orders WHERE o_orderkey % 10 <> 0 AND o_custkey <> 65535
+    """,
+)
+def cue_edges(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return cues.reference_edges(rows, cues.node("cue", F.col("o_orderkey")), F.col("o_orderkey") % 10, F.col("o_custkey"), "reference")
+
+
+@query(
+    "track_edges",
+    """
+    SELECT 'sequence:' || CAST(n_nationkey AS VARCHAR) AS src, 'track:' || CAST(n_nationkey * 3 + i AS VARCHAR) AS dst, 'track' AS kind, CAST(i AS INT) AS ordinal
+    FROM nation, range(0, 10) t(i) WHERE i < n_regionkey
+    """,
+)
+def track_edges(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation")
+    return cues.range_edges(rows, cues.node("sequence", F.col("n_nationkey")), F.col("n_nationkey") * 3, F.col("n_regionkey"), "track", "track")
+
+
+@query(
+    "choice_paths",
+    """
+    WITH o AS (SELECT DISTINCT user_id AS cue, event_type AS selector, event_id % 3 AS v FROM events WHERE event_type IN ('click', 'view', 'purchase')),
+         n AS (SELECT cue, selector, COUNT(*) AS c FROM o GROUP BY 1, 2)
+    SELECT cue, CAST(product(c) AS BIGINT) AS paths FROM n GROUP BY 1
+    """,
+)
+def choice_paths(spark, sf_dir):
+    events = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view", "purchase"))
+    options = events.select(F.col("user_id").alias("cue"), F.col("event_type").alias("selector"), (F.col("event_id") % 3).alias("v")).distinct()
+    return cues.choice_paths(options, "cue", "selector", "v").groupBy("cue").agg(F.count("*").alias("paths"))
+
+
+@query(
+    "plan_names",
+    """
+    SELECT o_orderkey, lpad(CAST(n AS VARCHAR), 4, '0') || '_' || o_orderstatus || CASE WHEN c > 1 THEN '_variant-' || CAST(n AS VARCHAR) ELSE '' END || '.wav' AS file_name
+    FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, COUNT(*) OVER (PARTITION BY o_custkey) AS c FROM orders)
+    """,
+)
+def plan_names(spark, sf_dir):
+    plans = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return cues.plan_names(plans, "o_custkey", "o_orderstatus", ["o_orderkey"]).select("o_orderkey", "file_name")
+
+
+@query(
+    "command_schedule",
+    """
+    SELECT event_id, CAST(COALESCE(SUM(event_id % 7) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_time FROM events
+    """,
+)
+def command_schedule(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 7).alias("wait"))
+    return cues.scheduled(rows, ["user_id"], "event_id", F.col("wait")).select("event_id", F.col("at").alias("at_time"))
+
+
+@query(
+    "conflict_paths",
+    """
+    WITH e AS (SELECT p_partkey, p_brand AS path, p_size AS ident FROM part)
+    SELECT p_partkey, CASE WHEN COUNT(*) OVER (PARTITION BY path) = 1 THEN path WHEN COUNT(*) OVER (PARTITION BY path, ident) = 1 THEN path || '_' || CAST(ident AS VARCHAR)
+           ELSE path || '_' || CAST(ident AS VARCHAR) || '_' || CAST(p_partkey AS VARCHAR) END AS safe_path FROM e
+    """,
+)
+def conflict_paths(spark, sf_dir):
+    return entries.conflict_paths(table(spark, sf_dir, "part"), "p_brand", "p_size", "p_partkey").select("p_partkey", "safe_path")

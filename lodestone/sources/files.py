@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lodestone.codecs import adx, archives, stream
+from lodestone.codecs import adx, archives, media, stream
 from lodestone.codecs import table as tables
 from lodestone.session import ship
 
@@ -109,7 +109,9 @@ CUE = "cue_no int, language_id long, time_unit long, start long, duration long,
 
 
 def subtitles(blobs: DataFrame, kind: str = "sbt", errors: str = "raise") -> DataFrame:
-    read = stream.parse_subtitles if kind == "sbt" else lambda raw: stream.parse_srt(raw.decode("utf-8-sig", "replace"))
+    """Cues of sbt, srt or ass files."""
+    text = {"srt": stream.parse_srt, "ass": media.parse_ass}.get(kind)
+    read = (lambda raw: text(raw.decode("utf-8-sig", "replace"))) if text else stream.parse_subtitles
     return parsed(blobs, read, CUE, errors)
 
 
@@ -141,3 +143,21 @@ def decoded_audio(blobs: DataFrame, errors: str = "raise") -> DataFrame:
 
 def commands(blobs: DataFrame, errors: str = "raise") -> DataFrame:
     return parsed(blobs, stream.parse_commands, "command_no int, code int, value binary", errors)
+
+
+def nested_tables(blobs: DataFrame, depth: int = 4, errors: str = "raise") -> DataFrame:
+    """All tables inside typed tables, to a depth: cue sheets and banks keep their parts this way."""
+    return parsed(blobs, lambda raw: media.nested_tables(raw, depth), "place string, table_name string, n_rows long, n_columns int", errors)
+
+
+def looped_segments(blobs: DataFrame, errors: str = "raise") -> DataFrame:
+    return parsed(blobs, media.parse_segments, "segment int, loops boolean, channels int, rate long, samples long, size long", errors)
+
+
+def sound_elements(blobs: DataFrame, errors: str = "raise") -> DataFrame:
+    return parsed(blobs, media.parse_elements, "element int, path string, format int, channels int, streamed boolean, rate long, samples long, size long", errors)
+
+
+def transform_headers(blobs: DataFrame, errors: str = "raise") -> DataFrame:
+    schema = "version int, header_size int, channels int, rate long, frames long, delay int, padding int, frame_size int, min_resolution int, max_resolution int, loop_start long, loop_end long, cipher int, volume float, samples long"
+    return parsed(blobs, lambda raw: [media.parse_transform_header(raw)], schema, errors)

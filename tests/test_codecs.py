@@ -166,3 +166,28 @@ def test_checks():
     rng = random.Random(1)
     raw = bytes(rng.randrange(256) for _ in range(99))
     assert stream.parse_wav(stream.build_wav(raw + b"\0", 8000, 1))["samples"] == 50
+
+
+def test_nested_containers():
+    from lodestone.codecs import media
+
+    tone = adx.encode(np.zeros((64, 1), np.int16), 8000)
+    assert [(s["samples"], s["loops"]) for s in media.parse_segments(media.build_segments([(tone, False), (tone, True)]))] == [(64, False), (64, True)]
+    with pytest.raises(FormatError):
+        media.parse_segments(media.build_segments([(tone, False), (adx.encode(np.zeros((64, 1), np.int16), 16000), True)]))
+    made = media.build_elements([{"name": "a/b", "data": tone, "fmt": 0, "nch": 1, "stmflg": 0, "sfreq": 8000, "nsmpl": 64}])
+    assert media.parse_elements(made)[0]["path"] == "a/b"
+    assert [t["place"] for t in media.nested_tables(made)] == ["", "/utf[0]"]
+    assert media.parse_ass("Dialogue: 0,0:00:01.50,0:00:02.00,Default,,0,0,0,,{\\i1}Hi\\Nyou, too")[0]["text"] == "Hi\nyou, too"
+
+
+def test_transform_header():
+    from lodestone.codecs import media
+
+    body = b"HCA\0" + struct.pack(">HH", 0x200, 8 + 16 + 16 + 6 + 2) + b"fmt\0" + struct.pack(">IIHH", 2 << 24 | 48000, 10, 128, 0)
+    body += b"comp" + struct.pack(">HBBBBBBBBBB", 512, 1, 15, 1, 0, 100, 100, 0, 0, 0, 0) + b"ciph" + struct.pack(">H", 56)
+    raw = body + struct.pack(">H", checks.crc16(body))
+    head = media.parse_transform_header(raw)
+    assert (head["channels"], head["rate"], head["samples"], head["cipher"], head["frame_size"]) == (2, 48000, 10112, 56, 512)
+    with pytest.raises(FormatError):
+        media.parse_transform_header(raw[:-1] + b"\xff")
