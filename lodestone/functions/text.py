@@ -124,3 +124,22 @@ MAGICS = (
     (b"\x00\x00\x00\x01", "h264"),
     (b"\x80\x00", "adx"),
 )
+
+
+def lookup_path(path: Column) -> Column:
+    """Key of case-insensitive path look-ups: normal slashes, ASCII upper case."""
+    return upper_ascii(normal_path(path))
+
+
+def packed_time(stamp: Column) -> Column:
+    """Six numbers (year, month, day, hour, minute, second) as a timestamp; null where they are no date."""
+    return F.try_make_timestamp(*[F.get(stamp, F.lit(i)) for i in range(6)])
+
+
+def unescape_markup(c: Column) -> Column:
+    """Subtitle text without {..} markup, \\N as a line break."""
+    return F.regexp_replace(F.regexp_replace(c, r"\{[^}]*\}", ""), r"\\[Nn]", "\n")
+
+
+def escape_markup(c: Column) -> Column:
+    return F.regexp_replace(c, "\r?\n", r"\\\\N")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import compact, cues, entries, graph, layout, rank, stream
+from lodestone.operators import compact, cues, entries, graph, joins, layout, rank, stream
 from lodestone.session import checkpointed, table
 from lodestone.sources import files, sinks
 
@@ -714,3 +714,148 @@ def command_schedule(spark, sf_dir):
 )
 def conflict_paths(spark, sf_dir):
     return entries.conflict_paths(table(spark, sf_dir, "part"), "p_brand", "p_size", "p_partkey").select("p_partkey", "safe_path")
+
+
+@query("last_header", "SELECT c_custkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def last_header(spark, sf_dir):
+    streams = table(spark, sf_dir, "customer").select("c_custkey")
+    headers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    return joins.last_header(streams, headers, ["c_custkey"], "o_orderkey", "o_orderstatus")
+
+
+@query("first_match", "SELECT c_custkey, MIN(o_orderkey) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def first_match(spark, sf_dir):
+    entries_ = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return joins.first_match(table(spark, sf_dir, "customer").select("c_custkey"), entries_, "c_custkey", "o_orderkey")
+
+
+@query(
+    "bank_choice",
+    """
+    WITH e AS (SELECT 'memory' AS bank, s_suppkey AS id, s_name AS entry FROM supplier UNION ALL SELECT 'stream', c_custkey, c_name FROM customer)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, entry FROM lineitem LEFT JOIN e ON bank = CASE WHEN l_linenumber > 3 THEN 'stream' ELSE 'memory' END AND id = CASE WHEN l_linenumber > 3 THEN l_partkey ELSE l_suppkey END
+    """,
+)
+def bank_choice(spark, sf_dir):
+    memory = table(spark, sf_dir, "supplier").select(F.lit("memory").alias("bank"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("entry"))
+    stream_ = table(spark, sf_dir, "customer").select(F.lit("stream").alias("bank"), F.col("c_custkey").alias("id"), F.col("c_name").alias("entry"))
+    waves = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return joins.by_bank(waves, memory.union(stream_), F.col("l_linenumber") > 3, "l_suppkey", "l_partkey", "bank", "id").drop("bank", "id")
+
+
+@query(
+    "companions",
+    """
+    SELECT 'f' || CAST(p_partkey AS VARCHAR) || '.acb' AS path, CASE WHEN p_partkey % 3 = 0 THEN 'f' || CAST(p_partkey AS VARCHAR) || '.awb' END AS companion FROM part
+    """,
+)
+def companions(spark, sf_dir):
+    stem = F.concat(F.lit("f"), F.col("p_partkey").cast("string"))
+    parts = table(spark, sf_dir, "part")
+    listed = parts.select(F.concat(stem, F.lit(".acb")).alias("path")).union(parts.filter("p_partkey % 3 = 0").select(F.concat(stem, F.lit(".awb"))))
+    return joins.companions(listed, "path", ".acb", ".awb")
+
+
+@query(
+    "resolved_names",
+    """
+    SELECT o_orderkey, n_name, k <> 3 AND n_name IS NULL AS dangling FROM (SELECT o_orderkey, o_orderkey % 30 AS k FROM orders) LEFT JOIN nation ON n_nationkey = k
+    """,
+)
+def resolved_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 30).alias("k"))
+    return joins.resolve_index(rows, "k", table(spark, sf_dir, "nation"), "n_nationkey", "n_name", 3).select("o_orderkey", "n_name", "dangling")
+
+
+@query(
+    "append_absent",
+    """
+    SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS kinds FROM (SELECT user_id, event_type, MIN(event_id) AS first FROM events GROUP BY 1, 2) GROUP BY 1
+    """,
+)
+def append_absent(spark, sf_dir):
+    listed = joins.append_absent(table(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id", "kinds")
+    return listed.select("user_id", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query("disagreeing", "SELECT o_custkey, MIN(o_orderstatus) AS least_o_orderstatus, MAX(o_orderstatus) AS most_o_orderstatus FROM orders GROUP BY 1 HAVING MIN(o_orderstatus) <> MAX(o_orderstatus)")
+def disagreeing(spark, sf_dir):
+    return joins.disagreeing(table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus"), ["o_custkey"], ["o_orderstatus"])
+
+
+@query("inferred_lengths", "SELECT user_id, MAX(event_id + length(props)) AS inferred FROM events GROUP BY 1")
+def inferred_lengths(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.length("props").cast("long").alias("n"))
+    return joins.inferred_lengths(rows, ["user_id"], "event_id", "n")
+
+
+@query("clock_90k", "SELECT event_id, CAST(round(event_id * 0.125 * 90000) AS BIGINT) AS scr FROM events")
+def clock_90k(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", stream.clock_90k(F.col("event_id") * F.lit(0.125)).alias("scr"))
+
+
+@query(
+    "lookup_paths",
+    """
+    SELECT page_id, translate(trim(regexp_replace(replace(url, chr(92), '/'), '/+', '/', 'g'), '/'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS key FROM pages
+    """,
+)
+def lookup_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.lookup_path(F.col("url")).alias("key"))
+
+
+@query(
+    "table_edits",
+    """
+    SELECT n_nationkey, CASE WHEN n_nationkey = 4 THEN 'changed' ELSE n_name END AS n_name, CAST(NULL AS VARCHAR) AS n_regionkey, CAST(NULL AS INTEGER) AS added FROM nation
+    """,
+)
+def table_edits(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return compact.add_column(compact.retype_column(compact.set_cell(rows, "n_nationkey", 4, "n_name", "changed"), "n_regionkey", "string"), "added", "int")
+
+
+@query(
+    "entries_added",
+    """
+    SELECT CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS BIGINT) AS pos, r_name AS name FROM region
+    UNION ALL SELECT (SELECT COUNT(*) FROM region) + row_number() OVER (ORDER BY n_nationkey) - 1, n_name FROM nation
+    """,
+)
+def entries_added(spark, sf_dir):
+    old = entries.numbered(table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("name")), ["r_regionkey"]).drop("r_regionkey")
+    new = entries.numbered(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name")), ["n_nationkey"]).drop("n_nationkey")
+    return entries.add_entries(old, new)
+
+
+@query("renamed_paths", "SELECT page_id, 'out/' || regexp_extract(url, '([^/]*)$', 1) AS moved FROM pages")
+def renamed_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", entries.rename_path(F.col("url"), directory="out").alias("moved"))
+
+
+@query("export_names", "SELECT page_id, CAST(page_id AS VARCHAR) || '-page.html' AS name FROM pages")
+def export_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.template("?i-?s.?e", F.col("page_id"), F.lit("html"), F.lit("page")).alias("name"))
+
+
+@query("best_tied", "SELECT c_nationkey, c_custkey FROM (SELECT *, rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS r FROM customer) WHERE r = 1")
+def best_tied(spark, sf_dir):
+    return rank.with_ties(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_mktsegment"), ["c_nationkey"], [F.col("c_mktsegment")]).select("c_nationkey", "c_custkey")
+
+
+@query(
+    "best_supported",
+    """
+    SELECT c_nationkey, n, s, v FROM (SELECT c_nationkey, COUNT(*) AS n, round(MAX(c_acctbal), 2) AS s, length(c_mktsegment) AS v FROM customer GROUP BY c_nationkey, length(c_mktsegment))
+    QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, s DESC, v) = 1
+    """,
+)
+def best_supported(spark, sf_dir):
+    groups = table(spark, sf_dir, "customer").groupBy("c_nationkey", F.length("c_mktsegment").cast("long").alias("v")).agg(F.count("*").alias("n"), F.round(F.max("c_acctbal"), 2).alias("s"))
+    return rank.best_by(groups, ["c_nationkey"], "n", "s", "v")
+
+
+@query("sector_extents", "SELECT doc_id, CAST(COALESCE(SUM((n_chars + 2047) // 2048) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS extent FROM documents")
+def sector_extents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", layout.divide_up(F.col("n_chars"), 2048).alias("sectors"))
+    return layout.running_offset(docs, "sectors", ["doc_id"], "extent").select("doc_id", "extent")
