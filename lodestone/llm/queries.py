@@ -23,4 +23,21 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
     """,
+    # the escaped length: a character more for each backslash, control string and line break in a role
+    "op3_chat": r"""
+        WITH rows_ AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) t(conv_id, turn, role, text)),
+        sized AS (
+          SELECT *, length(regexp_replace(replace(text, chr(92), chr(92) || chr(92)), '(<</SYS>>|<\|endoftext\|>|<\|im_start\|>|<\|im_end\|>|<<SYS>>|\[/INST\]|\[INST\]|</s>|<s>)', '_\1', 'g')) AS text_size,
+                 length(regexp_replace(replace(role, chr(92), chr(92) || chr(92)), '(<</SYS>>|<\|endoftext\|>|<\|im_start\|>|<\|im_end\|>|<<SYS>>|\[/INST\]|\[INST\]|</s>|<s>)', '_\1', 'g'))
+                   + length(role) - length(replace(role, chr(10), '')) AS role_size
+          FROM rows_)
+        SELECT CAST(conv_id AS BIGINT) AS conv_id, COUNT(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(SUM(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(SUM(3 + role_size + 1 + text_size + 4) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY 1
+    """,
 }

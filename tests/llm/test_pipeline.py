@@ -53,7 +53,8 @@ def test_oracles(spark):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         got = queries.QUERIES[name](spark, DATA)
         want = con.sql(sql)
