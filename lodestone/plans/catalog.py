@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import text
+from lodestone.functions import names, text
 from lodestone.operators import compact, cues, entries, graph, joins, layout, rank, stream
 from lodestone.session import checkpointed, table
 from lodestone.sources import files, sinks
@@ -707,13 +707,15 @@ def command_schedule(spark, sf_dir):
 @query(
     "conflict_paths",
     """
-    WITH e AS (SELECT p_partkey, p_brand AS path, p_size AS ident FROM part)
-    SELECT p_partkey, CASE WHEN COUNT(*) OVER (PARTITION BY path) = 1 THEN path WHEN COUNT(*) OVER (PARTITION BY path, ident) = 1 THEN path || '_' || CAST(ident AS VARCHAR)
-           ELSE path || '_' || CAST(ident AS VARCHAR) || '_' || CAST(p_partkey AS VARCHAR) END AS safe_path FROM e
+    WITH e AS (SELECT p_partkey, 'd/' || p_brand || '.bin' AS path, p_size AS ident, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part),
+         m AS (SELECT *, row_number() OVER (PARTITION BY path, ident, n > 1 ORDER BY p_partkey) AS m FROM e)
+    SELECT p_partkey, CASE WHEN n = 1 THEN path WHEN m = 1 THEN replace(path, '.bin', '_' || CAST(ident AS VARCHAR) || '.bin')
+           ELSE replace(path, '.bin', '_' || CAST(ident AS VARCHAR) || '_' || CAST(p_partkey AS VARCHAR) || '.bin') END AS safe_path FROM m
     """,
 )
 def conflict_paths(spark, sf_dir):
-    return entries.conflict_paths(table(spark, sf_dir, "part"), "p_brand", "p_size", "p_partkey").select("p_partkey", "safe_path")
+    parts = table(spark, sf_dir, "part").withColumn("path", F.concat(F.lit("d/"), "p_brand", F.lit(".bin")))
+    return entries.conflict_paths(parts, "path", "p_size", "p_partkey").select("p_partkey", "safe_path")
 
 
 @query("last_header", "SELECT c_custkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
@@ -859,3 +861,21 @@ def best_supported(spark, sf_dir):
 def sector_extents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", layout.divide_up(F.col("n_chars"), 2048).alias("sectors"))
     return layout.running_offset(docs, "sectors", ["doc_id"], "extent").select("doc_id", "extent")
+
+
+@query(
+    "codec_names",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey % 30 WHEN 0 THEN 'adx' WHEN 3 THEN 'adx' WHEN 2 THEN 'hca' WHEN 6 THEN 'hca-mx' WHEN 19 THEN 'aac' WHEN 24 THEN 'switch-opus' WHEN 1 THEN 'lpcm'
+      WHEN 4 THEN 'wii-adpcm' WHEN 5 THEN 'ds-adpcm' WHEN 7 THEN 'vag' WHEN 8 THEN 'atrac3' WHEN 9 THEN '3ds-adpcm' WHEN 10 THEN 'hevag' WHEN 14 THEN 'hevag' WHEN 11 THEN 'atrac9' WHEN 18 THEN 'atrac9' WHEN 12 THEN 'xma2' WHEN 13 THEN 'wiiu-adpcm' END AS codec
+    FROM lineitem
+    """,
+)
+def codec_names(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", names.codec(F.col("l_partkey") % 30).alias("codec"))
+
+
+@query("best_failure", "SELECT page_id % 3 AS file, 'bad checksum at ' || CAST(MIN(page_id) AS VARCHAR) AS failure FROM pages WHERE page_id % 2 = 1 GROUP BY 1")
+def best_failure(spark, sf_dir):
+    tried = table(spark, sf_dir, "pages").select((F.col("page_id") % 3).alias("file"), F.col("page_id").alias("attempt"), F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("bad checksum at "), F.col("page_id").cast("string"))).otherwise("the magic is not that of a table").alias("failure"))
+    return names.best_failure(tried, "file", "attempt", "failure")
