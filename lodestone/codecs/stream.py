@@ -160,3 +160,57 @@ def parse_commands(raw: bytes) -> list[dict]:
         out.append({"command_no": len(out), "code": code, "value": raw[at + 3 : at + 3 + size]})
         at += 3 + size
     return out
+
+
+def _elementary(raw: bytes, at: int, end: int) -> int:
+    """Where a packet's payload starts, past its stuffing, buffer size and time stamps."""
+    if at < end and raw[at] & 0xC0 == 0x80:  # second generation: flags and a header length
+        return min(end, at + 3 + (raw[at + 2] if at + 2 < end else 0))
+    while at < end and raw[at] == 0xFF:
+        at += 1
+    if at < end and raw[at] & 0xC0 == 0x40:
+        at += 2
+    if at < end:
+        at += {2: 5, 3: 10}.get(raw[at] >> 4, 1)
+    return min(end, at)
+
+
+def parse_program(raw: bytes) -> list[dict]:
+    """Packets of a program stream: stream id, place and size of the payload. Pack and system headers are skipped."""
+    out, at = [], 0
+    if raw[:4] != b"\0\0\1\xba":
+        raise FormatError("the magic is not that of a program stream")
+    while at + 4 <= len(raw) and raw[at : at + 3] == b"\0\0\1":
+        code = raw[at + 3]
+        if code == 0xB9:
+            break
+        if code == 0xBA:
+            if at + 5 > len(raw):
+                raise FormatError("a pack header is cut off")
+            at += 14 + (raw[at + 13] & 7) if raw[at + 4] & 0xC0 == 0x40 and at + 14 <= len(raw) else 12
+            continue
+        if at + 6 > len(raw):
+            raise FormatError("a packet header is cut off")
+        end = at + 6 + struct.unpack_from(">H", raw, at + 4)[0]
+        if end > len(raw):
+            raise FormatError("a packet is cut off")
+        if code >= 0xC0 or code == 0xBD:
+            start = _elementary(raw, at + 6, end)
+            out.append({"packet_no": len(out), "stream_id": code, "payload_offset": start, "payload_size": end - start})
+        at = end
+    return out
+
+
+def build_program(packets: list[tuple[int, bytes, float]], sector: int = 2048) -> bytes:
+    """A first-generation program stream: a pack for each packet, its clock at 90 kHz, sectors filled up."""
+    out = bytearray()
+    for ident, payload, seconds in packets:
+        clock = int(seconds * 90000 + 0.5)
+        stamp = bytes([0x21 | clock >> 29 & 0xE, clock >> 22 & 0xFF, clock >> 14 & 0xFE | 1, clock >> 7 & 0xFF, clock << 1 & 0xFE | 1])
+        pack = b"\0\0\1\xba" + stamp + b"\x80\0\1"
+        body = b"\0\0\1" + bytes([ident]) + struct.pack(">H", 1 + len(payload)) + b"\x0f" + payload
+        fill = -(len(pack) + len(body)) % sector
+        out += pack + body
+        if fill >= 7:
+            out += b"\0\0\1\xbe" + struct.pack(">H", fill - 6) + b"\xff" * (fill - 6)
+    return bytes(out + b"\0\0\1\xb9")

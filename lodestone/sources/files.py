@@ -161,3 +161,8 @@ def sound_elements(blobs: DataFrame, errors: str = "raise") -> DataFrame:
 def transform_headers(blobs: DataFrame, errors: str = "raise") -> DataFrame:
     schema = "version int, header_size int, channels int, rate long, frames long, delay int, padding int, frame_size int, min_resolution int, max_resolution int, loop_start long, loop_end long, cipher int, volume float, samples long"
     return parsed(blobs, lambda raw: [media.parse_transform_header(raw)], schema, errors)
+
+
+def program_packets(blobs: DataFrame, errors: str = "raise") -> DataFrame:
+    """Packets of program streams; ``stream.stream_totals`` and ``stream.demux`` take them by stream id."""
+    return parsed(blobs, stream.parse_program, "packet_no long, stream_id int, payload_offset long, payload_size long", errors)
