@@ -66,6 +66,8 @@ class Tokenizer:
         import regex
 
         self.find = regex.compile(PATTERN).findall
+        # other white space next to a space
+        self.mixed = regex.compile(r"[^\S ](?: |(?<= .))", regex.DOTALL).search
         data = json.loads(spec)
         letters = _byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
@@ -218,10 +220,10 @@ class Tokenizer:
     def parts(self, text: str) -> list[str]:
         """Pieces of a text that the pre-tokenizer's pattern never crosses, each encoded on its own.
 
-        A lone space between two characters that are not spaces always begins a token, so the text is cut
-        there; where spaces follow each other the pattern cuts the whole text.
+        A lone space between two characters that are not white space always begins a token, so the text is cut
+        there; where a space touches other white space the pattern cuts the whole text.
         """
-        if "  " in text:
+        if "  " in text or self.mixed(text):
             return self.find(text)
         head, *rest = text.split(" ")
         return [head, *[" " + p for p in rest]] if head else [" " + p for p in rest]
