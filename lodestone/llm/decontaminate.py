@@ -2,8 +2,8 @@
 
 A seed is a mask of five of up to nine neighbouring words; what it skips may differ. Each mask's hash is taken at
 every word of every text and of every benchmark item; equal hashes put the two texts on a diagonal (text
-position minus item position), along which whole items are compared word by word. A run of words in place
-counts +1 and a substituted word -4, so the best run has at least four equal words in five.
+position minus item position), along which whole items are compared word by word. The longest run with at least
+four equal words in five is taken.
 
 Positions are unfolded inside one generated stage that reads the texts once. While the benchmark's seeds stay
 under BROADCAST_SEEDS (their number is checked) they are broadcast and hits are verified where they arise;
@@ -46,35 +46,61 @@ def _compared(h: Column, item: Column, diagonal: Column) -> Column:
     return F.transform(item, lambda w, q: F.coalesce(F.get(h, q + diagonal) == w, F.lit(False)))
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _scan(values: Column, pick) -> Column:
+    """Running ``pick`` (least or greatest) of an array."""
+    return F.aggregate(values, F.array().cast("array<int>"), lambda s, v: F.concat(s, F.array(pick(F.get(s, F.size(s) - 1), v))))
+
+
+def _longest(equal: Column) -> Column:
+    """The longest run with at least SIMILARITY equal words that begins and ends with one, as struct(first, n_words, n_equal).
+
+    With +1 for an equal word and -4 for another it is the widest pair of a prefix sum and one not below it: the
+    least sum up to each start and the greatest from each end on fall, so two pointers meet all widest pairs.
+    """
+    sums = F.aggregate(equal, F.array(F.lit(0)), lambda s, e: F.concat(s, F.array(F.get(s, F.size(s) - 1) + F.when(e, 1).otherwise(-4))))
+
+    def bounds(p: Column) -> Column:
+        starts = F.transform(equal, lambda e, i: F.when(e, F.get(p, i)).otherwise(1 << 30))
+        ends = F.transform(equal, lambda e, i: F.when(e, F.get(p, i + 1)).otherwise(-(1 << 30)))
+        return F.struct(_scan(starts, F.least).alias("low"), F.reverse(_scan(F.reverse(ends), F.greatest)).alias("high"))
+
+    def widest(b: Column) -> Column:
+        zero = F.struct(*[F.lit(0).alias(c) for c in ("i", "j", "first", "n_words")])
+
+        def step(s: Column, _: Column) -> Column:
+            fits = F.coalesce(F.get(b["low"], s["i"]) <= F.get(b["high"], s["j"]), F.lit(False))
+            wider = fits & (s["j"] - s["i"] + 1 > s["n_words"])
+            return F.struct(
+                F.when(fits, s["i"]).otherwise(s["i"] + 1).alias("i"), F.when(fits, s["j"] + 1).otherwise(s["j"]).alias("j"),
+                F.when(wider, s["i"]).otherwise(s["first"]).alias("first"), F.when(wider, s["j"] - s["i"] + 1).otherwise(s["n_words"]).alias("n_words"),
+            )
+
+        return F.aggregate(F.concat(equal, equal), zero, step)
+
+    counted = lambda r: F.size(F.filter(F.slice(equal, r["first"] + 1, r["n_words"]), lambda e: e))
+    return _let(_let(_let(sums, bounds), widest), lambda r: F.struct(r["first"].alias("first"), r["n_words"].alias("n_words"), counted(r).alias("n_equal")))
+
+
 def _overlap(equal: Column) -> Column:
     """The best run as struct(first, n_words, n_equal): the item as a whole if enough of it is in place, else the
-    run of the highest score, the longest of equal ones."""
+    longest run with enough equal words."""
     n = F.size(equal)
     hits = F.size(F.filter(equal, lambda e: e))
-    zero = F.struct(*[F.lit(0).alias(c) for c in ("at", "first", "score", "hits", "b_first", "b_last", "b_score", "b_hits")])
-
-    def step(s: Column, e: Column) -> Column:
-        raw = s["score"] + F.when(e, 1).otherwise(-4)
-        fresh = raw < 0
-        score = F.when(fresh, 0).otherwise(raw)
-        first = F.when(fresh, s["at"] + 1).otherwise(s["first"])
-        seen = F.when(fresh, 0).otherwise(s["hits"] + e.cast("int"))
-        best = e & (score >= s["b_score"])
-        pick = lambda a, b: F.when(best, a).otherwise(b)
-        return F.struct(
-            (s["at"] + 1).alias("at"), first.alias("first"), score.alias("score"), seen.alias("hits"),
-            pick(first, s["b_first"]).alias("b_first"), pick(s["at"] + 1, s["b_last"]).alias("b_last"), pick(score, s["b_score"]).alias("b_score"), pick(seen, s["b_hits"]).alias("b_hits"),
-        )
-
-    run = F.aggregate(equal, zero, step, lambda s: F.struct(s["b_first"].alias("first"), (s["b_last"] - s["b_first"]).alias("n_words"), s["b_hits"].alias("n_equal")))
     whole = F.struct(F.lit(0).alias("first"), n.alias("n_words"), hits.alias("n_equal"))
-    return F.when(hits >= SIMILARITY * n, whole).otherwise(run)
+    # fewer equal words than this are no overlap wherever they stand
+    return F.when(hits >= SIMILARITY * n, whole).when(hits >= SIMILARITY * MIN_WORDS, _longest(equal))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, doc_word, n_words, n_equal): the best verified overlap of each text with each item.
 
-    Overlaps have MIN_WORDS words or more, at least SIMILARITY of them equal. Defined cases: null and empty
+    Overlaps have MIN_WORDS words or more, at least SIMILARITY of them equal; parts of an item begin and end with an
+    equal word. Defined cases: null and empty
     texts, and texts or items of fewer than SPAN words, have no seeds and no overlaps; rows that repeat a
     doc_id or item_id count as one text each and the best of them is returned; empty tables give no rows; other
     columns are ignored.

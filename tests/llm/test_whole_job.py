@@ -2,7 +2,7 @@
 
 import random
 
-from lodestone.llm import bpe, simhash
+from lodestone.llm import bpe, decontaminate, simhash
 
 
 def vocabulary(rng, n=3000):
@@ -25,3 +25,20 @@ def test_white_space_mixes_equal_the_library():
     texts += ["".join(rng.choice([" ", " ", " ", "\t", "\n", "\r", " ", "a", "bc", "'s", "1", "!"]) for _ in range(30)) for _ in range(2000)]
     for text, ids in zip(texts, ours.encode(texts)):
         assert ids.tolist() == theirs.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_longest_benchmark_run(spark, frame):
+    rng = random.Random(23)
+    patterns = ["1111111110111" + "01111" * 3, "1111111011101111", "111111111", "1011111111" + "0" * 9 + "1111111110"]
+    patterns += ["".join(rng.choices("10", (7, 2), k=40)) for _ in range(30)]
+    item = ["w%d" % i for i in range(80)]
+    rows, want = [], {}
+    for i, p in enumerate(patterns):
+        text = [item[k] if c == "1" else "x%d" % k for k, c in enumerate(p)]
+        rows.append((i, " ".join(["y"] * 7 + text + ["z"] * 80)))
+        runs = [(b - a, -a) for a in range(len(p)) for b in range(a + 10, len(p) + 1) if p[a] == p[b - 1] == "1" and p[a:b].count("1") >= 0.8 * (b - a)]
+        if runs:
+            n, a = max(runs)
+            want[i] = (n, p[-a : -a + n].count("1"), 7 - a)
+    got = decontaminate.overlaps(frame(rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_equal, r.doc_word) for r in got} == want and {0, 1, 3} <= set(want) and 2 not in want
