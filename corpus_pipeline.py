@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
+from lodestone.llm import bpe, decontaminate, exact_dedup, near_copies, toxicity
 from lodestone.session import checkpointed, table
 
 #: SQL cannot express the learned stage; tests compare the rows with a brute-force version.
@@ -29,8 +29,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component of five-word shingles, the one with the least doc_id."""
-    rows = simhash.near_duplicates(docs, words=5)
+    """One document of each component of five-word shingle sets of similarity 0.8, the one with the least doc_id."""
+    rows = near_copies.near_duplicates(docs)
     gone = checkpointed(rows.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
@@ -48,7 +48,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
-    ("SimHash near-dedup", drop_near_copies),
+    ("near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_benchmark),
     ("BPE encoding", encode),
 ]

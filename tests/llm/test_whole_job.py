@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from lodestone.llm import bpe, decontaminate, simhash
 
 
@@ -14,6 +15,30 @@ def similar(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def test_near_copies_at_four_fifths(spark, frame):
+    rng = random.Random(21)
+    vocab = vocabulary(rng)
+    rows = []
+    for g in range(12):
+        base = [rng.choice(vocab) for _ in range(200)]
+        for k in range(5):
+            copy = list(base)
+            for at in rng.sample(range(0, 200, 7), k + 1):
+                copy[at] = "other%d" % k
+            rows.append((g * 10 + k, " ".join(copy)))
+    rows += [(900, None), (901, " \n"), (902, "one"), (903, "One "), (904, "two")]
+    root = {i: i for i, _ in rows}
+    for i, t in rows:
+        for j, u in rows:
+            if i < j and similar(t or "", u or "") >= 0.8 and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = {k: lo if r == hi else r for k, r in root.items()}
+    want = sorted(i for i, r in root.items() if i == r)
+    assert want != sorted(root)
+    got = corpus_pipeline.drop_near_copies(spark, frame(rows), None)
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_white_space_mixes_equal_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
