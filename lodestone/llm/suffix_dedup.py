@@ -276,7 +276,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     A snippet's first place is the least (doc_id, start). All other places of the same snippet are repeats as a
     whole; the first places go to the suffix arrays. Four checkpoints keep each step's shuffles apart.
     """
-    spark, texts = docs.sparkSession, _texts(docs)
+    # rows without a doc_id keep all and are nobody's first place
+    spark, texts = docs.sparkSession, _texts(docs).filter("doc_id IS NOT NULL")
     places = checkpointed(shared_places(texts))
     release(spark)
     first = places.groupBy("owner", "same").agg(F.min(F.struct("doc_id", "tid", "start", "windows")).alias("p")).select("owner", "same", "p.*")

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from lodestone.llm import bpe, decontaminate, simhash
+from lodestone.llm import bpe, decontaminate, simhash, suffix_dedup
 
 
 def vocabulary(rng, n=3000):
@@ -67,3 +67,9 @@ def test_longest_benchmark_run(spark, frame):
             want[i] = (n, p[-a : -a + n].count("1"), 7 - a)
     got = decontaminate.overlaps(frame(rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
     assert {r.doc_id: (r.n_words, r.n_equal, r.doc_word) for r in got} == want and {0, 1, 3} <= set(want) and 2 not in want
+
+
+def test_null_ids_are_no_first_place(frame):
+    text = " ".join("word%d" % i for i in range(60))
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(frame([(5, text), (9, text), (None, text)])).collect()}
+    assert got == {5: 0, 9: len(text), None: 0}
