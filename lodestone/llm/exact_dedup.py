@@ -138,6 +138,13 @@ def classes(digested: DataFrame) -> DataFrame:
     return digested.groupBy("digest").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n"))
 
 
+def _class_texts(docs: DataFrame, pairs: DataFrame, keep: str) -> DataFrame:
+    """(digest, text) of the row that stands for each class; a class of null doc_ids goes by its digest."""
+    named = docs.join(pairs.select(F.col(keep).alias("doc_id"), "digest"), "doc_id").select("digest", "text")
+    nameless = docs.filter("doc_id IS NULL").groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"))
+    return named.union(nameless.join(pairs.filter(F.col(keep).isNull()).select("digest"), "digest").select("digest", "text"))
+
+
 def match_snapshot(snapshot: DataFrame, batch: DataFrame, snapshot_docs: DataFrame, batch_docs: DataFrame, buckets: int) -> DataFrame:
     """Digests of ``batch`` (classes) that ``snapshot`` (classes) holds, verified on the bytes of both texts."""
     filters = build_filters(snapshot.select("digest"), buckets)
@@ -145,8 +152,8 @@ def match_snapshot(snapshot: DataFrame, batch: DataFrame, snapshot_docs: DataFra
     pairs = checkpointed(
         positives.join(snapshot.select("digest", F.col("keep").alias("old")), "digest").join(batch.select("digest", F.col("keep").alias("new")), "digest")
     )
-    old = snapshot_docs.join(pairs.select(F.col("old").alias("doc_id"), "digest"), "doc_id").select("digest", F.col("text").alias("old_text"))
-    new = batch_docs.join(pairs.select(F.col("new").alias("doc_id"), "digest"), "doc_id").select("digest", F.col("text").alias("new_text"))
+    old = _class_texts(snapshot_docs, pairs, "old").withColumnRenamed("text", "old_text")
+    new = _class_texts(batch_docs, pairs, "new").withColumnRenamed("text", "new_text")
     return old.join(new, "digest").filter(F.col("old_text") == F.col("new_text")).select("digest").distinct()
 
 

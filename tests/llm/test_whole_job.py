@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from lodestone.llm import bpe, decontaminate, simhash, suffix_dedup
+from lodestone.llm import bpe, decontaminate, exact_dedup, simhash, suffix_dedup
 
 
 def vocabulary(rng, n=3000):
@@ -73,3 +75,9 @@ def test_null_ids_are_no_first_place(frame):
     text = " ".join("word%d" % i for i in range(60))
     got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(frame([(5, text), (9, text), (None, text)])).collect()}
     assert got == {5: 0, 9: len(text), None: 0}
+
+
+def test_null_ids_meet_the_snapshot(frame):
+    rows = [(5, "same"), (None, "same"), (None, "same"), (7, "else"), (None, "alone")]
+    got = exact_dedup.exact_duplicates(frame(rows), F.col("doc_id") == 5).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == [(0, 0, 1, True), (0, 5, 3, False), (0, 5, 3, False), (5, 5, 3, True), (7, 7, 1, True)]
