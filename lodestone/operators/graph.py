@@ -7,6 +7,7 @@ only nodes not reached before go on, so cycles end by themselves and no path is
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,17 +16,19 @@ from pyspark.sql.window import Window
 from lodestone.session import checkpointed
 
 
-def distances(edges: DataFrame, roots: DataFrame, most: int = 64, skip: Sequence[str] = ()) -> DataFrame:
+def distances(edges: DataFrame, roots: DataFrame, most: int | None = None, skip: Sequence[str] = ()) -> DataFrame:
     """(root, node, distance): least number of edges from each root. ``edges`` is (src, dst[, kind]), ``roots`` is
-    (root); edges of the kinds in ``skip`` do not count as steps."""
+    (root); edges of the kinds in ``skip`` do not count as steps. More than ``most`` steps are an error."""
     steps = edges.filter(~F.col("kind").isin(list(skip))) if skip else edges
     steps = checkpointed(steps.select("src", "dst").distinct())
     seen = frontier = checkpointed(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("distance")).distinct())
-    for depth in range(1, most + 1):
+    for depth in count(1):
         further = frontier.join(steps, frontier["node"] == steps["src"]).select("root", F.col("dst").alias("node")).distinct()
         frontier = checkpointed(further.join(seen, ["root", "node"], "left_anti").withColumn("distance", F.lit(depth)))
         if frontier.isEmpty():
             break
+        if most is not None and depth > most:
+            raise RuntimeError(f"nodes lie further than {most} steps away")
         seen = checkpointed(seen.union(frontier)) if depth % 8 == 0 else seen.union(frontier)
     return seen
 
@@ -35,7 +38,7 @@ def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("dst")).distinct(), "dst", "left_anti")
 
 
-def on_cycles(edges: DataFrame, most: int = 64) -> DataFrame:
+def on_cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node): nodes that reach themselves. Nodes without a way in or out are peeled first, so only cycles and what
     lies between them are walked."""
     left = checkpointed(edges.select("src", "dst").distinct())

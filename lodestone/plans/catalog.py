@@ -363,6 +363,12 @@ def cycles(spark, sf_dir):
     return graph.on_cycles(ring.union(spark.range(4, 10).select("id", (F.col("id") - 1).alias("dst"))))
 
 
+@query("customer_cycles", "SELECT CAST(c_custkey AS BIGINT) AS node FROM customer WHERE c_custkey < (SELECT COUNT(*) // 7 * 7 FROM customer)")
+def customer_cycles(spark, sf_dir):
+    key = F.col("c_custkey").cast("long")
+    return graph.on_cycles(table(spark, sf_dir, "customer").select(key.alias("src"), (key - F.pmod(key, F.lit(7)) + F.pmod(key + 1, F.lit(7))).alias("dst")))
+
+
 @query(
     "subtree_totals",
     """
