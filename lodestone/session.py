@@ -1,4 +1,4 @@
-"""Session plumbing: reading tables, and shipping the package to executors."""
+"""Session plumbing: reading tables, shipping the package to executors, and steps written to the shared folder."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
+#: Spark's own setting by which shuffle files go as soon as the execution that wrote them ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,14 +39,66 @@ def ship(spark: SparkSession) -> None:
     sc._lodestone_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what spark.checkpoint.dir names.
+
+    Only where that is unset and the master is local does a temporary folder take its place; a cluster without it
+    is an error, since executors could not read each other's files.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    sc = spark.sparkContext
+    if not getattr(sc, "_lodestone_folder", None):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc._lodestone_folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, sc._lodestone_folder, ignore_errors=True)
+    return sc._lodestone_folder
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Has Spark delete an execution's shuffle files when it ends; a session may switch it off again."""
+    if not getattr(spark, "_lodestone_tidy", False):
+        spark.conf.set(CLEAN, "true")
+        spark._lodestone_tidy = True
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared checkpoint folder and cuts its lineage.
+    """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where that is unset (tests, one
-    machine) does a temporary folder take its place. Files there survive lost executors.
+    The files survive lost executors. ``discard`` deletes them once they are used; what is left is deleted when
+    the application ends.
     """
     spark = df.sparkSession
+    tidy(spark)
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint(eager=True)
+    top = f"{shared_folder(spark)}/lodestone-{sc.applicationId}"
+    if top not in getattr(sc, "_lodestone_tops", ()):
+        sc._lodestone_tops = {top, *getattr(sc, "_lodestone_tops", ())}
+        atexit.register(_last, spark, top)
+    folder = f"{top}/{uuid.uuid4().hex}"
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # any column name will do
+    plain.write.parquet(folder)
+    back = spark.read.schema(plain.schema).parquet(folder).toDF(*df.columns)
+    back._lodestone_at = folder
+    return back
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Deletes the files of checkpointed tables that nothing reads any more."""
+    for df in dfs:
+        delete(df.sparkSession, df._lodestone_at)
+
+
+def _last(spark: SparkSession, top: str) -> None:
+    try:
+        delete(spark, top)
+    except Exception:  # the application is gone already
+        shutil.rmtree(top.removeprefix("file://"), ignore_errors=True)
