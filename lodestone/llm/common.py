@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import checkpointed, ship, table
+from lodestone.session import checkpointed, discard, ship, table
 
-__all__ = ["checkpointed", "ship", "table", "map_texts", "pieces", "whole_text", "fresh", "release"]
+__all__ = ["checkpointed", "discard", "ship", "table", "map_texts", "pieces", "spread", "whole_text"]
 
 #: Bytes of text that a Python worker expands at a time; a longer single text is a piece of its own.
 PIECE_BYTES = 4 << 20
@@ -23,28 +21,10 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names that no column of ``df`` has, whatever its letter case."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for n in names:
-        while n.lower() in taken:
-            n = "_" + n
-        taken.add(n.lower())
-        out.append(n)
-    return out
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps.
-
-    Spark's cleaner removes them once the driver has collected the plans that own them; what Python still
-    refers to goes in one round, what the JVM then lets go in the next.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table of very few partitions (one row group, say) out to all cores before Python works on it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
 
 
 def pieces(batch: pa.RecordBatch, column: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -80,4 +60,4 @@ def map_texts(docs: DataFrame, f: Callable[[pa.Array, list[str]], dict], schema:
                 got = f(piece.column(0), piece.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(got[n.name], type=n.type) for n in arrow], schema=arrow)
 
-    return docs.select(F.col(key).alias("k"), whole_text(text).alias("t")).mapInArrow(over, out)
+    return spread(docs.select(F.col(key).alias("k"), whole_text(text).alias("t"))).mapInArrow(over, out)

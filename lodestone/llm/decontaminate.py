@@ -128,9 +128,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose texts overlap no benchmark item. Null doc_ids stay."""
-    tainted = checkpointed(overlaps(docs, benchmark).select(F.col("doc_id").alias("_tainted")).distinct())
-    return docs.join(tainted, docs["doc_id"] == tainted["_tainted"], "left_anti")
+    """The rows of ``docs``, with all columns, whose texts overlap no benchmark item, whatever their doc_ids are."""
+    digest = F.sha2(whole_text(), 256)
+    tainted = checkpointed(overlaps(docs.select(digest.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("digest")).distinct())
+    return docs.join(tainted, digest == tainted["digest"], "left_anti")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -1,68 +1,136 @@
-"""Near copies by the Jaccard similarity of five-word shingle sets.
+"""SimHash near-dedup at a Jaccard similarity: wide fingerprints, multi-index hashing, verified shingle sets.
 
-Texts with equal shingle sets are one node. BANDS keys of ROWS min-hashes each put nodes into groups; two nodes of
-similarity s share a group with probability 1 - (1 - s^ROWS)^BANDS, 0.9999 at 0.8. Every link is verified on the
-whole sets. A group's least node is compared with its other members first, then other nodes with those not yet in
-their component; at last members still in different components are compared pair by pair, so no pair that shares a
-group goes unseen.
+At a similarity of 0.8 two fingerprints differ in some 15 % of their bits, too many for 64 bits and a distance of 4.
+Here the fingerprint of a text's set of five-word shingles has several 64-bit lanes, cut into segments. Every
+fingerprint enumerates the Hamming ball of radius 1 around each of its segments and looks all of it up: two texts meet
+where a segment differs in at most two bits. What meets is verified on the complete distance inside the join, and
+after that on the whole shingle sets. ``geometry`` sets the segments so that a pair at SIMILARITY is missed with
+probability MISS at most, and so that segments are as wide as the number of texts asks for.
+
+Texts with equal shingle sets are one node. Nodes are first compared with one node of equal segments, which joins large groups of near copies cheaply; then all pairs of different components are looked up.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from hashlib import sha256
+from math import acos, ceil, comb, log, pi, sqrt
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, map_texts, release
+from lodestone.llm.common import checkpointed, discard, map_texts
 from lodestone.llm.components import components
-from lodestone.llm.simhash import shingle_hashes
-
-WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 5
-#: Rounds of one member against its group; all pairs are compared once they are at most FEW times the first round's,
-#: or in the last round.
-ROUNDS, FEW = 3, 1
-#: Pairs that are verified at a time.
+from lodestone.llm.simhash import majorities, shingle_hashes
+
+WORDS, SIMILARITY, MISS = 5, 0.8, 0.002
+#: Bits of a segment at least; more as soon as there are more texts than segment values.
+SEGMENT_BITS = 20
+#: Rounds of one node against its group; more than one are worth it if the largest component has a HOT-th of all nodes.
+ROUNDS, HOT = 3, 100
+#: Pairs whose sets are compared at a time.
 SLICE_PAIRS = 200_000
-#: Shingles that are min-hashed at a time.
-SLICE = 4096
-_FACTORS = np.random.default_rng(5).integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key per band of a nonempty shingle set."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(shingles), SLICE):
-        v = shingles[None, at : at + SLICE] * _FACTORS
-        v ^= v >> np.uint64(31)
-        v *= np.uint64(0xBF58476D1CE4E5B9)
-        v ^= v >> np.uint64(29)
-        least = np.minimum(least, v.min(1))
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for m in least.reshape(BANDS, ROWS).T:
-        keys = keys * np.uint64(0x94D049BB133111EB) + (m ^ (m >> np.uint64(27)))
-    return keys.view(np.int64)
-
-
-def _node(shingles: np.ndarray) -> int:
-    from xxhash import xxh3_64_intdigest as h
 
-    return h(shingles.tobytes())
+
+@dataclass(frozen=True)
+class Geometry:
+    """``lanes`` of 64 bits with ``per_lane`` segments of ``bits`` each, and the greatest ``distance`` of a pair."""
+
+    bits: int
+    per_lane: int
+    lanes: int
+    distance: int
+
+
+def geometry(texts: int) -> Geometry:
+    """Segments for a number of texts.
+
+    The share p of differing bits follows from the angle between two sets of SIMILARITY; a segment is met if it
+    differs in two bits or fewer, and the distance is two and a half standard deviations above its mean.
+    """
+    p = acos(2 * SIMILARITY / (1 + SIMILARITY)) / pi
+    bits = min(32, max(SEGMENT_BITS, texts.bit_length()))
+    met = sum(comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    per_lane = 64 // bits
+    lanes = ceil(log(MISS) / log(1 - met) / per_lane)
+    return Geometry(bits, per_lane, lanes, int(64 * lanes * p + 2.5 * sqrt(64 * lanes * p * (1 - p))))
 
 
 def _shingles(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(text, WORDS))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, bands): the shingle set's name and its band keys; wordless texts share a node without bands."""
+def _name(shingles: np.ndarray) -> int:
+    from xxhash import xxh3_64_intdigest as h
+
+    return h(shingles.tobytes())
+
+
+def wide(shingles: np.ndarray, lanes: int) -> np.ndarray:
+    """The lanes of a set's fingerprint; each lane is the majority of its own hash of the shingles."""
+    k = np.arange(lanes, dtype=np.uint64)[:, None]
+    h = shingles[None, :] * (np.uint64(2) * k + np.uint64(0x9E3779B97F4A7C15)) + k
+    for _ in range(2):
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    return majorities(h ^ (h >> np.uint64(32)))
+
+
+def _least(shingles: np.ndarray) -> list[int]:
+    """Sets of four, and those of five without one shingle: the only ones of at least 0.8 that differ below nine."""
+    if len(shingles) == 5:
+        return [_name(np.delete(shingles, i)) for i in range(5)]
+    return [_name(shingles)] if len(shingles) == 4 else []
+
+
+def signatures(docs: DataFrame, lanes: int) -> DataFrame:
+    """(doc_id, text_sha256, node, lanes, small): the set's name, its fingerprint (null without words), and keys of
+    tiny sets."""
 
     def of(keys: pa.Array, texts: list[str]) -> dict:
         sets = [_shingles(t) for t in texts]
-        return {"doc_id": keys, "node": np.array([_node(s) for s in sets], np.uint64).view(np.int64), "bands": [band_keys(s) if len(s) else [] for s in sets]}
+        signed = lambda x: np.array(x, np.uint64).view(np.int64)
+        return {
+            "doc_id": keys, "text_sha256": [sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], "node": signed([_name(s) for s in sets]), "lanes": [wide(s, lanes).view(np.int64) if len(s) else None for s in sets],
+            "small": [signed(_least(s)) for s in sets],
+        }
+
+    return map_texts(docs, of, "doc_id long, text_sha256 string, node long, lanes array<long>, small array<long>")
+
 
-    return map_texts(docs, of, "doc_id long, node long, bands array<long>")
+def _segment(lane: Column, g: Geometry, at: int | Column) -> Column:
+    shifted = F.call_function("shiftrightunsigned", lane, F.lit(at).cast("int") * g.bits)
+    return shifted.bitwiseAND(F.lit((1 << g.bits) - 1))
+
+
+def _side(nodes: DataFrame, g: Geometry, lanes: range, name: str, ball: bool) -> DataFrame:
+    """(key, <name> columns): the node under its segments of some lanes, or under each value of their balls."""
+    values = [F.col(f"l{k}").alias(f"{name}_l{k}") for k in range(g.lanes)]
+    of = F.array(*[_segment(F.col(f"l{n}"), g, at).bitwiseOR(F.lit(n * g.per_lane + at << 40)) for n in lanes for at in range(g.per_lane)])
+    cut = nodes.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"), *values, F.explode(of).alias("key"))
+    if not ball:
+        return cut
+    flips = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << i for i in range(g.bits))]])
+    return cut.withColumn("flip", F.explode(flips)).withColumn("key", F.col("key").bitwiseXOR(F.col("flip")))
+
+
+def _distance(g: Geometry) -> Column:
+    bits = [F.bit_count(F.col(f"a_l{k}").bitwiseXOR(F.col(f"b_l{k}"))) for k in range(g.lanes)]
+    return sum(bits[1:], bits[0])
+
+
+def _once(g: Geometry, number: int) -> Column:
+    """True for one of the rows on which a pair meets: that of the first segment that both balls share, at ``a``'s own
+    value or, if two bits differ, at ``a``'s with the lower one flipped."""
+    apart = [F.col(f"a_l{n}").bitwiseXOR(F.col(f"b_l{n}")) for n in range(number + 1)]
+    segment = F.shiftright("key", 40)
+    d = _segment(apart[number], g, segment - number * g.per_lane)
+    own = F.col("a_flip") == F.when(F.bit_count(d) == 2, d.bitwiseAND(-d)).otherwise(F.lit(0))
+    for k in range((number + 1) * g.per_lane - 1):
+        own = own & ((segment <= k) | (F.bit_count(_segment(apart[k // g.per_lane], g, k % g.per_lane)) > 2))
+    return own
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -70,68 +138,83 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def of(keys: pa.Array, texts: list[str]) -> dict:
         sets = [_shingles(t) for t in texts]
-        return {"node": np.array([_node(s) for s in sets], np.uint64).view(np.int64), "shingles": [s.view(np.int64) for s in sets]}
+        return {"node": np.array([_name(s) for s in sets], np.uint64).view(np.int64), "shingles": [s.view(np.int64) for s in sets]}
 
     # null doc_ids meet no row in the join
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").union(docs.filter("doc_id IS NULL").select("doc_id", "text"))
-    return map_texts(texts, of, "node long, shingles array<long>")
+    return map_texts(texts, of, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) whose shingle sets have SIMILARITY or more in common."""
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (a, b) whose whole shingle sets have SIMILARITY or more in common, a bounded slice of pairs at a time."""
+    members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = checkpointed(_sets(docs, nodes.join(members, "node", "left_semi").select(F.col("first").alias("doc_id"))))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("a_set", "b_set"))
-    return met.filter(both >= SIMILARITY * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
+    slices = max(1, -(-pairs.count() // SLICE_PAIRS))
+    out = []
+    for k in range(slices):
+        met = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k).join(side("a"), "a").join(side("b"), "b")
+        out.append(checkpointed(met.filter(both >= SIMILARITY * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")))
+    discard(sets)
+    links = out[0]
+    for more in out[1:]:
+        links = links.union(more)
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) for every document, linked at SIMILARITY or more.
+    """(doc_id, text_sha256, component_id, kept) for every document, linked at SIMILARITY or more of five-word shingle
+    sets. Of a component the text with the smallest doc_id, then digest, is kept.
 
     Defined cases: null is empty; wordless texts are copies of each other; a text under WORDS words has one shingle;
-    rows with a null doc_id link like any other; an empty table gives an empty result; other columns are ignored.
+    rows with a null doc_id link like any other and come last; rows that share a doc_id are told apart by their texts,
+    rows that share both are all kept or all dropped; an empty table gives an empty result; other columns are ignored.
     The component is named by its smallest doc_id.
     """
-    spark = docs.sparkSession
-    signed = checkpointed(signatures(docs))
-    nodes = checkpointed(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")))
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    # written out: the join then has a plain exchange on either side, so a group of very many texts can be split
-    leaders = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).filter("n > 1").select("key", "a"))
-    met = checkpointed(keyed.join(leaders, "key").select("key", "a", F.col("node").alias("b")))
-    pairs = checkpointed(met.filter("a < b").select("a", "b").distinct())
-    members = met.select(F.col("b").alias("node")).distinct()
-    sets = checkpointed(_sets(docs, nodes.join(members, "node").select(F.col("first").alias("doc_id"))).dropDuplicates(["node"]))
-    release(spark)
-    links = checkpointed(_verified(pairs, sets))
-    tested, roots, most = pairs, components(links), FEW * pairs.count()
-    for again in range(1, ROUNDS + 1):
-        # groups that still hold several components
-        placed = met.join(roots.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("root", "b").alias("root"))
-        parts = checkpointed(placed.groupBy("key", "root").agg(F.count("*").alias("n")))
-        whole = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("roots"))
-        mixed = checkpointed(whole.filter("roots > 1 AND n > 2").select("key", (F.col("n") * F.col("n") - F.col("same")).alias("twice")))
-        left = (mixed.agg(F.sum("twice")).first()[0] or 0) // 2
-        if not left:
-            break
-        rest = checkpointed(placed.join(mixed.select("key"), "key"))
-        side = rest.select("key", F.col("b").alias("a"), F.col("root").alias("a_root"))
-        last = left <= most or again == ROUNDS
-        if not last:
-            # another member is compared with the rest, mostly one of the largest component
-            side = checkpointed(side.groupBy("key").agg(F.min_by(F.struct("a", "a_root"), F.xxhash64("a", F.lit(again))).alias("s")).select("key", "s.*"))
-        more = side.join(rest, "key").filter("a_root <> root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = checkpointed(more.join(tested, ["a", "b"], "left_anti"))
-        tested = checkpointed(tested.union(more))
-        # in slices, since each pair of a slice carries its sets through the shuffles
-        slices = max(1, -(-more.count() // max(SLICE_PAIRS, 2 * most)))
-        for k in range(slices):
-            links = checkpointed(links.union(_verified(more.filter(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k), sets)))
-            release(spark)
-        roots = components(links)
-        if last:
+    g = geometry(docs.count())
+    signed = checkpointed(signatures(docs, g.lanes))
+    text = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_sha256")
+    one = signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(text).alias("text"), F.first("lanes").alias("lanes"), F.first("small").alias("small"))
+    nodes = checkpointed(one.select("node", "first", "text", "small", *[F.get("lanes", F.lit(k)).alias(f"l{k}") for k in range(g.lanes)]))
+    tiny = nodes.select("node", F.explode("small").alias("key"))
+    links = tiny.filter("node = key").select(F.col("node").alias("a"), "key").join(tiny.filter("node <> key").select(F.col("node").alias("b"), "key"), "key").select("a", "b")
+    near = _distance(g) <= g.distance
+    placed = checkpointed(nodes.filter("l0 IS NOT NULL").drop("first", "text", "small").withColumn("root", F.col("node")))
+    known, tested, largest, hot = links, None, 0, True
+    # a node of each group of equal segments against the others: a row for each at most, however many are alike
+    for again in range(ROUNDS):
+        side = _side(placed, g, range(g.lanes), "b", False)
+        one = F.struct("b", "b_root", *[f"b_l{k}" for k in range(g.lanes)])
+        lead = side.groupBy("key").agg(F.min("b_root").alias("low"), F.max("b_root").alias("high"), F.min_by(one, F.xxhash64("b", F.lit(again))).alias("s")).filter("low <> high")
+        # written out: the join then has a plain exchange on either side, so a segment of very many texts can be split
+        lead = checkpointed(lead.select("key", F.col("s.b").alias("a"), F.col("s.b_root").alias("a_root"), *[F.col(f"s.b_l{k}").alias(f"a_l{k}") for k in range(g.lanes)]))
+        met = side.join(lead, "key").filter((F.col("a_root") != F.col("b_root")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        led = checkpointed(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
+        tested = led if tested is None else tested.union(led)
+        known = checkpointed(known.union(verified(docs, nodes, led)).distinct())
+        roots = components(known)
+        placed = checkpointed(placed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        largest, size = next(iter(placed.groupBy("root").count().orderBy(F.desc("count"), "root").limit(1).collect()), (0, 0))
+        hot = HOT * size > placed.count()
+        if not hot:
             break
-    rooted = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = checkpointed(rooted.join(least, "root").select("node", "component_id"))
-    return signed.join(named, "node").select("doc_id", "component_id")
+    # then every pair of two components; one end of a pair lies outside the largest component
+    outside = placed.filter(F.col("root") != largest) if hot else placed
+    turn = (F.col("a") < F.col("b")) | (F.col("b_root") == largest) if hot else F.col("a") < F.col("b")
+    found = []
+    for n in range(g.lanes):
+        a, b = _side(outside, g, range(n, n + 1), "a", True), _side(placed, g, range(n, n + 1), "b", True)
+        met = a.withColumnRenamed("flip", "a_flip").join(b.withColumnRenamed("flip", "b_flip"), "key")
+        found.append(checkpointed(met.filter((F.col("a_root") != F.col("b_root")) & turn & near & _once(g, n)).select("a", "b")))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    fresh = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tested, ["a", "b"], "left_anti")
+    links = checkpointed(known.union(verified(docs, nodes, checkpointed(fresh))))
+    roots = components(links)
+    rooted = nodes.select("node", "text").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = checkpointed(rooted.groupBy("root").agg(F.min("text").alias("best")))
+    named = checkpointed(rooted.join(least, "root").select("node", "best"))
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_sha256") == F.col("best.text_sha256"))
+    return signed.join(named, "node").select("doc_id", "text_sha256", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))

@@ -43,21 +43,26 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, len(starts))
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The bits set in over half of the hashes; none for no hashes.
+def majorities(hashes: np.ndarray) -> np.ndarray:
+    """The bits set in over half of the hashes of each row of a matrix; none for no hashes.
 
-    Byte lanes add up to 255 rows at a time, so 8 shifted sums replace 64 bit columns.
+    Byte lanes add up to 255 hashes at a time, so 8 shifted sums replace 64 bit columns.
     """
-    n = len(hashes)
+    rows, n = hashes.shape
     if not n:
-        return 0
+        return np.zeros(rows, np.uint64)
     cuts = np.arange(0, n, 255)
-    counts = np.empty((8, 8), np.int64)
+    counts = np.empty((rows, 8, 8), np.int64)
     for bit in range(8):
-        lanes = np.add.reduceat((hashes >> np.uint64(bit)) & LANES, cuts)
-        counts[:, bit] = lanes.astype("<u8").view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
-    bits = (2 * counts.ravel() > n).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+        lanes = np.add.reduceat((hashes >> np.uint64(bit)) & LANES, cuts, axis=1)
+        counts[:, :, bit] = lanes.astype("<u8").view(np.uint8).reshape(rows, -1, 8).sum(1, dtype=np.int64)
+    bits = (2 * counts.reshape(rows, 64) > n).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The same of one row."""
+    return int(majorities(hashes[None, :])[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
