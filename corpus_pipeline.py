@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, exact_dedup, near_copies, toxicity
-from lodestone.session import checkpointed, table
+from lodestone.session import checkpointed, delete, shared_folder, table
 
 #: SQL cannot express the learned stage; tests compare the rows with a brute-force version.
 ORACLE_SQL = None
@@ -21,18 +20,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, model)
 
 
+def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are those of the kept ``rows``; of rows that share both, one."""
+    stays = checkpointed(rows.filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text")).agg(F.count("*").alias("_n")))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    met = lambda few: docs.join(stays.filter(few), docs["doc_id"].eqNullSafe(stays["_id"]) & (digest == stays["_text"]))
+    if stays.filter("_n > 1").isEmpty():
+        return met(F.lit(True)).select(*docs.columns)
+    return met(F.col("_n") == 1).union(met(F.col("_n") > 1).dropDuplicates(["_id", "_text"])).select(*docs.columns)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each exact text, the one with the largest doc_id."""
-    rows = exact_dedup.exact_duplicates(docs, exact_dedup.older_half(docs))
-    gone = checkpointed(rows.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return _only(docs, exact_dedup.exact_duplicates(docs, exact_dedup.older_half(docs)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingle sets of similarity 0.8, the one with the least doc_id."""
-    rows = near_copies.near_duplicates(docs)
-    gone = checkpointed(rows.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return _only(docs, near_copies.near_duplicates(docs))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,25 +53,19 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
-    ("near-dedup", drop_near_copies),
+    ("SimHash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_benchmark),
     ("BPE encoding", encode),
 ]
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; what lies between them goes to the session's shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
         if number:
-            _delete(spark, f"{folder}/{number - 1}")
+            delete(spark, f"{folder}/{number - 1}")
     return docs
