@@ -185,32 +185,123 @@ def test_suffix_array():
 # passages
 
 
-def test_passages(frame):
+def shingle_set(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def changed(rng, words, kind, times):
+    out = list(words)
+    for _ in range(times):
+        at = rng.randrange(5, len(out) - 5)
+        if kind == "replace":
+            out[at] = "other"
+        elif kind == "insert":
+            out.insert(at, "other")
+        else:
+            del out[at]
+    return out
+
+
+def test_passages_against_all_windows(frame):
     rng = random.Random(11)
-    shared = [prose(rng, 70) for _ in range(4)]
-    rows = [(i, prose(rng, rng.randint(10, 90)) + " " + shared[i % 4] + "\n" + prose(rng, 30)) for i in range(24)]
-    rows += [(100 + i, prose(rng, 120)) for i in range(20)]
-    near = shared[0].split()
-    near[35] = "other"
-    rows += [(200, prose(rng, 50) + " " + " ".join(near))] + ODD
+    base = [prose(rng, 60).split() for _ in range(3)]
+    rows = []
+    for i in range(36):
+        kind = rng.choice(["replace", "insert", "delete"])
+        middle = changed(rng, base[i % 3], kind, rng.randint(0, 3)) if i % 4 else prose(rng, 55).split()
+        rows.append((i, " ".join(prose(rng, rng.randint(3, 12)).split() + middle + prose(rng, 6).split()).title()))
+    rows += ODD + [(950, None), (7, rows[7][1])]
     got = passages.near_passages(frame(rows)).collect()
-    linked = {(r.first_id, r.doc_id) for r in got}
-    assert {(i % 4, i) for i in range(4, 24)} | {(0, 200)} <= linked
-    assert all(i % 4 == j % 4 and i < 24 and (j < 24 or j == 200) for i, j in linked)
-    texts = {i: (t or "").split() for i, t in rows}
+    texts = {i: (t or "").lower().split() for i, t in rows}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
     for r in got:
-        a, b = (texts[d][w : w + r.n_words] for d, w in ((r.first_id, r.first_word), (r.doc_id, r.word)))
-        assert r.n_words >= 50 and len(a) == len(b) == r.n_words and 0.8 <= r.similarity <= 1
-        assert sum(x == y for x, y in zip(a, b)) >= 0.9 * r.n_words
+        a, b = texts[r.first_id][r.first_word : r.first_word + r.first_words], texts[r.doc_id][r.word : r.word + r.n_words]
+        assert r.first_id < r.doc_id and min(r.first_words, r.n_words) >= 50
+        assert len(a) == r.first_words and len(b) == r.n_words and abs(jaccard(shingle_set(a), shingle_set(b)) - r.similarity) < 1e-9 and r.similarity >= 0.8
+        root[find(r.doc_id)] = find(r.first_id)
+    # all pairs of windows of 50 words
+    sets = {i: [shingle_set(w[k : k + 50]) for k in range(len(w) - 49)] for i, w in texts.items() if i < 36}
+    want = [(i, j) for i in sets for j in sets if i < j and any(jaccard(x, y) >= 0.8 for x in sets[i] for y in sets[j])]
+    assert len(want) > 30 and np.mean([find(i) == find(j) for i, j in want]) >= 0.98
     assert passages.near_passages(frame([])).count() == 0
 
 
-def test_least_tokens():
-    v = np.random.default_rng(0).integers(0, 2**63, 500).astype(np.uint64)
-    least, place = passages.least_tokens(v)
-    for i in range(len(least)):
-        w = v[i : i + passages.WINDOW]
-        assert least[i] == w.min() and v[place[i]] == w.min() and i <= place[i] < i + passages.WINDOW
+def test_passage_recall(frame):
+    rng, rows, pairs = random.Random(17), [], []
+    vocabulary = ["".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    fresh = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    for size in (50, 80, 150):
+        for kind in ("replace", "insert", "delete"):
+            made = 0
+            while made < 30:
+                a = fresh(size + 5 * (size == 50))
+                b = changed(rng, a, kind, rng.randint(1, max(1, size // 40)))
+                if jaccard(shingle_set(a), shingle_set(b)) >= 0.8:
+                    rows += [(len(rows), " ".join(fresh(60) + a + fresh(40))), (len(rows) + 1, " ".join(fresh(30) + b + fresh(70)))]
+                    pairs.append((size, kind, len(rows) - 2))
+                    made += 1
+    got = {(r.first_id, r.doc_id) for r in passages.near_passages(frame(rows)).collect()}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in got)
+    for size in (50, 80, 150):
+        for kind in ("replace", "insert", "delete"):
+            assert np.mean([(i, i + 1) in got for s, k, i in pairs if (s, k) == (size, kind)]) >= 0.9
+
+
+def test_a_shared_line_hides_no_passage(frame):
+    rng, rows = random.Random(18), []
+    vocabulary = ["".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    fresh = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    for g in range(20):
+        around, line = fresh(30), fresh(34)
+        rows += [(3 * g, " ".join(fresh(40) + line + fresh(40))), *[(3 * g + k, " ".join(fresh(25) + around[:12] + line + around[12:] + fresh(25))) for k in (1, 2)]]
+    rows += [(100 + i, " ".join(fresh(30) + rows[0][1].split()[40:74] + fresh(30))) for i in range(30)]
+    got = {(r.first_id, r.doc_id) for r in passages.near_passages(frame(rows)).collect()}
+    assert got == {(3 * g + 1, 3 * g + 2) for g in range(20)}
+
+
+def test_compact_windows():
+    values = np.random.default_rng(0).integers(0, 2**63, 700).astype(np.uint64)
+    values[300:330] = values[300]
+    owner = np.repeat(np.arange(5), [0, 290, 30, 180, 200])
+    want = set()
+
+    def split(lo, hi):  # the Cartesian tree, node by node
+        if hi - lo + 1 >= passages.LEAST:
+            c = min(range(lo, hi + 1), key=lambda k: (int(values[k]) >> 32, k))
+            want.add((lo, c, hi))
+            split(lo, c - 1)
+            split(c + 1, hi)
+
+    for text in range(5):
+        inside = np.nonzero(owner == text)[0]
+        if len(inside):
+            split(int(inside[0]), int(inside[-1]))
+    found = passages.compact_windows(values, owner)
+    assert set(zip(*[x.tolist() for x in found])) == want
+    other = passages.compact_windows(values[::-1].copy(), owner)
+    i, j = passages.joined(found, other)
+    both = {(a, b) for a in range(len(found[0])) for b in range(len(other[0])) if max(found[0][a], other[0][b]) <= min(found[1][a], other[1][b]) and max(found[1][a], other[1][b]) <= min(found[2][a], other[2][b]) and min(found[2][a], other[2][b]) - max(found[0][a], other[0][b]) + 1 >= passages.LEAST}
+    assert set(zip(i.tolist(), j.tolist())) == both
+
+
+def test_word_hashes(monkeypatch):
+    text = "Some words, a\ttab \r\n and É then Some\x0bwords again " * 9
+    monkeypatch.setattr(passages, "BLOCK", 50)
+    h, at = passages.word_hashes(text.encode())
+    words = text.encode().split()
+    assert len(h) == len(words) and [text.encode()[k:].startswith(w) for k, w in zip(at.tolist(), words)]
+    lowered = [w.lower() if w.isascii() else w for w in words]
+    assert len(set(zip(h.tolist(), lowered))) == len(set(lowered)) == len(set(h.tolist()))
 
 
 # benchmark overlaps
