@@ -1,21 +1,26 @@
 """Exact duplicates: static binary-fuse filters of an immutable snapshot screen each incoming batch.
 
-The snapshot's digests are dealt into buckets by their leading bits, each bucket builds one three-wise binary
-fuse filter (8-bit, about 9 bits a digest, never a false negative) and keeps it as a row of bytes. The digests
-of a batch meet their bucket's filter; what it lets through joins the exact bucket and is compared byte for
-byte, what it rejects is new. Copies inside the batch are grouped on their own, before the screening.
+A snapshot is written once: its classes (one row per text) and, for each bucket of digests, one three-wise binary fuse
+filter (8-bit, about 9 bits a digest, never a false negative) as a row of bytes. It is loaded as it was written. The
+batch is grouped on its own, one row per text; its digests meet their bucket's filter. What a filter rejects is new
+and goes no further. What it lets through joins the exact bucket of classes, and all copies are compared byte for
+byte with the text that stands for their class.
 
 Both sides are aggregated to one row per text before anything is joined, so a hot text costs one row per task.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, ship, table, whole_text
+from lodestone.llm.common import checkpointed, discard, ship, table, whole_text
+from lodestone.session import shared_folder
 
 #: Digests that a bucket's filter holds on average.
 BUCKET = 100_000
@@ -115,46 +120,65 @@ def build_filters(digests: DataFrame, buckets: int) -> DataFrame:
     return keyed.groupBy("bucket").applyInArrow(build, "bucket int, filter binary")
 
 
-def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """(digest, positive) of distinct (digest) rows: false is certain, true is to be verified.
+def classes(digested: DataFrame) -> DataFrame:
+    """(digest, keep, n): one row per text of a table of (doc_id, digest), its largest doc_id and its rows."""
+    return digested.groupBy("digest").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n"))
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """What ``save_snapshot`` has written: classes (digest, keep, n), filters (bucket, filter), number of buckets."""
+
+    classes: DataFrame
+    filters: DataFrame
+    buckets: int
+
+
+def save_snapshot(digested: DataFrame, folder: str, bucket_size: int = BUCKET) -> None:
+    """Writes the snapshot of a table of (doc_id, digest) to a new folder, once and for all."""
+    spark = digested.sparkSession
+    classes(digested).write.parquet(f"{folder}/classes")
+    held = spark.read.parquet(f"{folder}/classes")
+    buckets = max(1, -(-held.count() // bucket_size))
+    build_filters(held.select("digest"), buckets).withColumn("buckets", F.lit(buckets)).write.parquet(f"{folder}/filters")
+
+
+def load_snapshot(spark: SparkSession, folder: str) -> Snapshot:
+    """The snapshot in a folder, filters as they were built."""
+    filters = spark.read.parquet(f"{folder}/filters")
+    row = filters.select("buckets").first()
+    return Snapshot(spark.read.parquet(f"{folder}/classes"), filters.drop("buckets"), row[0] if row else 1)
 
-    A bucket without a filter holds nothing. Each bucket's digests meet its one filter, streamed in batches.
+
+def screen(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """The (digest, keep, n) classes of a batch with ``positive``: false is certain, true is to be verified.
+
+    A bucket without a filter holds nothing. A bucket with more than BUCKET digests of the batch is cut into slices,
+    each of which gets the filter.
     """
-    ship(digests.sparkSession)
+    ship(batch.sparkSession)
+    slices = max(1, -(-batch.count() // (snapshot.buckets * BUCKET)))
 
     def test(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows:
             hit = np.zeros(left.num_rows, bool)
         else:
             hit = FuseFilter.unpack(right.column("filter")[0].as_py()).may_hold(left.column("key").to_numpy().view(np.uint64))
-        return pa.table({"digest": left.column("digest"), "positive": pa.array(hit)})
-
-    keyed = digests.select(_bucket(F.col("digest"), buckets).alias("bucket"), "digest", _key(F.col("digest")).alias("key"))
-    return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(test, "digest string, positive boolean")
-
-
-def classes(digested: DataFrame) -> DataFrame:
-    """(digest, keep, n): one row per text of a table of (doc_id, digest), its largest doc_id and its rows."""
-    return digested.groupBy("digest").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n"))
-
+        return left.select(["digest", "keep", "n"]).append_column("positive", pa.array(hit))
 
-def _class_texts(docs: DataFrame, pairs: DataFrame, keep: str) -> DataFrame:
-    """(digest, text) of the row that stands for each class; a class of null doc_ids goes by its digest."""
-    named = docs.join(pairs.select(F.col(keep).alias("doc_id"), "digest"), "doc_id").select("digest", "text")
-    nameless = docs.filter("doc_id IS NULL").groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"))
-    return named.union(nameless.join(pairs.filter(F.col(keep).isNull()).select("digest"), "digest").select("digest", "text"))
+    key = _key(F.col("digest"))
+    cut = lambda c: F.pmod(c, F.lit(slices)).cast("int").alias("slice")
+    keyed = batch.select(_bucket(F.col("digest"), snapshot.buckets).alias("bucket"), cut(F.shiftright(key, 20)), "digest", key.alias("key"), "keep", "n")
+    filters = snapshot.filters.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "filter")
+    by = ["bucket", "slice"]
+    return keyed.groupBy(*by).cogroup(filters.groupBy(*by)).applyInArrow(test, "digest string, keep long, n long, positive boolean")
 
 
-def match_snapshot(snapshot: DataFrame, batch: DataFrame, snapshot_docs: DataFrame, batch_docs: DataFrame, buckets: int) -> DataFrame:
-    """Digests of ``batch`` (classes) that ``snapshot`` (classes) holds, verified on the bytes of both texts."""
-    filters = build_filters(snapshot.select("digest"), buckets)
-    positives = screen(batch.select("digest"), filters, buckets).filter("positive").select("digest")
-    pairs = checkpointed(
-        positives.join(snapshot.select("digest", F.col("keep").alias("old")), "digest").join(batch.select("digest", F.col("keep").alias("new")), "digest")
-    )
-    old = _class_texts(snapshot_docs, pairs, "old").withColumnRenamed("text", "old_text")
-    new = _class_texts(batch_docs, pairs, "new").withColumnRenamed("text", "new_text")
-    return old.join(new, "digest").filter(F.col("old_text") == F.col("new_text")).select("digest").distinct()
+def differing(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of (doc_id, digest, text) that are not the bytes of the row that stands for their (digest, keep) class."""
+    named = (texts["digest"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(wanted["keep"])
+    stands = checkpointed(texts.join(wanted, named).select(texts["digest"], "text").dropDuplicates(["digest"]))
+    return texts.join(stands.withColumnRenamed("text", "_stands"), "digest").filter(F.col("text") != F.col("_stands"))
 
 
 def exact_duplicates(docs: DataFrame, in_snapshot: Column, bucket_size: int = BUCKET) -> DataFrame:
@@ -163,35 +187,32 @@ def exact_duplicates(docs: DataFrame, in_snapshot: Column, bucket_size: int = BU
     ``in_snapshot`` marks the rows that stand for the immutable snapshot; the others are the incoming batch.
     Of equal texts the row with the largest doc_id stays. Defined cases: null text is empty; of rows that
     repeat the largest doc_id each is kept; a null doc_id counts in its group and is kept only if the group
-    has no other; an empty table gives an empty result; other columns are ignored.
+    has no other; an empty table gives an empty result; other columns are ignored. Two different texts with one
+    SHA-256 digest raise an error.
     """
-    texts = docs.select("doc_id", whole_text().alias("text"), F.coalesce(in_snapshot, F.lit(False)).alias("old"))
-    digested = checkpointed(texts.select("doc_id", "old", F.sha2("text", 256).alias("digest")))
-    snapshot, batch = classes(digested.filter("old")), classes(digested.filter("not old"))
-    most = max(d.count() for d in (snapshot, batch))
-    buckets = max(1, -(-most // bucket_size))
-    known = match_snapshot(snapshot, batch, texts.filter("old").select("doc_id", "text"), texts.filter("not old").select("doc_id", "text"), buckets)
-    # a batch text joins its snapshot class only once the bytes have been compared
-    both = snapshot.select("digest", F.col("keep").alias("old_keep"), F.col("n").alias("old_n")).join(
-        batch.select("digest", F.col("keep").alias("new_keep"), F.col("n").alias("new_n")), "digest", "full"
-    )
-    met = both.join(known.withColumn("hit", F.lit(True)), "digest", "left")
-    one = F.coalesce("hit", F.lit(False))
+    spark = docs.sparkSession
+    texts = docs.select("doc_id", whole_text().alias("text"), F.coalesce(in_snapshot, F.lit(False)).alias("old")).withColumn("digest", F.sha2("text", 256))
+    digested = checkpointed(texts.select("doc_id", "old", "digest"))
+    folder = f"{shared_folder(spark)}/lodestone-{spark.sparkContext.applicationId}/snapshot-{uuid.uuid4().hex}"
+    save_snapshot(digested.filter("old").drop("old"), folder, bucket_size)
+    snapshot = load_snapshot(spark, folder)
+    batch = checkpointed(classes(digested.filter("not old")))
+    screened = checkpointed(screen(batch, snapshot))
+    discard(batch)
+    exact = snapshot.classes.select("digest", F.col("keep").alias("old_keep"), F.col("n").alias("old_n"))
+    passed = checkpointed(screened.filter("positive").join(exact, "digest", "left"))
+    met = passed.filter("old_n IS NOT NULL")
+    apart = snapshot.classes.join(met.select("digest"), "digest", "left_anti")
+    fresh = screened.filter("not positive").select("digest", "keep", "n").union(passed.filter("old_n IS NULL").select("digest", "keep", "n"))
+    copied = fresh.filter("n > 1").union(apart.filter("n > 1")).select("digest", "keep").union(met.select("digest", "old_keep"))
+    if not differing(texts, checkpointed(copied)).isEmpty():
+        raise ValueError("two different texts have one SHA-256 digest")
+    both = met.select("digest", F.greatest("old_keep", "keep").alias("keep_id"), (F.col("old_n") + F.col("n")).alias("group_size"))
     # written out, so that the join below has a plain exchange on either side and hot digests can be split
-    groups = checkpointed(
-        met.select(
-            "digest",
-            F.when(one, F.greatest("old_keep", "new_keep")).otherwise(F.col("old_keep")).alias("old_keep"),
-            F.when(one, F.col("old_n") + F.col("new_n")).otherwise(F.col("old_n")).alias("old_n"),
-            F.when(one, F.greatest("old_keep", "new_keep")).otherwise(F.col("new_keep")).alias("new_keep"),
-            F.when(one, F.col("old_n") + F.col("new_n")).otherwise(F.col("new_n")).alias("new_n"),
-        )
-    )
-    of = lambda old, new: F.when(F.col("old"), F.col(old)).otherwise(F.col(new))
-    rows = digested.join(groups, "digest").select("doc_id", "digest", of("old_keep", "new_keep").alias("keep_id"), of("old_n", "new_n").alias("group_size"))
-    return rows.select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.col("digest").alias("text_sha256")
-    )
+    groups = checkpointed(fresh.union(apart).union(both))
+    rows = digested.join(groups, "digest").withColumnsRenamed({"keep": "keep_id", "n": "group_size", "digest": "text_sha256"})
+    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
+    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def older_half(docs: DataFrame) -> Column:

@@ -43,6 +43,27 @@ def test_exact_duplicates(frame):
     assert exact_dedup.exact_duplicates(frame([]), F.lit(True)).count() == 0
 
 
+def test_snapshot_stays_as_written(spark, tmp_path):
+    old = spark.range(500).select(F.col("id").alias("doc_id"), F.sha2((F.col("id") % 300).cast("string"), 256).alias("digest"))
+    exact_dedup.save_snapshot(old, f"{tmp_path}/s", 50)
+    snapshot = exact_dedup.load_snapshot(spark, f"{tmp_path}/s")
+    assert (snapshot.buckets, snapshot.filters.count(), snapshot.classes.count()) == (6, 6, 300)
+    batch = spark.range(200, 5000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    got = exact_dedup.screen(exact_dedup.classes(batch), snapshot).collect()
+    assert len(got) == 4800 and all(r.positive for r in got if r.keep < 300) and sum(r.positive for r in got) < 200
+    plan = exact_dedup.screen(exact_dedup.classes(batch), snapshot)._jdf.queryExecution().toString()
+    assert "Join" not in plan
+    with pytest.raises(Exception):
+        exact_dedup.save_snapshot(old, f"{tmp_path}/s", 50)
+
+
+def test_bytes_are_compared(spark):
+    rows = spark.createDataFrame([(1, "d", "x"), (2, "d", "x"), (3, "d", "y"), (None, "e", "z"), (None, "e", "w")], "doc_id long, digest string, text string")
+    wanted = spark.createDataFrame([("d", 2), ("e", None)], "digest string, keep long")
+    got = {(r.doc_id, r.digest) for r in exact_dedup.differing(rows, wanted).collect()}
+    assert got == {(3, "d"), (None, "e")}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 50, 20000])
 def test_fuse_filter(n):
     keys = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)
