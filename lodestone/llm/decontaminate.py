@@ -5,9 +5,11 @@ every word of every text and of every benchmark item; equal hashes put the two t
 position minus item position), along which whole items are compared word by word. The longest run with at least
 four equal words in five is taken.
 
-Positions are unfolded inside one generated stage that reads the texts once. While the benchmark's seeds stay
-under BROADCAST_SEEDS (their number is checked) they are broadcast and hits are verified where they arise;
-beyond it seeds and texts meet in a shuffle join and the candidates read their texts again.
+Items too short for that (under MIN_WORDS words) are found where they stand word for word.
+
+Positions are unfolded inside one generated stage that reads the texts once. While the benchmark's seeds and words
+stay under BROADCAST_BYTES (their number is checked) both are broadcast, each once; beyond it they meet the texts in
+shuffle joins. Only texts with hits are read again and compared, once for each diagonal.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ MASKS = ((0, 1, 2, 3, 6), (0, 1, 3, 5, 8), (0, 2, 3, 5, 7))
 SPAN = 1 + max(map(max, MASKS))
 #: Least words of a reported overlap, and least share of equal words.
 MIN_WORDS, SIMILARITY = 10, 0.8
-BROADCAST_SEEDS = 500_000
+#: Bytes of seeds (SEED_BYTES each) and item words (8 each) up to which they are broadcast.
+BROADCAST_BYTES, SEED_BYTES = 48 << 20, 48
 
 
 def words(text: Column) -> Column:
@@ -41,9 +44,10 @@ def _unfolded(df: DataFrame, *keep: str) -> DataFrame:
     return at.select(*keep, "h", "at", F.explode(F.array(*[seed(n, m) for n, m in enumerate(MASKS)])).alias("seed"))
 
 
-def _compared(h: Column, item: Column, diagonal: Column) -> Column:
-    """Whether each word of the item equals the text's word on the diagonal; false outside the text."""
-    return F.transform(item, lambda w, q: F.coalesce(F.get(h, q + diagonal) == w, F.lit(False)))
+def _compared(h: Column, item: Column, diagonal: Column, skipped: Column) -> Column:
+    """Whether each word of the item, from the first that lies inside the text, equals the text's word on the diagonal."""
+    inside = F.slice(item, skipped + 1, F.greatest(F.least(F.size(item), F.size(h) - diagonal) - skipped, F.lit(0)))
+    return F.transform(inside, lambda w, q: F.coalesce(F.get(h, q + skipped + diagonal) == w, F.lit(False)))
 
 
 def _let(value: Column, f) -> Column:
@@ -86,45 +90,59 @@ def _longest(equal: Column) -> Column:
     return _let(_let(_let(sums, bounds), widest), lambda r: F.struct(r["first"].alias("first"), r["n_words"].alias("n_words"), counted(r).alias("n_equal")))
 
 
-def _overlap(equal: Column) -> Column:
-    """The best run as struct(first, n_words, n_equal): the item as a whole if enough of it is in place, else the
-    longest run with enough equal words."""
-    n = F.size(equal)
+def _overlap(equal: Column, skipped: Column, n: Column) -> Column:
+    """The best run as struct(first, n_words, n_equal): the item of ``n`` words as a whole if enough of it is in place,
+    else the longest run with enough equal words."""
     hits = F.size(F.filter(equal, lambda e: e))
     whole = F.struct(F.lit(0).alias("first"), n.alias("n_words"), hits.alias("n_equal"))
+    moved = _let(_longest(equal), lambda r: F.struct((r["first"] + skipped).alias("first"), r["n_words"].alias("n_words"), r["n_equal"].alias("n_equal")))
     # fewer equal words than this are no overlap wherever they stand
-    return F.when(hits >= SIMILARITY * n, whole).when(hits >= SIMILARITY * MIN_WORDS, _longest(equal))
+    return F.when(hits >= SIMILARITY * n, whole).when(hits >= SIMILARITY * MIN_WORDS, moved)
+
+
+def _short_overlaps(texts: DataFrame, short: DataFrame, small: bool) -> DataFrame:
+    """(doc_id, item_id, doc_word, n_words, n_equal) of items of under MIN_WORDS words, at their first place in a text."""
+    lengths = sorted(r[0] for r in short.select(F.size("h")).distinct().collect())  # MIN_WORDS - 1 at most
+    seed = lambda at, n: F.xxhash64(F.lit(n), *[F.get("h", at + k) for k in range(n)])
+    at = texts.select("doc_id", "h", F.explode_outer(F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1))).alias("at")).filter(F.col("at").isNotNull())
+    cuts = F.array(*[F.struct(F.lit(n).alias("n"), seed(F.col("at"), n).alias("seed")) for n in lengths])
+    cut = at.select("doc_id", "h", "at", F.explode(cuts).alias("s")).select("doc_id", "h", "at", "s.n", "s.seed")
+    items = short.select("item_id", F.col("h").alias("item"), F.size("h").alias("k")).withColumn("seed", F.coalesce(*[F.when(F.col("k") == n, F.xxhash64(F.lit(n), *[F.get("item", F.lit(i)) for i in range(n)])) for n in lengths]))
+    met = cut.join(F.broadcast(items) if small else items, "seed").filter(F.slice("h", F.col("at") + 1, F.col("n")) == F.col("item"))
+    return met.groupBy("doc_id", "item_id").agg(F.min("at").alias("doc_word"), F.first("n").alias("n_words"), F.first("n").alias("n_equal"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, doc_word, n_words, n_equal): the best verified overlap of each text with each item.
 
     Overlaps have MIN_WORDS words or more, at least SIMILARITY of them equal; parts of an item begin and end with an
-    equal word. Defined cases: null and empty
-    texts, and texts or items of fewer than SPAN words, have no seeds and no overlaps; rows that repeat a
-    doc_id or item_id count as one text each and the best of them is returned; empty tables give no rows; other
-    columns are ignored.
+    equal word. Items of fewer words overlap as a whole, word for word. Of several overlaps of a text with an item the
+    one with the most equal words is returned, then the shorter, then the earlier. Defined cases: null and empty texts
+    and items have no words and no overlaps; very long texts and items are compared whole; rows that repeat a doc_id
+    or item_id are texts of their own, and the best of them is returned; empty tables give no rows; other columns are
+    ignored.
     """
-    items = checkpointed(benchmark.select("item_id", words(whole_text()).alias("h")))
-    seeds = _unfolded(items, "item_id").select("item_id", F.col("h").alias("item"), F.col("at").alias("item_at"), "seed")
-    n_seeds = items.agg(F.sum(F.greatest(F.size("h") - SPAN + 1, F.lit(0)) * len(MASKS))).first()[0] or 0
+    items = checkpointed(benchmark.select("item_id", words(whole_text()).alias("h")).filter(F.size("h") > 0))
+    seeds = _unfolded(items, "item_id").select("item_id", F.col("at").alias("item_at"), "seed")
+    n_seeds = F.greatest(F.size("h") - SPAN + 1, F.lit(0)) * len(MASKS)
+    small = (items.agg(F.sum((n_seeds * SEED_BYTES + F.size("h") * 8).cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
     texts = docs.select("doc_id", words(whole_text()).alias("h"))
+    compared = items.withColumnRenamed("h", "item")
     diagonal = F.col("at") - F.col("item_at")
     once = lambda c: F.explode(F.array(c))  # noqa: E731  filters on the fields do not copy the expression below it
-    if n_seeds <= BROADCAST_SEEDS:
-        # the item's words ride along with its seeds: MASKS x words copies of a short array
-        met = _unfolded(texts, "doc_id").join(F.broadcast(seeds), "seed").select("doc_id", "item_id", diagonal.alias("diagonal"), "h", "item")
-    else:
-        hits = _unfolded(texts, "doc_id").select("doc_id", "at", "seed").join(seeds.select("item_id", "item_at", "seed"), "seed")
-        pairs = checkpointed(hits.select("doc_id", "item_id", diagonal.alias("diagonal")).distinct())
-        met = pairs.join(texts, "doc_id").join(items.withColumnRenamed("h", "item"), "item_id")
-    # all hits on a diagonal see the same words in place: one row of them is left, before the run is sought
-    lines = met.select("doc_id", "item_id", "diagonal", _compared(F.col("h"), F.col("item"), F.col("diagonal")).alias("equal")).distinct()
-    found = lines.select("doc_id", "item_id", "diagonal", once(_overlap(F.col("equal"))).alias("o"))
+    hits = _unfolded(texts, "doc_id").select("doc_id", "at", "seed").join(F.broadcast(seeds) if small else seeds, "seed")
+    # all hits on a diagonal ask for the same comparison
+    pairs = checkpointed(hits.select("doc_id", "item_id", diagonal.alias("diagonal")).distinct())
+    met = pairs.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "item_id", "diagonal", once(words(whole_text())).alias("h"))
+    met = met.join(F.broadcast(compared) if small else compared, "item_id").withColumn("skipped", F.greatest(-F.col("diagonal"), F.lit(0)))
+    lines = met.select("doc_id", "item_id", "diagonal", "skipped", F.size("item").alias("n"), once(_compared(F.col("h"), F.col("item"), F.col("diagonal"), F.col("skipped"))).alias("equal"))
+    found = lines.select("doc_id", "item_id", "diagonal", once(_overlap(F.col("equal"), F.col("skipped"), F.col("n"))).alias("o"))
     good = found.filter((F.col("o.n_words") >= MIN_WORDS) & (F.col("o.n_equal") >= SIMILARITY * F.col("o.n_words")))
     rank = F.struct("o.n_equal", -F.col("o.n_words"), -(F.col("diagonal") + F.col("o.first")))
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct(rank.alias("r"), (F.col("diagonal") + F.col("o.first")).alias("doc_word"), F.col("o.n_words").alias("n_words"), F.col("o.n_equal").alias("n_equal"))).alias("b"))
-    return best.select("doc_id", "item_id", "b.doc_word", "b.n_words", "b.n_equal")
+    best = best.select("doc_id", "item_id", "b.doc_word", "b.n_words", "b.n_equal")
+    short = items.filter(F.size("h") < MIN_WORDS)
+    return best if short.isEmpty() else best.union(_short_overlaps(texts, short, small))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

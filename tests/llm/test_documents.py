@@ -330,7 +330,7 @@ def test_word_hashes(monkeypatch):
 
 def test_decontamination(frame, spark, monkeypatch):
     rng = random.Random(12)
-    items = [(i, prose(rng, rng.randint(15, 50))) for i in range(12)] + [(50, None), (51, ""), (52, "short one")]
+    items = [(i, prose(rng, rng.randint(15, 50))) for i in range(12)] + [(50, None), (51, ""), (52, "short one"), (53, "twoabc threeabc, Fourabc")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows, want = [], set()
     for i in range(60):
@@ -343,18 +343,47 @@ def test_decontamination(frame, spark, monkeypatch):
                     w[k] = "subst"
             t, want = prose(rng, i) + ", " + " ".join(w) + ". " + t, want | {(i, item)}
         rows.append((i, t))
-    rows += ODD
+    rows += ODD + [(960, "so twoabc THREEABC fourabc twoabc threeabc fourabc"), (961, "twoabc threeabc"), (962, "twoabc other threeabc fourabc")]
+    want.add((960, 53))
     for bound in (10**6, 0):
-        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", bound)
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
         got = decontaminate.overlaps(frame(rows), bench).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want
-        assert all(r.n_equal >= 0.8 * r.n_words and r.n_words >= 10 for r in got)
+        assert all(r.n_equal >= 0.8 * r.n_words and r.n_words >= 10 or r[:] == (960, 53, 1, 3, 3) for r in got)
     clean = decontaminate.decontaminate(frame(rows), bench)
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _ in rows if i not in {a for a, _ in want})
     assert decontaminate.overlaps(frame([]), bench).count() == 0
     assert decontaminate.overlaps(frame(rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_against_all_runs(frame, spark):
+    rng = random.Random(20)
+    items = [(i, prose(rng, n)) for i, n in enumerate((12, 20, 35, 60))]
+    rows = []
+    for i in range(120):
+        part = items[i % 4][1].split()[rng.randint(0, 8) :]
+        part = [w if rng.random() < rng.choice((0.7, 0.9, 1)) else "other" for w in part]
+        rows.append((i, " ".join(prose(rng, rng.randint(0, 9)).split() + part + prose(rng, 5).split())))
+    want = {}
+    for d, t in rows:
+        for k, item in items:
+            a, b = t.split(), item.split()
+            for shift in range(-len(b), len(a)):
+                equal = [0 <= q + shift < len(a) and a[q + shift] == b[q] for q in range(len(b))]
+                if any(sum(equal[x:y]) >= 0.8 * (y - x) for x in range(len(b)) for y in range(x + 10, len(b) + 1) if equal[x] and equal[y - 1] or y - x == len(b)):
+                    want[d, k] = True
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(frame(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 40 and got <= want.keys() and len(got) >= 0.97 * len(want)
+
+
+def test_a_very_long_item(frame, spark):
+    rng = random.Random(25)
+    long = ["w%d" % rng.randrange(10**6) for _ in range(20000)]
+    rows = [(1, " ".join(long[500:530])), (2, " ".join(long)), (3, prose(rng, 500))]
+    got = decontaminate.overlaps(frame(rows), spark.createDataFrame([(1, " ".join(long))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.n_equal) for r in got} == {(1, 30), (2, 20000)}
+
+
 # shards
 
 
