@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, pieces, ship, table, whole_text
+from lodestone.llm.common import checkpointed, pieces, ship, spread, table, whole_text
 
 LENGTH = 100
 GRAM = 32
@@ -82,6 +82,33 @@ def text_runs(raw: bytes):
             yield hashes, starts + at, counts, again
 
 
+def _directly_sorted(padded: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """``places`` in the order of the ``depth`` bytes from each: eight bytes at a time, and only what is still tied."""
+    words = np.ndarray((len(padded) - 7,), dtype=">u8", buffer=padded, strides=(1,))
+    order, tied, group = places.copy(), np.arange(len(places)), np.zeros(len(places), np.int64)
+    for k in range(0, depth if len(places) else 0, 8):
+        key = words[order[tied] + k].astype(np.uint64)
+        by = np.lexsort((key, group)) if k else np.argsort(key, kind="stable")
+        order[tied], key, group = order[tied][by], key[by], group[by]
+        new = np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))
+        group = np.cumsum(new)
+        more = ~new | ~np.append(new[1:], True)
+        tied, group = tied[more], group[more]
+        if not len(tied):
+            break
+    return order
+
+
+def other_runs(raw: bytes, owner: int) -> list[tuple[int, int, int]]:
+    """(other owner, first window, windows) of a snippet whose windows share the gram of ``owner`` (signed)."""
+    h = gram_hashes(np.frombuffer(raw, np.uint8))
+    other = (h ^ (h >> np.uint64(29))) * _STEPS[1]
+    other[h == np.int64(owner).view(np.uint64)] = ~np.uint64(0)
+    least = _sliding(other, LENGTH - GRAM + 1, np.minimum)
+    starts = np.concatenate([[0], np.nonzero(least[1:] != least[:-1])[0] + 1])
+    return list(zip(least[starts].view(np.int64).tolist(), starts.tolist(), np.diff(np.append(starts, len(least))).tolist()))
+
+
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """Positions of ``text`` (bytes, none 0) in the order of their suffixes, exact to ``depth`` bytes or more."""
     n = len(text)
@@ -89,14 +116,12 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         return np.empty(0, np.int64)
     after = np.append(text[1:], np.uint8(0))
     # a suffix is smaller than its successor if the next different byte rises
-    place = np.where(text != after, np.arange(n), n)
+    place = np.where(text != after, np.arange(n, dtype=np.int32), np.int32(n))
     turn = np.minimum.accumulate(place[::-1])[::-1]
     small = text[turn] < after[turn]
+    del place, turn
     # first stage: direct sorting of the small ones
-    padded = np.concatenate([text, np.zeros(depth, np.uint8)])
-    strings = np.ndarray((n,), dtype=f"S{depth}", buffer=padded, strides=(1,))
-    direct = np.nonzero(small)[0]
-    direct = direct[np.argsort(strings[direct], kind="stable")]
+    direct = _directly_sorted(np.concatenate([text, np.zeros(depth + 8, np.uint8)]), np.nonzero(small)[0], depth)
     # second stage: buckets of first bytes in rising order; in each, induced suffixes come before direct ones
     sizes = np.bincount(text, minlength=257)
     begins = np.concatenate([[0], np.cumsum(sizes)])
@@ -182,8 +207,8 @@ def spans_of(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, gap + 1)].tolist(), (starts[np.append(gap, len(starts) - 1)] + LENGTH).tolist()))
 
 
-#: Bytes of distinct snippets of one owner above which its windows are dealt out one by one.
-OWNER_BYTES = 32 << 20
+#: Bytes of distinct snippets of one owner above which its windows are dealt out by their other grams.
+OWNER_BYTES = 4 << 20
 _PLACE = "doc_id long, tid int, start int, windows int"
 
 
@@ -211,7 +236,7 @@ def _map_runs(texts: DataFrame, schema: str, f) -> DataFrame:
                 if parts:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[n.name] for p in parts]), type=n.type, from_pandas=False) for n in arrow], schema=arrow)
 
-    return texts.mapInArrow(over, out)
+    return spread(texts).mapInArrow(over, out)
 
 
 def _owner_rows(doc, tid, raw, run) -> dict:
@@ -231,17 +256,18 @@ def shared_places(texts: DataFrame) -> DataFrame:
     """(owner, same, doc_id, tid, start, windows) of every snippet whose owner is seen more than once."""
     seen = _map_runs(texts, "owner long, again boolean", _owner_rows)
     hot = seen.groupBy("owner").agg(F.count("*").alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("owner")
+    # written out: the join then has a plain exchange on either side, so an owner of very many places can be split
+    hot = checkpointed(hot)
     return _map_runs(texts, f"owner long, same long, {_PLACE}", _place_rows).join(hot, "owner")
 
 
 def _cut(texts: DataFrame, first: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, doc_id, tid, start, snippet): the bytes of first places; those of overfull owners window by window."""
+    """(bucket, doc_id, tid, start, snippet): the bytes of first places; those of overfull owners in shorter
+    snippets, by the least other hash of the grams that are not the owner's."""
     ship(texts.sparkSession)
     wanted = first.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "windows", "owner", "big")).alias("at"))
 
     def over(batches):
-        from xxhash import xxh3_64_intdigest as h
-
         for batch in batches:
             for piece in pieces(batch, 2):
                 rows = []
@@ -252,7 +278,7 @@ def _cut(texts: DataFrame, first: DataFrame, buckets: int) -> DataFrame:
                         if not p["big"]:
                             rows.append((p["owner"] % buckets, doc, tid, a, raw[a : a + n + LENGTH - 1]))
                         else:
-                            rows += [(h(raw[i : i + LENGTH]) % buckets, doc, tid, i, raw[i : i + LENGTH]) for i in range(a, a + n)]
+                            rows += [(o % buckets, doc, tid, a + i, raw[a + i : a + i + m + LENGTH - 1]) for o, i, m in other_runs(raw[a : a + n + LENGTH - 1], p["owner"])]
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "doc_id", "tid", "start", "snippet"])
 
@@ -274,7 +300,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, begin, end) in bytes: spans of repeats, which may overlap; their union is what is removed.
 
     A snippet's first place is the least (doc_id, start). All other places of the same snippet are repeats as a
-    whole; the first places go to the suffix arrays. Four checkpoints keep each step's shuffles apart.
+    whole; the first places go to the suffix arrays.
     """
     # rows without a doc_id keep all and are nobody's first place
     spark, texts = docs.sparkSession, _texts(docs).filter("doc_id IS NOT NULL")

@@ -182,6 +182,20 @@ def test_substring_dedup(frame, monkeypatch, owner_bytes):
     assert suffix_dedup.remove_repeats(frame([])).count() == 0
 
 
+def test_memory_of_a_large_bucket():
+    import tracemalloc
+
+    rng = random.Random(26)
+    common = prose(rng, 12).encode()[:40]
+    snippets = [(prose(rng, 12).encode() + common + prose(rng, 12).encode())[:168] for _ in range(12000)]
+    keys = np.stack([np.arange(len(snippets)), np.zeros(len(snippets), np.int64)], 1)
+    size = sum(map(len, snippets))
+    tracemalloc.start()
+    suffix_dedup.repeated_windows(snippets, keys)
+    assert tracemalloc.get_traced_memory()[1] < 60 * size
+    tracemalloc.stop()
+
+
 def test_repeated_rows_are_one_document(frame):
     text = prose(random.Random(8), 60)
     got = suffix_dedup.remove_repeats(frame([(1, text), (1, text), (2, text)])).collect()
