@@ -1,16 +1,20 @@
 """Near duplicates by SimHash fingerprints and multi-index hashing.
 
-A fingerprint has 64 bits, cut into three segments of 21, 21 and 22 bits. If two fingerprints differ in at
-most 4 bits, the differences cannot fill all of (two, two, one): so the first or second segment differs in
-at most one bit, or the third in none. Each fingerprint therefore looks up the Hamming balls of radius 1
-around its first two segments and the third segment itself: 45 probes, whatever the corpus holds. Every match
-is verified on all 64 bits inside the join, so only true links leave it.
+A fingerprint has 64 bits. Up to CROSSING fingerprints it is cut into three segments of 21, 21 and 22 bits. If two
+fingerprints differ in at most 4 bits, the differences cannot fill all of (two, two, one): so the first or second
+segment differs in at most one bit, or the third in none. Each fingerprint therefore looks up the Hamming balls of
+radius 1 around its first two segments and the third segment itself: 45 probes, each of which meets about n / 2^21
+others by chance. Beyond CROSSING those outweigh the probes, and two segments of 32 bits with balls of radius 2 and 1
+are taken: 562 probes, each of which meets n / 2^32. Every match is verified on all 64 bits inside the join, so only
+true links leave it.
 
 Rows with one fingerprint are one class before anything is probed; hot groups of copies cost one row here.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,6 +25,9 @@ from lodestone.llm.components import components
 
 #: (shift, bits, radius) of the segments; sum of (radius + 1) = 5 = threshold + 1.
 SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+WIDE_SEGMENTS = ((0, 32, 2), (32, 32, 1))
+#: Fingerprints above which matches by chance cost more than further probes.
+CROSSING = 1 << 30
 THRESHOLD = 4
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 LANES = np.uint64(0x0101010101010101)
@@ -79,23 +86,23 @@ def _segment(fp: Column, shift: int, bits: int) -> Column:
     return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _keys(fp: Column, probe: bool) -> Column:
+def _keys(fp: Column, segments: tuple, probe: bool) -> Column:
     """Array of table keys: the segment's number above bit 32, its value below."""
     keys = []
-    for number, (shift, bits, radius) in enumerate(SEGMENTS):
+    for number, (shift, bits, radius) in enumerate(segments):
         value = _segment(fp, shift, bits).bitwiseOR(F.lit(number << 32))
-        keys.append(value)
-        if probe and radius:
-            keys += [value.bitwiseXOR(F.lit(1 << i)) for i in range(bits)]
-    return F.array(*keys)
+        flips = [sum(1 << i for i in flipped) for size in range(radius + 1 if probe else 1) for flipped in combinations(range(bits), size)]
+        keys.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, value=value: value.bitwiseXOR(x)))
+    return F.flatten(F.array(*keys))
 
 
-def links(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def links(classes: DataFrame, threshold: int = THRESHOLD, segments: tuple | None = None) -> DataFrame:
     """(a, b): all pairs of different fingerprints in ``classes.fp`` (distinct, nonnull) within the threshold."""
-    if sum(radius + 1 for _, _, radius in SEGMENTS) < threshold + 1:
+    segments = segments or (SEGMENTS if classes.count() <= CROSSING else WIDE_SEGMENTS)
+    if sum(radius + 1 for _, _, radius in segments) < threshold + 1:
         raise ValueError("the segments do not guarantee this threshold")
-    table = classes.select(F.col("fp").alias("b"), F.explode(_keys(F.col("fp"), False)).alias("key"))
-    probes = classes.select(F.col("fp").alias("a"), F.explode(_keys(F.col("fp"), True)).alias("key"))
+    table = classes.select(F.col("fp").alias("b"), F.explode(_keys(F.col("fp"), segments, False)).alias("key"))
+    probes = classes.select(F.col("fp").alias("a"), F.explode(_keys(F.col("fp"), segments, True)).alias("key"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
     return probes.join(table, (probes["key"] == table["key"]) & near).select("a", "b").distinct()
 
@@ -108,12 +115,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, threshold: int = THRESHOLD)
     named by its smallest doc_id.
     """
     fps = checkpointed(fingerprints(docs, words))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     pairs = checkpointed(links(classes, threshold))
     roots = components(pairs)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    # written out, so that the joins below have plain exchanges on either side and large components can be split
+    least = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = checkpointed(rooted.join(least, "root").select("fp", "component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
