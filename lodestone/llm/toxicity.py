@@ -121,7 +121,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits the model on a bounded sample of the rows that are not held out.
 
     The prior is the toxic share of the labelled training rows; a doc_id with several labels is toxic if any
-    says so. The driver receives hashed feature sets of at most POSITIVES + UNLABELLED texts.
+    says so. The driver receives hashed feature sets of at most POSITIVES + UNLABELLED texts, one for each doc_id,
+    whatever repeats. Defined cases: without positives every score is the prior; labels of unknown doc_ids count in
+    the prior only; null doc_ids and null labels are left out; empty tables give a model with a prior near 0.
     """
     marked = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = marked.agg(F.count("*"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
@@ -130,17 +132,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     unlabelled = _drawn(pool, UNLABELLED).select("doc_id", F.lit(2).alias("side"))
     # a confirmed text that is drawn among the unlabelled ones too counts on both sides (3): those are a sample of
     # all texts, or the prior would not hold; bounded by the limits above, so safe to broadcast
-    drawn = F.broadcast(positive.union(unlabelled).groupBy("doc_id").agg(F.sum("side").alias("side")))
-    sample = docs.select("doc_id", "text").join(drawn, "doc_id").select(F.col("side").alias("doc_id"), "text")
+    drawn = F.broadcast(positive.union(unlabelled).groupBy("doc_id").agg(F.sum("side").cast("int").alias("side")))
+    sample = docs.select("doc_id", "text").join(drawn, "doc_id")
     packed = lambda t: features(t).astype("<i4").tobytes()  # noqa: E731  as bytes, a feature takes four on the driver
-    sets = map_texts(sample, lambda k, texts: {"side": k, "f": [packed(t) for t in texts]}, "side long, f binary").toArrow()
+    sets = map_texts(sample, lambda k, texts: {"doc_id": k, "f": [packed(t) for t in texts]}, "doc_id long, f binary")
+    # of rows that share a doc_id one counts, so the bound on doc_ids is one on rows
+    sets = sets.groupBy("doc_id").agg(F.min("f").alias("f")).join(drawn, "doc_id").select("side", "f").toArrow()
     sides, raws = sets.column("side").to_pylist(), sets.column("f").to_pylist()
     of = lambda side: [np.frombuffer(f, "<i4") for f in sorted(f for s, f in zip(sides, raws) if s & side)]
     return fit(of(1), of(2), (toxic or 0) / n if n else 0.0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every whole text. Null and empty texts get the score of no features."""
+    """(doc_id, score) of every whole text, however long.
+
+    Defined cases: null and empty texts get the score of no features; equal texts get equal scores; repeated rows are
+    scored one by one; an empty table gives an empty result; other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(docs, lambda k, texts: {"doc_id": k, "score": [shared.value.score(features(t)) for t in texts]}, "doc_id long, score double")
 
