@@ -68,6 +68,14 @@ def statistics(text: str) -> list[float]:
     ]
 
 
+def forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solves a lower triangular system for the columns of ``b``."""
+    y = np.empty_like(b)
+    for i in range(len(factor)):
+        y[i] = (b[i] - factor[i, :i] @ y[:i]) / factor[i, i]
+    return y
+
+
 @dataclass(frozen=True)
 class Model:
     """Per class (0, 1): mean, lower Cholesky factor, log density constant with log prior; and the scaling."""
@@ -86,7 +94,7 @@ class Model:
         z = (x - self.centre) / self.scale
         d = []
         for mean, factor, constant in zip(self.means, self.factors, self.constants):
-            y = np.linalg.solve(factor, (z - mean).T)
+            y = forward(factor, (z - mean).T)
             d.append(constant - 0.5 * (y * y).sum(0))
         return 1 / (1 + np.exp(np.clip(d[0] - d[1], -500, 500)))
 
@@ -119,18 +127,27 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on at most SAMPLE labelled rows that are not held out, the least by hash.
 
-    Of several labels of a doc_id the least counts. The driver receives their statistics only.
+    Of several labels of a doc_id the least counts, and of several texts one. The driver receives their statistics
+    only. Defined cases: with labels of one class, or none, every score is their share, or one half; null doc_ids and
+    null labels are left out.
     """
     marked = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     drawn = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(F.col("quality").alias("doc_id"), "text")
-    got = map_texts(sample, lambda k, texts: {"quality": k, "x": [statistics(t) for t in texts]}, "quality long, x array<double>").collect()
+    drawn = F.broadcast(drawn)
+    sample = docs.select("doc_id", "text").join(drawn, "doc_id")
+    rows = map_texts(sample, lambda k, texts: {"doc_id": k, "x": [statistics(t) for t in texts]}, "doc_id long, x array<double>")
+    # of rows that share a doc_id one counts, so the bound on doc_ids is one on rows
+    got = rows.groupBy("doc_id").agg(F.min("x").alias("x")).join(drawn, "doc_id").select("quality", "x").collect()
     got.sort(key=lambda r: (r.quality, r.x))
     return fit(np.array([r.x for r in got]), np.array([int(r.quality == 1) for r in got]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every whole text; null and empty texts are scored by their (zero) statistics."""
+    """(doc_id, score) of every whole text, however long.
+
+    Defined cases: null and empty texts are scored by their (zero) statistics; equal texts get equal scores; repeated
+    rows are scored one by one; an empty table gives an empty result; other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(docs, lambda k, texts: {"doc_id": k, "score": shared.value.score(np.array([statistics(t) for t in texts]))}, "doc_id long, score double")
 

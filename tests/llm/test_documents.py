@@ -131,6 +131,17 @@ def test_every_ball_is_probed(spark):
     assert got == {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 4}
 
 
+def test_wide_segments_are_complete_too(spark):
+    rng = random.Random(27)
+    made = set()
+    for _ in range(25):
+        b = rng.getrandbits(64)
+        made |= {b, *(b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 5))) for _ in range(3))}
+    signed = [int(np.uint64(x).view(np.int64)) for x in made]
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, simhash.WIDE_SEGMENTS).collect()}
+    assert got == {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 4}
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2001 + i) for i in range(40)]
@@ -538,3 +549,37 @@ def test_classifiers(spark, frame, module, column, cut, mod, rest):
     empty = module.train(frame([]), marked.limit(0))
     assert all(0 <= r.score <= 1 for r in module.score(frame(docs[:5] + ODD), empty).collect())
     assert module.score(frame([]), model).count() == 0
+
+
+def test_sample_counts_rows(spark, frame, monkeypatch):
+    docs, labels = labelled(random.Random(28), 200)
+    marked = spark.createDataFrame(labels + labels, "doc_id long, quality int, toxic int")
+    seen = []
+    for module in (toxicity, quality):
+        monkeypatch.setattr(module, "fit", lambda *a: seen.append([len(x) for x in a if not isinstance(x, float)]))
+        module.train(frame(docs * 3), marked)
+    held = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5 != 0]
+    assert seen[0] == [sum(t for i, _, t in labels if i in held), len(held)]
+    assert seen[1] == [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _, _ in labels)] * 2
+
+
+def area(scores, truth):
+    """Share of (positive, negative) pairs in the right order."""
+    good, bad = (np.array([scores[i] for i, t in truth.items() if t == k]) for k in (1, 0))
+    return np.mean([(x > bad).mean() + (x == bad).mean() / 2 for x in good])
+
+
+def test_forward_solves_the_triangle():
+    rng = np.random.default_rng(4)
+    factor = np.tril(rng.normal(size=(9, 9))) + 3 * np.eye(9)
+    b = rng.normal(size=(9, 50))
+    assert np.allclose(factor @ quality.forward(factor, b), b)
+
+
+def test_held_out_order(spark):
+    data = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    for query, column, least in ((toxicity.op1_toxicity, "toxic", 0.85), (quality.op9_quality, "quality", 0.98)):
+        rows = [r for r in query(spark, data).collect() if r.held_out and r.doc_id in labels]
+        scores, truth = {r.doc_id: r.score for r in rows}, {r.doc_id: labels[r.doc_id][column] for r in rows}
+        assert area(scores, truth) >= least
