@@ -7,7 +7,7 @@ where a segment differs in at most two bits. What meets is verified on the compl
 after that on the whole shingle sets. ``geometry`` sets the segments so that a pair at SIMILARITY is missed with
 probability MISS at most, and so that segments are as wide as the number of texts asks for.
 
-Texts with equal shingle sets are one node. Nodes are first compared with one node of equal segments, which joins large groups of near copies cheaply; then all pairs of different components are looked up.
+Texts with equal shingle sets are one node. Nodes are first compared with one node of equal segments, which joins large groups of near copies cheaply; then all pairs that are not joined yet are looked up.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from lodestone.llm.simhash import majorities, shingle_hashes
 WORDS, SIMILARITY, MISS = 5, 0.8, 0.002
 #: Bits of a segment at least; more as soon as there are more texts than segment values.
 SEGMENT_BITS = 20
-#: Rounds of one node against its group; more than one are worth it if the largest component has a HOT-th of all nodes.
-ROUNDS, HOT = 3, 100
+#: Rounds of one node against its group; more than one are worth it if one node in HOT or
+#: more is reached from the same one over HOPS links.
+ROUNDS, HOPS, HOT = 3, 3, 100
 #: Pairs whose sets are compared at a time.
 SLICE_PAIRS = 200_000
 
@@ -113,7 +114,7 @@ def _side(nodes: DataFrame, g: Geometry, lanes: range, name: str, ball: bool) ->
     if not ball:
         return cut
     flips = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << i for i in range(g.bits))]])
-    return cut.withColumn("flip", F.explode(flips)).withColumn("key", F.col("key").bitwiseXOR(F.col("flip")))
+    return cut.withColumn("_flip", F.explode(flips)).withColumn("key", F.col("key").bitwiseXOR(F.col("_flip"))).drop("_flip")
 
 
 def _distance(g: Geometry) -> Column:
@@ -127,7 +128,8 @@ def _once(g: Geometry, number: int) -> Column:
     apart = [F.col(f"a_l{n}").bitwiseXOR(F.col(f"b_l{n}")) for n in range(number + 1)]
     segment = F.shiftright("key", 40)
     d = _segment(apart[number], g, segment - number * g.per_lane)
-    own = F.col("a_flip") == F.when(F.bit_count(d) == 2, d.bitwiseAND(-d)).otherwise(F.lit(0))
+    flip = F.col("key").bitwiseAND(F.lit((1 << g.bits) - 1)).bitwiseXOR(_segment(F.col(f"a_l{number}"), g, segment - number * g.per_lane))
+    own = flip == F.when(F.bit_count(d) == 2, d.bitwiseAND(-d)).otherwise(F.lit(0))
     for k in range((number + 1) * g.per_lane - 1):
         own = own & ((segment <= k) | (F.bit_count(_segment(apart[k // g.per_lane], g, k % g.per_lane)) > 2))
     return own
@@ -163,6 +165,17 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return links
 
 
+def _reached(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` with the least node that HOPS links lead to as ``root``: nodes of one root are linked, if not all
+    linked ones have one root."""
+    both = checkpointed(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")))
+    label = both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("root"))
+    for _ in range(HOPS - 1):
+        label = checkpointed(label)
+        label = both.join(label, both["v"] == label["node"]).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("root"))
+    return checkpointed(nodes.drop("root").join(checkpointed(label), "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_sha256, component_id, kept) for every document, linked at SIMILARITY or more of five-word shingle
     sets. Of a component the text with the smallest doc_id, then digest, is kept.
@@ -193,20 +206,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         led = checkpointed(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
         tested = led if tested is None else tested.union(led)
         known = checkpointed(known.union(verified(docs, nodes, led)).distinct())
-        roots = components(known)
-        placed = checkpointed(placed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        placed = _reached(known, placed)
         largest, size = next(iter(placed.groupBy("root").count().orderBy(F.desc("count"), "root").limit(1).collect()), (0, 0))
         hot = HOT * size > placed.count()
         if not hot:
             break
-    # then every pair of two components; one end of a pair lies outside the largest component
+    # then every pair of two roots; one end of a pair lies outside the largest group
     outside = placed.filter(F.col("root") != largest) if hot else placed
     turn = (F.col("a") < F.col("b")) | (F.col("b_root") == largest) if hot else F.col("a") < F.col("b")
     found = []
     for n in range(g.lanes):
         a, b = _side(outside, g, range(n, n + 1), "a", True), _side(placed, g, range(n, n + 1), "b", True)
-        met = a.withColumnRenamed("flip", "a_flip").join(b.withColumnRenamed("flip", "b_flip"), "key")
-        found.append(checkpointed(met.filter((F.col("a_root") != F.col("b_root")) & turn & near & _once(g, n)).select("a", "b")))
+        found.append(checkpointed(a.join(b, "key").filter((F.col("a_root") != F.col("b_root")) & turn & near & _once(g, n)).select("a", "b")))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
