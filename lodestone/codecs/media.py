@@ -108,6 +108,13 @@ def parse_transform_header(raw: bytes) -> dict:
     return out | {"samples": out["frames"] * 1024 - out["delay"] - out["padding"]}
 
 
+def build_transform_header(channels: int, rate: int, frames: int, delay: int, padding: int, frame_size: int, version: int = 0x0200) -> bytes:
+    """A header with format and codec chunks and its checksum."""
+    body = b"fmt\0" + struct.pack(">IIHH", channels << 24 | rate, frames, delay, padding) + b"comp" + struct.pack(">HBB", frame_size, 1, 15).ljust(12, b"\0")
+    raw = b"HCA\0" + struct.pack(">HH", version, 10 + len(body)) + body
+    return raw + struct.pack(">H", crc16(raw))
+
+
 _ASS = re.compile(r"^Dialogue:\s*([^,]*),([^,]*),([^,]*),([^,]*),([^,]*),([^,]*),([^,]*),([^,]*),([^,]*),(.*)$")
 
 

@@ -115,6 +115,12 @@ def parse_frames(raw: bytes) -> list[dict]:
     return out
 
 
+def build_frames(frames: list[tuple[int, bytes]], codec: bytes = b"VP90", size: tuple[int, int] = (16, 16), clock: tuple[int, int] = (30, 1)) -> bytes:
+    """An IVF file of (time, payload) frames."""
+    head = b"DKIF" + struct.pack("<HH4sHHIIII", 0, 32, codec, *size, *clock, len(frames), 0)
+    return head + b"".join(struct.pack("<IQ", len(p), t) + p for t, p in frames)
+
+
 def parse_units(raw: bytes) -> list[dict]:
     """NAL units between start codes."""
     marks = [m.start() for m in re.finditer(b"\0\0\1", raw)]

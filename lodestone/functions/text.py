@@ -142,4 +142,4 @@ def unescape_markup(c: Column) -> Column:
 
 
 def escape_markup(c: Column) -> Column:
-    return F.regexp_replace(c, "\r?\n", r"\\\\N")
+    return F.regexp_replace(c, "\r?\n", r"\\N")

@@ -14,7 +14,7 @@ from lodestone.codecs import table as tables
 from lodestone.session import ship
 
 
-def _built(df: DataFrame, key: str, columns: list[str], order: list[str], build: Callable[[list[dict]], bytes]) -> DataFrame:
+def built(df: DataFrame, key: str, columns: list[str], order: list[str], build: Callable[[list[dict]], bytes]) -> DataFrame:
     """(file, content): ``build`` gets a file's rows as dicts, in order. A file has to fit in memory."""
     ship(df.sparkSession)
 
@@ -27,20 +27,20 @@ def _built(df: DataFrame, key: str, columns: list[str], order: list[str], build:
 
 
 def package(df: DataFrame, key: str, path: str, payload: str) -> DataFrame:
-    return _built(df, key, [path, payload], [path], lambda rows: archives.build_package([(r[path], r[payload] or b"") for r in rows]))
+    return built(df, key, [path, payload], [path], lambda rows: archives.build_package([(r[path], r[payload] or b"") for r in rows]))
 
 
 def bank(df: DataFrame, key: str, ident: str, payload: str, step: int = 32) -> DataFrame:
-    return _built(df, key, [ident, payload], [ident], lambda rows: archives.build_bank([(r[ident], r[payload] or b"") for r in rows], step, 4, 8))
+    return built(df, key, [ident, payload], [ident], lambda rows: archives.build_bank([(r[ident], r[payload] or b"") for r in rows], step, 4, 8))
 
 
 def slots(df: DataFrame, key: str, order: str, name: str, payload: str) -> DataFrame:
     """A null payload is an empty slot."""
-    return _built(df, key, [name, payload], [order], lambda rows: archives.build_slots([r[payload] for r in rows], [r[name] for r in rows]))
+    return built(df, key, [name, payload], [order], lambda rows: archives.build_slots([r[payload] for r in rows], [r[name] for r in rows]))
 
 
 def pairs(df: DataFrame, key: str, order: str, payload: str) -> DataFrame:
-    return _built(df, key, [payload], [order], lambda rows: archives.build_pairs([r[payload] or b"" for r in rows]))
+    return built(df, key, [payload], [order], lambda rows: archives.build_pairs([r[payload] or b"" for r in rows]))
 
 
 def typed_table(df: DataFrame, key: str, order: str, columns: dict[str, int], name: str = "Table") -> DataFrame:
@@ -50,12 +50,12 @@ def typed_table(df: DataFrame, key: str, order: str, columns: dict[str, int], na
         cols = [tables.Column(c, kind) for c, kind in columns.items()]
         return tables.build(tables.Table(name, cols, [[r[c] for c in columns] for r in rows]))
 
-    return _built(df, key, list(columns), [order], build)
+    return built(df, key, list(columns), [order], build)
 
 
 def subtitle_file(df: DataFrame, key: str, order: str) -> DataFrame:
     cols = ["language_id", "time_unit", "start", "duration", "text"]
-    return _built(df, key, cols, [order], stream.build_subtitles)
+    return built(df, key, cols, [order], stream.build_subtitles)
 
 
 def stream_file(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -69,7 +69,33 @@ def stream_file(df: DataFrame, key: str, order: list[str]) -> DataFrame:
         head = stream.build_chunk("CRID", tables.build(tables.Table("CRIUSF_DIR_STREAM", cols, listed)), kind="header")
         return head + b"".join(stream.build_chunk(r["magic"], r["payload"], r["channel"], time=r["frame_time"]) for r in rows)
 
-    return _built(df, key, ["magic", "channel", "frame_time", "payload"], order, build)
+    return built(df, key, ["magic", "channel", "frame_time", "payload"], order, build)
+
+
+def wave_file(df: DataFrame, key: str, order: str, sample: str, rate: int) -> DataFrame:
+    """Wave files of 16-bit samples in order, one channel."""
+    import struct
+
+    return built(df, key, [sample], [order], lambda rows: stream.build_wav(struct.pack(f"<{len(rows)}h", *[r[sample] for r in rows]), rate, 1))
+
+
+def frame_file(df: DataFrame, key: str, order: str, payload: str) -> DataFrame:
+    """Frame files: a payload and a time (``order``) in each row."""
+    return built(df, key, [payload], [order], lambda rows: stream.build_frames([(r[order], r[payload]) for r in rows]))
+
+
+def joined_file(df: DataFrame, key: str, order: str, payload: str) -> DataFrame:
+    """Files that are their payloads one after the other."""
+    return built(df, key, [payload], [order], lambda rows: b"".join(r[payload] for r in rows))
+
+
+def srt_file(df: DataFrame, key: str, order: str) -> DataFrame:
+    return built(df, key, ["time_unit", "start", "duration", "text"], [order], lambda rows: stream.build_srt(rows).encode())
+
+
+def program_file(df: DataFrame, key: str, order: str, ident: str, payload: str) -> DataFrame:
+    """Program streams of one packet for each row, ``order`` being its time in seconds."""
+    return built(df, key, [ident, payload], [order], lambda rows: stream.build_program([(r[ident], r[payload], r[order]) for r in rows]))
 
 
 def _binary(df: DataFrame, column: str, out: str, f: Callable[[bytes], bytes]) -> DataFrame:
