@@ -336,7 +336,7 @@ def test_compact_windows():
     assert set(zip(*[x.tolist() for x in found])) == want
     other = passages.compact_windows(values[::-1].copy(), owner)
     i, j = passages.joined(found, other)
-    both = {(a, b) for a in range(len(found[0])) for b in range(len(other[0])) if max(found[0][a], other[0][b]) <= min(found[1][a], other[1][b]) and max(found[1][a], other[1][b]) <= min(found[2][a], other[2][b]) and min(found[2][a], other[2][b]) - max(found[0][a], other[0][b]) + 1 >= passages.LEAST}
+    both = {(a, b) for a in range(len(found[0])) for b in range(len(other[0])) if max(found[0][a], other[0][b]) <= min(found[1][a], other[1][b]) and max(found[1][a], other[1][b]) <= min(found[2][a], other[2][b]) and min(found[2][a], other[2][b]) - max(found[0][a], other[0][b]) + 1 >= passages.LEAST > abs(int(found[1][a] - other[1][b]))}
     assert set(zip(i.tolist(), j.tolist())) == both
 
 
