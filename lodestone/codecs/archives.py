@@ -11,6 +11,24 @@ from lodestone.codecs.table import FormatError
 ROOT = 0x800
 
 
+class Ranged:
+    """A file as bytes that are read when they are sliced: parsers of indexes touch headers and indexes only."""
+
+    def __init__(self, read, size: int):
+        self.read, self.size = read, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: slice) -> bytes:
+        start, stop, _ = at.indices(self.size)
+        return self.read(start, max(0, stop - start))
+
+
+def _numbers(fmt: str, raw, at: int) -> tuple:
+    return struct.unpack(fmt, raw[at : at + struct.calcsize(fmt)])
+
+
 def _up(n: int, step: int) -> int:
     return -(-n // step) * step if step > 1 else n
 
@@ -23,7 +41,7 @@ def _entry(i: int, ident: int, name: str, offset: int, size: int, extract: int |
 def _chunk(raw: bytes, at: int, size: int, magic: bytes) -> tables.Table:
     if at + 16 > len(raw) or raw[at : at + 4] != magic:
         raise FormatError(f"no chunk {magic!r} at {at}")
-    flag, length = struct.unpack_from("<II", raw, at + 4)
+    flag, length = _numbers("<II", raw, at + 4)
     if 16 + length > size or at + 16 + length > len(raw):
         raise FormatError("a chunk is longer than declared or cut off")
     body = raw[at + 16 : at + 16 + length]
@@ -98,7 +116,7 @@ def parse_slots(raw: bytes) -> list[dict]:
     """An index archive, little-endian: slots by number (empty ones stay), names from the directory if there is one."""
     if len(raw) < 8 or raw[:4] != b"AFS\0":
         raise FormatError("the magic is not that of an index archive")
-    n = struct.unpack_from("<I", raw, 4)[0]
+    n = _numbers("<I", raw, 4)[0]
     if not n or 8 + 8 * n > len(raw):
         raise FormatError("the index has no entries or exceeds the data")
     slots = list(struct.iter_unpack("<II", raw[8 : 8 + 8 * n]))
@@ -106,9 +124,10 @@ def parse_slots(raw: bytes) -> list[dict]:
         raise FormatError("an entry is outside the data")
     names = [""] * n
     if 16 + 8 * n <= len(raw):
-        at, size = struct.unpack_from("<II", raw, 8 + 8 * n)
+        at, size = _numbers("<II", raw, 8 + 8 * n)
         if at and size >= 48 * n and at + size <= len(raw):
-            names = [raw[at + 48 * i : at + 48 * i + 32].split(b"\0")[0].decode("utf-8", "replace") for i in range(n)]
+            listed = raw[at : at + 48 * n]
+            names = [listed[48 * i : 48 * i + 32].split(b"\0")[0].decode("utf-8", "replace") for i in range(n)]
     return [_entry(i, i, name, o, s) | {"present": bool(o or s)} for i, (name, (o, s)) in enumerate(zip(names, slots))]
 
 
@@ -136,14 +155,15 @@ def parse_bank(raw: bytes) -> list[dict]:
     """A wave bank: an entry starts at its aligned offset and ends at the next one's unaligned offset."""
     if len(raw) < 16 or raw[:4] != b"AFS2":
         raise FormatError("the magic is not that of a wave bank")
-    _, wide, id_wide, n, step, _ = struct.unpack_from("<BBHIHH", raw, 4)
+    _, wide, id_wide, n, step, _ = _numbers("<BBHIHH", raw, 4)
     id_wide &= 0xFF
     if wide not in (2, 4, 8) or id_wide not in (1, 2, 4, 8) or not step:
         raise FormatError("an offset size, id size or alignment that cannot be")
     ids_end = 16 + id_wide * n
     if ids_end + wide * (n + 1) > len(raw):
         raise FormatError("the tables exceed the data")
-    number = lambda at, size: int.from_bytes(raw[at : at + size], "little")
+    head = raw[: ids_end + wide * (n + 1)]
+    number = lambda at, size: int.from_bytes(head[at : at + size], "little")
     marks = [number(ids_end + wide * i, wide) for i in range(n + 1)]
     out = []
     for i in range(n):
@@ -163,15 +183,20 @@ def build_bank(entries: list[tuple[int, bytes]], step: int = 32, wide: int = 4,
         body += b"\0" * (_up(at, step) - at) + p
         at = _up(at, step) + len(p)
         marks.append(at)
-    packed = b"".join(i.to_bytes(id_wide, "little") for i, _ in entries) + b"".join(m.to_bytes(wide, "little") for m in marks)
-    return b"AFS2" + struct.pack("<BBHIHH", 2, wide, id_wide, n, step, subkey) + packed + bytes(body)
+    return bank_header([i for i, _ in entries], marks, step, wide, id_wide, subkey) + bytes(body)
+
+
+def bank_header(ids: list[int], marks: list[int], step: int, wide: int, id_wide: int, subkey: int = 0) -> bytes:
+    """What stands before the payloads; ``marks`` is where the tables end and where each payload ends."""
+    packed = b"".join(i.to_bytes(id_wide, "little") for i in ids) + b"".join(m.to_bytes(wide, "little") for m in marks)
+    return b"AFS2" + struct.pack("<BBHIHH", 2, wide, id_wide, len(ids), step, subkey) + packed
 
 
 def parse_pairs(raw: bytes) -> list[dict]:
     """An index archive, big-endian: a zero word, a count, and (offset, size) pairs."""
     if len(raw) < 8 or raw[:4] != bytes(4):
         raise FormatError("the marker is not that of a paired index")
-    n = struct.unpack_from(">I", raw, 4)[0]
+    n = _numbers(">I", raw, 4)[0]
     if not n or 8 + 8 * n > len(raw):
         raise FormatError("the index has no entries or exceeds the data")
     out = [_entry(i, i, "", o, s) for i, (o, s) in enumerate(struct.iter_unpack(">II", raw[8 : 8 + 8 * n]))]

@@ -7,13 +7,20 @@ totals (one row per partition, so bounded by the partition count) gives every pa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.session import checkpointed
+from lodestone.session import checkpointed, ship
+
+#: Groups that a task holds at a time while it folds.
+GROUPS = 100_000
 
 
 def align_up(value: Column, step: int) -> Column:
@@ -87,17 +94,53 @@ def segment_ranges(df: DataFrame, length: str, group: Sequence[str], order: Sequ
 
 
 def gcd_of(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
-    """Greatest common divisor of a column, by group: an associative fold, so it is folded per bucket first.
+    """Greatest common divisor of a column, by group: an associative fold, so each task folds what it reads first.
 
-    Values are spread over buckets of equal remainders, each bucket is one array that a higher-order function
-    folds by Euclid's steps, and the bucket results are folded once more; nulls and zeros do not count.
+    Every task passes on one value for each group it has seen, so a group's list is as long as there are tasks (longer
+    only where a task sees more than GROUPS groups); a higher-order function folds that by Euclid's steps. Nulls and
+    zeros do not count.
     """
+    v = F.abs(F.col(value).cast("long"))
+    some = df.filter(F.coalesce(v, F.lit(0)) != 0).select(*group, v.alias("_v"))
+    names = list(group)
+    ship(df.sparkSession)
+
+    def fold(batches):
+        held: dict[tuple, int] = {}
+        schema = None
+
+        def out():
+            columns = [pa.array([k[i] for k in held], schema.field(i).type) for i in range(len(names))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(held.values(), pa.int64())], schema=schema)
+
+        for batch in batches:
+            schema = batch.schema
+            values, (places, keys) = batch.column("_v").to_numpy(), _grouped(batch, names)
+            for key, g in zip(keys, np.gcd.reduceat(values[places[0]], places[1]).tolist()):
+                held[key] = math.gcd(held.get(key, 0), g)
+            if len(held) > GROUPS:
+                yield out()
+                held = {}
+        if held:
+            yield out()
+
     step = lambda a, b: F.aggregate(
         F.sequence(F.lit(1), F.lit(92)), F.struct(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")),
         lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.try_mod(s["x"], s["y"]).alias("y"))), lambda s: s["x"],
     )
-    fold = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), step)
-    v = F.abs(F.col(value).cast("long"))
-    some = df.filter(F.coalesce(v, F.lit(0)) != 0).select(*group, v.alias("_v"), F.pmod(F.xxhash64(v), F.lit(1024)).alias("_b"))
-    first = some.groupBy(*group, "_b").agg(fold(F.collect_set("_v")).alias("_g"))
-    return first.groupBy(*group).agg(fold(F.collect_set("_g")).alias("gcd"))
+    parts = some.mapInArrow(fold, some.schema)
+    return parts.groupBy(*group).agg(F.aggregate(F.collect_set("_v"), F.lit(0).cast("long"), step).alias("gcd"))
+
+
+def _grouped(batch: pa.RecordBatch, names: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], list[tuple]]:
+    """((order, starts), keys): the rows of a batch in an order in which those of one key stand together."""
+    if not names:
+        return (np.arange(batch.num_rows), np.zeros(min(1, batch.num_rows), np.int64)), [()] * min(1, batch.num_rows)
+    codes = np.zeros(batch.num_rows, np.int64)
+    for n in names:
+        column = pc.dictionary_encode(batch.column(n), null_encoding="encode")
+        _, codes = np.unique(codes * (len(column.dictionary) + 1) + column.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    order = np.argsort(codes, kind="stable")
+    starts = np.nonzero(np.append(True, np.diff(codes[order]) > 0))[0] if len(order) else order
+    firsts = batch.select(names).take(pa.array(order[starts]))
+    return (order, starts), list(zip(*[c.to_pylist() for c in firsts.columns]))

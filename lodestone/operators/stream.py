@@ -38,12 +38,25 @@ def demux(chunks: DataFrame, directory: DataFrame, key: Sequence[str], order: st
     known = chunks.join(directory.select(*key).distinct(), list(key))
     cut = known.withColumn("part", F.floor(F.col(order) / part))
     gathered = cut.groupBy(*key, "part").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p")))).alias("_all"))
-    return gathered.select(*key, "part", F.array_join(F.transform("_all", lambda x: x["p"]), "").alias("bytes"))
+    # arrays are joined as text only, so bytes go through hex
+    raw = dict(chunks.dtypes)[payload] == "binary"
+    joined = F.array_join(F.transform("_all", lambda x: F.hex(x["p"]) if raw else x["p"]), "")
+    return gathered.select(*key, "part", (F.unhex(joined) if raw else joined).alias("bytes"))
 
 
 def head_bytes(df: DataFrame, text: str, order: Sequence[str], most: int, out: str = "head") -> DataFrame:
-    """The first ``most`` bytes of the concatenated rows: rows before the limit, the last of them cut."""
-    placed = running_offset(df.withColumn("_n", F.length(text)), "_n", order, "_at").filter(F.col("_at") < most)
+    """The first ``most`` bytes of the concatenated rows: rows before the limit, the last of them cut.
+
+    Only as many first rows are taken as the limit needs: each look takes eight times the rows of the one before, of
+    which every task keeps the first ones only. What is left is at most ``most`` bytes and the empty rows among them.
+    """
+    rows, n = df.select(*order, F.coalesce(F.length(text), F.lit(0)).alias("_n")).orderBy(*order), 1024
+    while True:
+        size, seen = rows.limit(n).agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
+        if size >= most or seen < n:
+            break
+        n *= 8
+    placed = running_offset(df.withColumn("_n", F.length(text)).orderBy(*order).limit(n), "_n", order, "_at").filter(F.col("_at") < most)
     return placed.withColumn(out, F.substring(F.col(text), 1, F.least(F.col("_n"), F.lit(most) - F.col("_at")).cast("int"))).drop("_n", "_at")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.codecs import adx, media, stream
 from lodestone.functions import formats, text
-from lodestone.operators import compact, graph, layout
+from lodestone.operators import graph, layout
 from lodestone.plans.catalog import query
 from lodestone.session import checkpointed, table
 from lodestone.sources import files, sinks
@@ -308,3 +308,88 @@ def table_trees(spark, sf_dir):
 
     rows = table(spark, sf_dir, "nation").withColumn("file", F.col("n_regionkey").cast("string"))
     return files.nested_tables(sinks.built(rows, "file", ["n_nationkey"], ["n_nationkey"], tree)).select("file", "place", "table_name", "n_rows")
+
+
+@query(
+    "bank_parts",
+    """
+    WITH e AS (SELECT CAST(user_id AS VARCHAR) AS file, event_id, octet_length(encode(props)) AS size, COUNT(*) OVER (PARTITION BY user_id) * 12 + 20 AS head FROM events),
+         p AS (SELECT *, CAST(SUM(((size + 31) // 32) * 32) OVER (PARTITION BY file ORDER BY event_id) AS BIGINT) - ((size + 31) // 32) * 32 AS before FROM e)
+    SELECT file, CAST(((head + 31) // 32) * 32 + before AS BIGINT) AS file_offset, CAST(size AS BIGINT) AS bytes FROM p UNION ALL SELECT DISTINCT file, 0, CAST(head AS BIGINT) FROM e
+    """,
+)
+def bank_parts(spark, sf_dir):
+    rows = _by_user(spark, sf_dir).select("file", "event_id", F.encode("props", "utf-8").alias("payload"))
+    return sinks.bank_parts(rows, "file", "event_id", "payload").select("file", "file_offset", F.octet_length("content").cast("long").alias("bytes"))
+
+
+@query("alignment_by_kind", "SELECT o_orderstatus, o_orderpriority, CASE COUNT(*) WHEN 0 THEN 0 ELSE list_reduce(list(o_custkey * 12), lambda a, b: gcd(a, b)) END AS gcd FROM orders GROUP BY 1, 2")
+def alignment_by_kind(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", (F.col("o_custkey") * 12).alias("n"))
+    return layout.gcd_of(rows, "n", ["o_orderstatus", "o_orderpriority"])
+
+
+@query(
+    "demux_bytes",
+    """
+    SELECT user_id, CAST(event_id // 4096 AS BIGINT) AS part, md5(string_agg(props, '' ORDER BY event_id)) AS digest FROM events GROUP BY ALL
+    """,
+)
+def demux_bytes(spark, sf_dir):
+    from lodestone.operators import stream as streams
+
+    chunks = table(spark, sf_dir, "events").select("user_id", "event_id", F.encode("props", "utf-8").alias("payload"))
+    return streams.demux(chunks, chunks, ["user_id"], "event_id", "payload").select("user_id", "part", F.md5("bytes").alias("digest"))
+
+
+# cue sheets: tables inside a table, read one by one and joined
+
+
+def _sheets(spark, sf_dir) -> DataFrame:
+    def sheet(rows: list[dict]) -> bytes:
+        from lodestone.codecs import table as tables
+
+        def inner(name: str, kinds: dict[str, int], cells: list[list]) -> bytes:
+            return tables.build(tables.Table(name, [tables.Column(c, k, 0x50) for c, k in kinds.items()], cells))
+
+        keys = [r["n_nationkey"] for r in rows]
+        tracks = [b"".join((10 * k + i).to_bytes(2, "big") for i in range(k % 3)) for k in keys]
+        parts = {
+            "CueTable": inner("Cue", {"CueId": 0x4, "ReferenceType": 0x0, "ReferenceIndex": 0x2}, [[k, k % 4, 0xFFFF if k % 7 == 0 else k] for k in keys]),
+            "CueNameTable": inner("CueName", {"CueName": 0xA, "CueIndex": 0x2}, [[r["n_name"], i] for i, r in reversed(list(enumerate(rows)))]),
+            "SequenceTable": inner("Sequence", {"NumTracks": 0x2, "TrackIndex": 0xB}, [[k % 3, t] for k, t in zip(keys, tracks)]),
+        }
+        return tables.build(tables.Table("Header", [tables.Column(n, 0xB, 0x50) for n in parts], [list(parts.values())]))
+
+    rows = table(spark, sf_dir, "nation").withColumn("file", F.col("n_regionkey").cast("string"))
+    return checkpointed(sinks.built(rows, "file", ["n_nationkey", "n_name"], ["n_nationkey"], sheet))
+
+
+CUE_TABLE = {"CueId": "bigint", "ReferenceType": "smallint", "ReferenceIndex": "int"}
+
+
+@query("sheet_cues", "SELECT CAST(n_regionkey AS VARCHAR) AS file, CAST(n_nationkey AS BIGINT) AS cue_id, n_name AS cue_name, CASE n_nationkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'waveform' WHEN 2 THEN 'synth' ELSE 'sequence' END AS reference, CASE WHEN n_nationkey % 7 <> 0 THEN n_nationkey END AS ref FROM nation")
+def sheet_cues(spark, sf_dir):
+    sheets = _sheets(spark, sf_dir)
+    named = files.sheet_table(sheets, "CueNameTable", {"CueName": "string", "CueIndex": "int"}).select("file", F.col("CueIndex").alias("row_no"), "CueName")
+    cues_ = files.sheet_table(sheets, "CueTable", CUE_TABLE).join(named, ["file", "row_no"], "left")
+    return cues_.select("file", F.col("CueId").alias("cue_id"), F.col("CueName").alias("cue_name"), formats.reference_name(F.col("ReferenceType")).alias("reference"), F.col("ReferenceIndex").alias("ref"))
+
+
+@query(
+    "sheet_edges",
+    """
+    WITH n AS (SELECT *, CAST(n_regionkey AS VARCHAR) AS file, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation)
+    SELECT file || '/cue:' || CAST(i AS VARCHAR) AS src, CASE n_nationkey % 4 WHEN 1 THEN 'waveform' WHEN 2 THEN 'synth' ELSE 'sequence' END || ':' || CAST(n_nationkey AS VARCHAR) AS dst, 'reference' AS kind, 0 AS ordinal
+    FROM n WHERE n_nationkey % 4 <> 0 AND n_nationkey % 7 <> 0
+    UNION ALL SELECT file || '/sequence:' || CAST(i AS VARCHAR), 'track:' || CAST(n_nationkey * 10 + k AS VARCHAR), 'track', CAST(k AS INT) FROM n, range(3) t(k) WHERE k < n_nationkey % 3
+    """,
+)
+def sheet_edges(spark, sf_dir):
+    from lodestone.operators import cues
+
+    sheets = _sheets(spark, sf_dir)
+    place = lambda kind: F.concat("file", F.lit(f"/{kind}:"), F.col("row_no").cast("string"))
+    references = cues.reference_edges(files.sheet_table(sheets, "CueTable", CUE_TABLE), place("cue"), F.col("ReferenceType"), F.col("ReferenceIndex"), "reference")
+    sequences = files.sheet_table(sheets, "SequenceTable", {"NumTracks": "int", "TrackIndex": "binary"})
+    return references.union(cues.list_edges(sequences, place("sequence"), F.slice(formats.u16_list(F.col("TrackIndex")), F.lit(1), F.col("NumTracks")), "track", "track"))

@@ -1,6 +1,6 @@
 """The readers as a Spark data source: ``spark.read.format("lodestone").option("kind", "cpk").load(folder)``.
 
-One partition per file, opened by the executor through Arrow's file systems. Where only Spark itself can open
+One partition per file, opened by the executor through Arrow's file systems; only headers and indexes are read. Where only Spark itself can open
 a path, use ``files.files`` and the functions beside it.
 """
 
@@ -55,9 +55,10 @@ class EntryReader(DataSourceReader):
 
         system, _ = fs.FileSystem.from_uri(self.root)
         with system.open_input_file(partition.path) as f:
-            raw = f.read()
-        kind = self.kind or archives.kind_of(raw[:16])
-        for e in archives.PARSERS[kind](raw):
+            raw = archives.Ranged(lambda at, n: f.read_at(n, at), f.size())
+            kind = self.kind or archives.kind_of(raw[:16])
+            rows = archives.PARSERS[kind](raw)
+        for e in rows:
             yield (partition.path, e["pos"], e["entry_id"], e["path"], e["file_offset"], e["file_size"], e["extract_size"], e["packed"])
 
 

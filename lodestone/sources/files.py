@@ -1,6 +1,7 @@
 """Files as DataFrames: Spark reads the bytes (any path it can open), Arrow functions parse them on executors.
 
-Metadata comes without payloads unless they are asked for, so listings move no file contents. A file that
+Metadata comes without payloads unless they are asked for. Here contents reach Python whole; the data source in
+``datasource`` lists archives by reading their headers and indexes only. A file that
 cannot be parsed raises, or with ``errors="row"`` becomes a row whose ``error`` says why.
 """
 
@@ -78,10 +79,10 @@ def table_columns(blobs: DataFrame, errors: str = "raise") -> DataFrame:
 
 def table_rows(blobs: DataFrame, errors: str = "raise") -> DataFrame:
     """Typed rows of tables that share one schema, which the first file gives; another schema is an error."""
-    head = blobs.limit(1).collect()
+    head = table_columns(blobs.limit(1), errors).filter("kind IS NOT NULL").collect()  # an executor reads the file
     if not head:
         return blobs.sparkSession.createDataFrame([], "file string, row_no int")
-    shape = [(c.name, c.kind) for c in tables.parse(bytes(head[0].content)).columns]
+    shape = [(c.column_name, c.kind) for c in sorted(head, key=lambda c: c.column_no)]
 
     def parse(raw: bytes) -> list[dict]:
         from decimal import Decimal
@@ -150,6 +151,22 @@ def nested_tables(blobs: DataFrame, depth: int = 4, errors: str = "raise") -> Da
     return parsed(blobs, lambda raw: media.nested_tables(raw, depth), "place string, table_name string, n_rows long, n_columns int", errors)
 
 
+def sheet_table(blobs: DataFrame, name: str, columns: dict[str, str], errors: str = "raise") -> DataFrame:
+    """Rows of one table of a cue sheet: (file, row_no, columns). A column the table lacks is null, and so is an index
+    of 0xFFFF in a column of type int; a sheet without the table has no rows."""
+
+    def parse(raw: bytes) -> list[dict]:
+        sheet = tables.parse(raw)
+        inner = sheet.get(0, name, b"") if sheet.rows else b""
+        if not inner:
+            return []
+        t = tables.parse(inner)
+        cell = lambda r, c: None if columns[c] == "int" and t.get(r, c) == 0xFFFF else t.get(r, c)
+        return [{"row_no": r} | {c: cell(r, c) for c in columns} for r in range(len(t.rows))]
+
+    return parsed(blobs, parse, "row_no int, " + ", ".join(f"`{c}` {kind}" for c, kind in columns.items()), errors)
+
+
 def looped_segments(blobs: DataFrame, errors: str = "raise") -> DataFrame:
     return parsed(blobs, media.parse_segments, "segment int, loops boolean, channels int, rate long, samples long, size long", errors)
 

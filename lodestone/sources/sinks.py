@@ -8,9 +8,11 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.codecs import archives, compress, stream
 from lodestone.codecs import table as tables
+from lodestone.operators import layout
 from lodestone.session import ship
 
 
@@ -34,6 +36,31 @@ def bank(df: DataFrame, key: str, ident: str, payload: str, step: int = 32) -> D
     return built(df, key, [ident, payload], [ident], lambda rows: archives.build_bank([(r[ident], r[payload] or b"") for r in rows], step, 4, 8))
 
 
+def bank_parts(df: DataFrame, key: str, ident: str, payload: str, step: int = 32) -> DataFrame:
+    """(file, file_offset, content): the pieces of the same files as ``bank``, each at its place.
+
+    Offsets follow from sizes alone, and each header is built from ids and offsets, so no task holds a file's payloads
+    and a file of very many rows is written by many tasks. Ids differ in a file; parts leave gaps of zeros.
+    """
+    ship(df.sparkSession)
+    sizes = df.select(key, ident, F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("size"))
+    in_order, whole = Window.partitionBy(key).orderBy(ident), Window.partitionBy(key)
+    begin = F.count("*").over(whole) * (8 + 4) + 16 + 4  # header, ids of eight bytes, one mark of four more than entries
+    stored = layout.align_up(F.col("size"), step)
+    placed = sizes.withColumn("begin", begin).withColumn("before", F.sum(stored).over(in_order) - stored)
+    placed = placed.withColumn("file_offset", layout.align_up(F.col("begin"), step) + F.col("before")).drop("before")
+
+    def head(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(ident, "ascending")])
+        at, sizes, begin = (t.column(c).to_pylist() for c in ("file_offset", "size", "begin"))
+        made = archives.bank_header(t.column(ident).to_pylist(), [begin[0], *[a + n for a, n in zip(at, sizes)]], step, 4, 8)
+        return pa.table({"file": pa.array([t.column(key)[0].as_py()], pa.string()), "file_offset": pa.array([0], pa.int64()), "content": pa.array([made], pa.binary())})
+
+    heads = placed.select(key, ident, "file_offset", "size", "begin").groupBy(key).applyInArrow(head, "file string, file_offset long, content binary")
+    bodies = df.join(placed.select(key, ident, "file_offset"), [key, ident]).select(F.col(key).alias("file"), "file_offset", F.coalesce(payload, F.lit(b"")).alias("content"))
+    return heads.union(bodies)
+
+
 def slots(df: DataFrame, key: str, order: str, name: str, payload: str) -> DataFrame:
     """A null payload is an empty slot."""
     return built(df, key, [name, payload], [order], lambda rows: archives.build_slots([r[payload] for r in rows], [r[name] for r in rows]))
