@@ -22,7 +22,12 @@ def whole_text(column: str = "text") -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals a table of very few partitions (one row group, say) out to all cores before Python works on it."""
+    """Deals a scan of very few partitions (one row group, say) out to all cores before Python works on it.
+
+    Plans with exchanges are left alone: Spark has dealt them already, and to count their partitions would run them.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
 
