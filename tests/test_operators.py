@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators import compact, entries, graph, layout, rank, stream
-from lodestone.plans import catalog, formats  # noqa: F401
+from lodestone.plans import catalog, edits, formats  # noqa: F401
 from lodestone.session import table
 
 DATA = "/root/testdata/sf0.001"
