@@ -70,10 +70,10 @@ def tidy(spark: SparkSession) -> None:
         spark._lodestone_tidy = True
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, by: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there.
 
-    The files survive lost executors. ``discard`` deletes them once they are used; what is left is deleted when
+    The files survive lost executors; ``by`` keeps the rows of each of its few values in files of their own. ``discard`` deletes them once they are used; what is left is deleted when
     the application ends.
     """
     spark = df.sparkSession
@@ -85,8 +85,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
         atexit.register(_last, spark, top)
     folder = f"{top}/{uuid.uuid4().hex}"
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # any column name will do
-    plain.write.parquet(folder)
-    back = spark.read.schema(plain.schema).parquet(folder).toDF(*df.columns)
+    write = plain.write.option("compression", "zstd")
+    (write.partitionBy(f"c{df.columns.index(by)}") if by else write).parquet(folder)
+    back = spark.read.schema(plain.schema).parquet(folder).select(*plain.columns).toDF(*df.columns)
     back._lodestone_at = folder
     return back
 
