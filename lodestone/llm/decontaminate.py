@@ -119,11 +119,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     equal word. Items of fewer words overlap as a whole, word for word. Of several overlaps of a text with an item the
     one with the most equal words is returned, then the shorter, then the earlier. Defined cases: null and empty texts
     and items have no words and no overlaps; very long texts and items are compared whole; rows that repeat a doc_id
-    or item_id are texts of their own, and the best of them is returned; empty tables give no rows; other columns are
+    or item_id are texts of their own, and the best of them is returned; nulls among either are one id; empty tables give no rows; other columns are
     ignored.
     """
-    items = checkpointed(benchmark.select("item_id", words(whole_text()).alias("h")).filter(F.size("h") > 0))
-    seeds = _unfolded(items, "item_id").select("item_id", F.col("at").alias("item_at"), "seed")
+    numbered = benchmark.select("item_id", words(whole_text()).alias("h"), F.monotonically_increasing_id().alias("item_no"))
+    items = checkpointed(numbered.filter(F.size("h") > 0))
+    seeds = _unfolded(items, "item_no").select("item_no", F.col("at").alias("item_at"), "seed")
     n_seeds = F.greatest(F.size("h") - SPAN + 1, F.lit(0)) * len(MASKS)
     small = (items.agg(F.sum((n_seeds * SEED_BYTES + F.size("h") * 8).cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
     texts = docs.select("doc_id", words(whole_text()).alias("h"))
@@ -132,9 +133,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     once = lambda c: F.explode(F.array(c))  # noqa: E731  filters on the fields do not copy the expression below it
     hits = _unfolded(texts, "doc_id").select("doc_id", "at", "seed").join(F.broadcast(seeds) if small else seeds, "seed")
     # all hits on a diagonal ask for the same comparison
-    pairs = checkpointed(hits.select("doc_id", "item_id", diagonal.alias("diagonal")).distinct())
-    met = pairs.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "item_id", "diagonal", once(words(whole_text())).alias("h"))
-    met = met.join(F.broadcast(compared) if small else compared, "item_id").withColumn("skipped", F.greatest(-F.col("diagonal"), F.lit(0)))
+    pairs = checkpointed(hits.select(F.col("doc_id").alias("_doc"), "item_no", diagonal.alias("diagonal")).distinct())
+    asked = docs.select("doc_id", "text").join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    met = asked.select("doc_id", "item_no", "diagonal", once(words(whole_text())).alias("h"))
+    met = met.join(F.broadcast(compared) if small else compared, "item_no").withColumn("skipped", F.greatest(-F.col("diagonal"), F.lit(0)))
     lines = met.select("doc_id", "item_id", "diagonal", "skipped", F.size("item").alias("n"), once(_compared(F.col("h"), F.col("item"), F.col("diagonal"), F.col("skipped"))).alias("equal"))
     found = lines.select("doc_id", "item_id", "diagonal", once(_overlap(F.col("equal"), F.col("skipped"), F.col("n"))).alias("o"))
     good = found.filter((F.col("o.n_words") >= MIN_WORDS) & (F.col("o.n_equal") >= SIMILARITY * F.col("o.n_words")))

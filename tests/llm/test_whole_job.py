@@ -81,3 +81,41 @@ def test_null_ids_meet_the_snapshot(frame):
     rows = [(5, "same"), (None, "same"), (None, "same"), (7, "else"), (None, "alone")]
     got = exact_dedup.exact_duplicates(frame(rows), F.col("doc_id") == 5).collect()
     assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == [(0, 0, 1, True), (0, 5, 3, False), (0, 5, 3, False), (5, 5, 3, True), (7, 7, 1, True)]
+
+
+def clashing(df):
+    """The same rows with columns whose names the operators use themselves."""
+    return df.select("*", *[F.lit("x").alias(c) for c in ("h", "seed", "at", "item", "side", "n", "k", "t", "Key", "seq_", "formatted", "_one", "digest")])
+
+
+def test_other_tables_may_have_more_columns(spark, frame):
+    from lodestone.llm import chat, quality, toxicity
+
+    rows = [(i, ("awful " if i % 3 == 0 else "") + " ".join("word%d" % (i * k % 37) for k in range(1, 30))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(60)] + [(None, 1, 1), (3, None, None), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    for module in (toxicity, quality):
+        plain, more = (module.score(frame(rows), module.train(frame(rows), df)).collect() for df in (labels, clashing(labels)))
+        assert sorted(map(tuple, plain)) == sorted(map(tuple, more)) and len(plain) == 60
+    bench = spark.createDataFrame([(1, rows[5][1]), (1, rows[5][1]), (None, rows[7][1])], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(frame(rows), clashing(bench)).collect()}
+    assert {(5, 1), (7, None)} <= got
+    log = [(1, 0, None, None, "user", "a"), (1, 0, None, None, "user", "a"), (None, 0, None, None, "user", "b"), (None, 1, None, None, None, None)]
+    events = spark.createDataFrame(log, "conv_id long, seq long, kind string, message long, role string, text string")
+    told = {r.conv_id: chat.parse(r.formatted) for r in chat.format_chats(clashing(events)).collect()}
+    assert told == {1: [("user", "a"), ("user", "a")], None: [("user", "b"), ("", "")]}
+
+
+def test_null_ids_and_texts_in_every_operator(spark, frame):
+    from lodestone.llm import near_copies, passages, quality, sharding, toxicity
+
+    rows = [(None, None), (None, ""), (1, None), (1, None), (2, "one two three"), (2, "one two three"), (3, "word " * 30000)]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.score(frame(rows), toxicity.train(frame(rows), labels)).count() == 7
+    assert quality.score(frame(rows), quality.train(frame(rows), labels)).count() == 7
+    assert simhash.near_duplicates(frame(rows)).count() == 7
+    assert near_copies.near_duplicates(frame(rows)).count() == 7
+    assert sharding.shard_rows(frame(rows)).count() == 7
+    assert suffix_dedup.remove_repeats(frame(rows)).count() == 7
+    assert exact_dedup.exact_duplicates(frame(rows), F.col("doc_id") == 1).count() == 7
+    assert bpe.round_trip(frame(rows)).count() == 7
+    assert passages.near_passages(frame(rows)).count() == 0
