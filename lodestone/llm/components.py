@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import checkpointed
+from lodestone.session import checkpointed, discard
 
 
 def _step(edges: DataFrame) -> DataFrame:
@@ -33,8 +33,9 @@ def components(pairs: DataFrame, rounds: int = 64) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if not now[0] or now == seen:
             break
-        seen = now
+        seen, before = now, edges
         edges = checkpointed(_step(edges))
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import checkpointed, discard, ship, table, whole_text
-from lodestone.session import shared_folder
+from lodestone.session import delete, shared_folder
 
 #: Digests that a bucket's filter holds on average.
 BUCKET = 100_000
@@ -178,7 +178,9 @@ def differing(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of (doc_id, digest, text) that are not the bytes of the row that stands for their (digest, keep) class."""
     named = (texts["digest"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(wanted["keep"])
     stands = checkpointed(texts.join(wanted, named).select(texts["digest"], "text").dropDuplicates(["digest"]))
-    return texts.join(stands.withColumnRenamed("text", "_stands"), "digest").filter(F.col("text") != F.col("_stands"))
+    found = texts.join(stands.withColumnRenamed("text", "_stands"), "digest").filter(F.col("text") != F.col("_stands"))
+    found._lodestone_at = stands._lodestone_at  # goes with what it is compared with
+    return found
 
 
 def exact_duplicates(docs: DataFrame, in_snapshot: Column, bucket_size: int = BUCKET) -> DataFrame:
@@ -205,11 +207,15 @@ def exact_duplicates(docs: DataFrame, in_snapshot: Column, bucket_size: int = BU
     apart = snapshot.classes.join(met.select("digest"), "digest", "left_anti")
     fresh = screened.filter("not positive").select("digest", "keep", "n").union(passed.filter("old_n IS NULL").select("digest", "keep", "n"))
     copied = fresh.filter("n > 1").union(apart.filter("n > 1")).select("digest", "keep").union(met.select("digest", "old_keep"))
-    if not differing(texts, checkpointed(copied)).isEmpty():
+    copied = checkpointed(copied)
+    wrong = differing(texts, copied)
+    if not wrong.isEmpty():
         raise ValueError("two different texts have one SHA-256 digest")
     both = met.select("digest", F.greatest("old_keep", "keep").alias("keep_id"), (F.col("old_n") + F.col("n")).alias("group_size"))
     # written out, so that the join below has a plain exchange on either side and hot digests can be split
     groups = checkpointed(fresh.union(apart).union(both))
+    discard(screened, passed, copied, wrong)
+    delete(spark, folder)
     rows = digested.join(groups, "digest").withColumnsRenamed({"keep": "keep_id", "n": "group_size", "digest": "text_sha256"})
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")

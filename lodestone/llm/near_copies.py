@@ -169,11 +169,14 @@ def _reached(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """``nodes`` with the least node that HOPS links lead to as ``root``: nodes of one root are linked, if not all
     linked ones have one root."""
     both = checkpointed(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")))
-    label = both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("root"))
+    label = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("root")))
     for _ in range(HOPS - 1):
-        label = checkpointed(label)
-        label = both.join(label, both["v"] == label["node"]).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("root"))
-    return checkpointed(nodes.drop("root").join(checkpointed(label), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        before = label
+        label = checkpointed(both.join(label, both["v"] == label["node"]).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("root")))
+        discard(before)
+    out = checkpointed(nodes.drop("root").join(label, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    discard(both, label, nodes)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -189,7 +192,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = checkpointed(signatures(docs, g.lanes))
     text = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_sha256")
     one = signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(text).alias("text"), F.first("lanes").alias("lanes"), F.first("small").alias("small"))
+    named = checkpointed(signed.select("doc_id", "text_sha256", "node"))
     nodes = checkpointed(one.select("node", "first", "text", "small", *[F.get("lanes", F.lit(k)).alias(f"l{k}") for k in range(g.lanes)]))
+    discard(signed)
     tiny = nodes.select("node", F.explode("small").alias("key"))
     links = tiny.filter("node = key").select(F.col("node").alias("a"), "key").join(tiny.filter("node <> key").select(F.col("node").alias("b"), "key"), "key").select("a", "b")
     near = _distance(g) <= g.distance
@@ -204,6 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         lead = checkpointed(lead.select("key", F.col("s.b").alias("a"), F.col("s.b_root").alias("a_root"), *[F.col(f"s.b_l{k}").alias(f"a_l{k}") for k in range(g.lanes)]))
         met = side.join(lead, "key").filter((F.col("a_root") != F.col("b_root")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         led = checkpointed(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
+        discard(lead)
         tested = led if tested is None else tested.union(led)
         known = checkpointed(known.union(verified(docs, nodes, led)).distinct())
         placed = _reached(known, placed)
@@ -222,10 +228,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for more in found[1:]:
         pairs = pairs.union(more)
     fresh = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tested, ["a", "b"], "left_anti")
-    links = checkpointed(known.union(verified(docs, nodes, checkpointed(fresh))))
+    fresh = checkpointed(fresh)
+    links = checkpointed(known.union(verified(docs, nodes, fresh)))
+    discard(placed, fresh, *found)
     roots = components(links)
-    rooted = nodes.select("node", "text").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = checkpointed(nodes.select("node", "text").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    discard(nodes)
     least = checkpointed(rooted.groupBy("root").agg(F.min("text").alias("best")))
-    named = checkpointed(rooted.join(least, "root").select("node", "best"))
+    best = checkpointed(rooted.join(least, "root").select("node", "best"))
+    discard(rooted, least)
     kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_sha256") == F.col("best.text_sha256"))
-    return signed.join(named, "node").select("doc_id", "text_sha256", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
+    return named.join(best, "node").select("doc_id", "text_sha256", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
