@@ -176,9 +176,11 @@ def screen(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
 
 def differing(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of (doc_id, digest, text) that are not the bytes of the row that stands for their (digest, keep) class."""
+    # both right sides grow with the table: joined by shuffles whatever their sizes, so all sizes have one plan
+    wanted = wanted.hint("merge")
     named = (texts["digest"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(wanted["keep"])
     stands = checkpointed(texts.join(wanted, named).select(texts["digest"], "text").dropDuplicates(["digest"]))
-    found = texts.join(stands.withColumnRenamed("text", "_stands"), "digest").filter(F.col("text") != F.col("_stands"))
+    found = texts.join(stands.withColumnRenamed("text", "_stands").hint("merge"), "digest").filter(F.col("text") != F.col("_stands"))
     found._lodestone_at = stands._lodestone_at  # goes with what it is compared with
     return found
 
