@@ -134,7 +134,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = _unfolded(texts, "doc_id").select("doc_id", "at", "seed").join(F.broadcast(seeds) if small else seeds, "seed")
     # all hits on a diagonal ask for the same comparison
     pairs = checkpointed(hits.select(F.col("doc_id").alias("_doc"), "item_no", diagonal.alias("diagonal")).distinct())
-    asked = docs.select("doc_id", "text").join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    # they grow with the texts: joined by a shuffle whatever their number, so all sizes have one plan
+    asked = docs.select("doc_id", "text").join(pairs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")))
     met = asked.select("doc_id", "item_no", "diagonal", once(words(whole_text())).alias("h"))
     met = met.join(F.broadcast(compared) if small else compared, "item_no").withColumn("skipped", F.greatest(-F.col("diagonal"), F.lit(0)))
     lines = met.select("doc_id", "item_id", "diagonal", "skipped", F.size("item").alias("n"), once(_compared(F.col("h"), F.col("item"), F.col("diagonal"), F.col("skipped"))).alias("equal"))
@@ -151,6 +152,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all columns, whose texts overlap no benchmark item, whatever their doc_ids are."""
     digest = F.sha2(whole_text(), 256)
     tainted = checkpointed(overlaps(docs.select(digest.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("digest")).distinct())
+    tainted = tainted.hint("merge")  # grows with the texts
     return docs.join(tainted, digest == tainted["digest"], "left_anti")
 
 
