@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, chat, decontaminate, exact_dedup, passages, quality, sharding, simhash, suffix_dedup, toxicity
+from lodestone.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, passages, quality, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op6_passages": passages.op6_passages,
@@ -15,6 +15,7 @@ QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_bpe": bpe.op4_bpe,
     "op8_simhash": simhash.op8_simhash,
+    "op12_jaccard_join": jaccard_join.op12_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
