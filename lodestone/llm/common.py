@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.session import checkpointed, discard, ship, table
 
-__all__ = ["checkpointed", "discard", "ship", "table", "map_texts", "pieces", "spread", "whole_text"]
+__all__ = ["checkpointed", "discard", "ship", "table", "map_texts", "pieces", "spread", "whole_text", "word_spans"]
 
 #: Bytes of text that a Python worker expands at a time; a longer single text is a piece of its own.
 PIECE_BYTES = 4 << 20
@@ -47,6 +48,23 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = PIECE_BYTES) -> Itera
         yield batch.slice(start)
 
 
+def word_spans(texts: pa.Array, in_word: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts after ``lower``, start and size of each word, the number of its text), by tables of 256 bytes."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    raw = texts.buffers()[2]
+    data = lower[np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]]] if raw is not None else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    inside = in_word[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True  # words end where texts do
+    before = np.append(False, inside[:-1]) if len(inside) else inside
+    starts = np.nonzero(inside & (~before | edge[:-1]))[0]
+    after = np.append(inside[1:], False) if len(inside) else inside
+    sizes = np.nonzero(inside & (~after | edge[1:]))[0] + 1 - starts
+    return data, starts, sizes, np.searchsorted(offsets, starts, "right") - 1
+
+
 def map_texts(docs: DataFrame, f: Callable[[pa.Array, list[str]], dict], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Applies ``f(keys, texts)`` to slices of (key, text) rows; it returns columns by name.
 

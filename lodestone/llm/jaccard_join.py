@@ -15,21 +15,21 @@ classes of different components are complete, and so are the components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, discard, map_texts, pieces, ship, spread, table, whole_text
+from lodestone.llm.common import checkpointed, discard, pieces, ship, spread, table, whole_text, word_spans
 from lodestone.llm.components import components
 
 WORDS, PERCENT = 5, 80
 #: Bits of an n-gram's hash; those above them hold its frequency class.
 BITS = 59
 #: Longs of a set's parity bit map, and how many of them travel with an entry of a hot column.
-LANES, NEAR_LANES = 16, 4
+LANES, NEAR_LANES = 16, 8
 #: Most columns whose frequency is sent to all executors; the most frequent ones are taken.
 HOT_MOST = 1 << 21
 #: Documents of a column from which its frequency is kept, as a power of two.
@@ -42,36 +42,68 @@ FLUSH, BLOCK = 1 << 20, 1 << 19
 ROUNDS = 3
 #: Bits of the screen that thins the texts before sets are compared.
 SCREEN = 1 << 24
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Bytes of a word from which it is hashed on its own, and bytes that are hashed at a time.
+LONG, SLICE = 1 << 12, 1 << 21
+#: A-Z become a-z; words are runs of all bytes but these six.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+IN_WORD = np.ones(256, bool)
+IN_WORD[9:14] = IN_WORD[32] = False
 
 
-class _Words(dict):
-    """64-bit hashes of words, kept for the frequent ones."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest as h
 
-        if len(self) >= 1 << 18:
-            self.clear()
-        value = self[word] = h(word)
-        return value
+FACTORS = _mixed(_mixed(np.arange(1, LONG + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) | np.uint64(1)
 
 
-_WORDS = _Words()
+def word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: sums of their bytes times a factor a place, mixed with their length."""
+    from xxhash import xxh3_64_intdigest as h
+
+    out = np.empty(len(starts), np.uint64)
+    ends = np.cumsum(np.minimum(sizes, LONG))
+    lo = 0
+    while lo < len(starts):  # a bounded number of bytes at a time
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+        n = np.minimum(sizes[lo:hi], LONG)
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        values = (data[np.repeat(starts[lo:hi], n) + place].astype(np.uint64) + np.uint64(1)) * FACTORS[place]
+        out[lo:hi] = np.add.reduceat(values, first)
+        lo = hi
+    out = _mixed(out + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for i in np.nonzero(sizes > LONG)[0].tolist():
+        out[i] = h(data[starts[i] : starts[i] + sizes[i]].tobytes())
+    return out
 
 
-def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
-    """The set of ``words``-word n-grams as sorted hashes of BITS bits; fewer words are one n-gram, none are none."""
-    found = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not found:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
-    run = min(words, len(w))
-    h = np.full(len(w) - run + 1, 0x9E3779B97F4A7C15 * run % (1 << 64), np.uint64)
-    for k in range(run):
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + w[k : len(h) + k]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique((h ^ (h >> np.uint64(29))) >> np.uint64(64 - BITS))
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """The set of ``words``-word n-grams of each text as sorted hashes of BITS bits; fewer words are one n-gram, none are
+    none."""
+    data, starts, sizes, owner = word_spans(texts, IN_WORD, LOWER)
+    w = word_hashes(data, starts, sizes)
+    count = np.bincount(owner, minlength=len(texts))
+    first = np.cumsum(count) - count
+    out = []
+    h = np.full(max(0, len(w) - words + 1), words, np.uint64)  # of the words from each place on, whatever text they are of
+    for k in range(words):
+        h = _mixed(h) * np.uint64(0x9E3779B97F4A7C15) + w[k : len(h) + k]
+    h = _mixed(h) >> np.uint64(64 - BITS)
+    for at, n in zip(first.tolist(), count.tolist()):
+        if n >= words:
+            s = np.sort(h[at : at + n - words + 1])
+            out.append(s[np.append(True, s[1:] != s[:-1])])
+        elif n:
+            short = np.full(1, n, np.uint64)
+            for k in range(n):
+                short = _mixed(short) * np.uint64(0x9E3779B97F4A7C15) + w[at + k]
+            out.append(_mixed(short) >> np.uint64(64 - BITS))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -104,12 +136,25 @@ def _signed(x: list[int]) -> np.ndarray:
 def classes(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, node, map) of each document: its set's size, name and bit map; a document without words has no node."""
 
-    def of(keys: pa.Array, texts: list[str]) -> dict:
-        sets = [shingle_set(t, words) for t in texts]
+    def of(keys: pa.Array, sets: list[np.ndarray]) -> dict:
         names = pa.array(_signed([name(s) for s in sets]), mask=np.array([not len(s) for s in sets]))
-        return {"doc_id": keys, "n": [len(s) for s in sets], "node": names, "map": [parity_map(s) if len(s) else None for s in sets]}
+        maps = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([parity_map(s) for s in sets])), LANES).cast(pa.list_(pa.int64()))
+        return {"doc_id": keys, "n": pa.array([len(s) for s in sets], pa.int32()), "node": names, "map": maps}
+
+    return _map_sets(docs, words, of, "doc_id long, n int, node long, map array<long>")
+
+
+def _map_sets(docs: DataFrame, words: int, f: Callable[[pa.Array, list[np.ndarray]], dict], schema: str) -> DataFrame:
+    """Applies ``f(doc_ids, sets)`` to slices of the documents."""
+    ship(docs.sparkSession)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, 1):
+                yield pa.RecordBatch.from_pydict(f(piece.column(0), shingle_sets(piece.column(1), words)))
 
-    return map_texts(docs, of, "doc_id long, n int, node long, map array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("t"))
+    return spread(texts).mapInArrow(over, schema)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[np.ndarray]]:
@@ -117,8 +162,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[np
     held, size = [], 0
     for batch in batches:
         for piece in pieces(batch, 0):
-            for text in piece.column(0).to_pylist():
-                s = shingle_set(text, words)
+            for s in shingle_sets(piece.column(0), words):
                 if len(s):
                     held.append(s)
                     size += len(s)
@@ -345,13 +389,14 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, pe
     wanted = checkpointed(nodes.join(members, "node", "left_semi").select("node", "first"))
     screen = spark.sparkContext.broadcast(_screen(wanted))
 
-    def of(keys: pa.Array, texts: list[str]) -> dict:
-        got = [(s, name(s)) for s in (shingle_set(t, words) for t in texts)]
-        return {"node": _signed([n for _, n in got]), "shingles": [s.view(np.int64) for s, _ in got]}
+    def of(keys: pa.Array, sets: list[np.ndarray]) -> dict:
+        each = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(each), pa.array(np.concatenate(sets).view(np.int64)))
+        return {"node": pa.array(_signed([name(s) for s in sets])), "shingles": lists}
 
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SCREEN))
     held = _screened(docs.select("doc_id", "text", place.alias("place")), screen)
-    sets = checkpointed(map_texts(held, of, "node long, shingles array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    sets = checkpointed(_map_sets(held, words, of, "node long, shingles array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     out = checkpointed(close.join(side("a"), "a").join(side("b"), "b").filter(both >= _needed("a_n", "b_n", percent)).select("a", "b"))
@@ -378,31 +423,37 @@ def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def hot_links(docs: DataFrame, nodes: DataFrame, entries: DataFrame, links: DataFrame, words: int, percent: int) -> DataFrame:
-    """``links`` with those of hot columns: a leader of each column against the rest, in ROUNDS, then all pairs of
-    different components. Of a column's largest component only pairs with others are made."""
+    """``links`` with those of hot columns: each class against one leader, in ROUNDS, then all pairs of different components
+    that the first NEAR_LANES of their bit maps allow. Of a column's largest component only pairs with others are made."""
     near = (F.col("a_root") != F.col("b_root")) & _fits("a_n", "b_n", percent) & _alike("a", "b", NEAR_LANES, percent)
     fields = ["node", "root", "n", *[f"m{k}" for k in range(NEAR_LANES)]]
     tested = entries.sparkSession.createDataFrame([], "a long, b long")
+    share = entries.groupBy("node").agg(F.count("*").alias("hot"))  # what others changed least is hot in most columns
+    nodes = checkpointed(nodes.join(share, "node"))
 
     def named(c: str, at) -> list[Column]:
         return [at("node").alias(c), *[at(f).alias(f"{c}_{f}") for f in fields[1:]]]
 
     def placed() -> DataFrame:
-        rooted = checkpointed(_rooted(nodes, links).select(*fields))
+        rooted = checkpointed(_rooted(nodes, links).select(*fields, (F.col("hot") / F.col("n")).alias("central")))
         side = checkpointed(entries.join(rooted, "node"))
         discard(rooted)
         return side
 
     def fresh(met: DataFrame) -> DataFrame:
-        pairs = met.filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
 
     # what a column tells of its rows is written out: the joins then have plain exchanges on either side and can be split
     for again in range(ROUNDS):
         side = placed()
-        lead = side.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct(*fields), F.xxhash64("node", F.lit(again))).alias("s"))
+        chance = F.xxhash64("node", F.lit(again))
+        first = F.struct(*([-F.col("central"), chance] if not again else [chance]))
+        lead = side.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct(*fields), first).alias("s"))
         lead = checkpointed(lead.filter("low <> high").select("key", *named("a", lambda f: F.col(f"s.{f}"))))
-        met = fresh(side.select("key", *named("b", F.col)).join(lead, "key"))
+        met = side.select("key", *named("b", F.col)).join(lead, "key").filter(near).groupBy("a", "b").agg(F.count("*").alias("c"))
+        # of the leaders that a class meets, the one that it meets most often
+        met = fresh(met.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")))
         discard(side, lead)
         if met.isEmpty():
             discard(met)
@@ -415,9 +466,11 @@ def hot_links(docs: DataFrame, nodes: DataFrame, entries: DataFrame, links: Data
     most = checkpointed(most.filter("roots > 1").drop("roots"))
     outside = checkpointed(side.join(most, "key").filter("root <> largest").select("key", "largest", *named("a", F.col)))
     turn = (F.col("a") < F.col("b")) | (F.col("b_root") == F.col("largest"))
-    met = fresh(outside.join(side.select("key", *named("b", F.col)), "key").filter(turn))
+    met = fresh(outside.join(side.select("key", *named("b", F.col)), "key").filter(turn & near))
     discard(side, most, outside)
-    return links.union(verified(docs, nodes, met, words, percent))
+    links = links.union(verified(docs, nodes, met, words, percent))
+    discard(nodes)
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, pieces, ship, spread, table, whole_text
+from lodestone.llm.common import checkpointed, pieces, ship, spread, table, whole_text, word_spans
 
 GRAMS, BUCKETS, SEED, LEAST_WORDS, PERCENT = 1, 10_000, 2024, 20, 10
 #: Words that are hashed at a time, and the length from which a word is hashed on its own.
@@ -68,25 +68,13 @@ def crc32s(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 
 def gram_buckets(texts: pa.Array, grams: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of every n-gram, n-grams of each text, words of each text); n-grams of a text stand together, shorter first."""
-    texts = texts.cast(pa.large_binary())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
-    raw = texts.buffers()[2]
-    data = LOWER[np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]]] if raw is not None else np.empty(0, np.uint8)
-    offsets = offsets - offsets[0]
-    inside = IN_WORD[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True  # words end where texts do
-    before = np.append(False, inside[:-1]) if len(inside) else inside
-    starts = np.nonzero(inside & (~before | edge[:-1]))[0]
-    after = np.append(inside[1:], False) if len(inside) else inside
-    sizes = np.nonzero(inside & (~after | edge[1:]))[0] + 1 - starts
-    owner = np.searchsorted(offsets, starts, "right") - 1
+    data, starts, sizes, owner = word_spans(texts, IN_WORD, LOWER)
     words = np.bincount(owner, minlength=len(texts))
     found = [crc32s(data, starts, sizes) % np.uint32(buckets)]
     owners = [owner]
     if grams > 1:  # words of a text one space apart, so that each n-gram is a span
         joined = np.full(int(sizes.sum()) + len(sizes), 32, np.uint8)
-        joined[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = data[inside]
+        joined[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = data[np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)]
         starts = np.cumsum(sizes + 1) - sizes - 1
         for n in range(2, grams + 1):
             at = np.nonzero(owner[n - 1 :] == owner[: len(owner) - n + 1])[0] if len(owner) >= n else np.empty(0, int)
