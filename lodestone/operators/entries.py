@@ -125,25 +125,3 @@ def presence(df: DataFrame, offset: Column, size: Column, group: Sequence[str] =
     """A slot is present if its offset or size is not 0: count, first payload offset and payload end."""
     there = (offset != 0) | (size != 0)
     return df.groupBy(*group).agg(F.count_if(there).alias("present"), F.min(F.when(there, offset)).alias("first_offset"), F.max(F.when(there, offset + size)).alias("payload_end"))
-
-
-def dedupe_names(df: DataFrame, name: str, order: Sequence[str], out: str = "unique_name") -> DataFrame:
-    """The first entry of a name keeps it, later ones get _1, _2 and so on."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    return df.withColumn("_n", n).withColumn(out, F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat_ws("_", name, F.col("_n").cast("string")))).drop("_n")
-
-
-def with_suffix(path: Column, suffix: Column) -> Column:
-    """A path with a suffix before its extension; a leading dot begins no extension."""
-    head, ext = F.regexp_extract(path, r"^(.*?[^/])(\.[^./]*)?$", 1), F.regexp_extract(path, r"^(.*?[^/])(\.[^./]*)?$", 2)
-    return F.concat(head, suffix, ext)
-
-
-def conflict_paths(df: DataFrame, path: str, ident: str, pos: str, out: str = "safe_path") -> DataFrame:
-    """The first entry of a path keeps it; later ones get their id, and where an id comes again, id and position."""
-    n = F.row_number().over(Window.partitionBy(path).orderBy(pos))
-    m = F.row_number().over(Window.partitionBy(path, ident, "_later").orderBy(pos))
-    marked = df.withColumn("_later", n > 1).withColumn("_m", m)
-    by_id = F.concat(F.lit("_"), F.col(ident).cast("string"))
-    both = F.concat(by_id, F.lit("_"), F.col(pos).cast("string"))
-    return marked.withColumn(out, F.when(~F.col("_later"), F.col(path)).otherwise(with_suffix(F.col(path), F.when(F.col("_m") == 1, by_id).otherwise(both)))).drop("_later", "_m")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.session import checkpointed
+from lodestone.session import checkpointed, discard
 
 
 def distances(edges: DataFrame, roots: DataFrame, most: int | None = None, skip: Sequence[str] = ()) -> DataFrame:
@@ -38,23 +38,118 @@ def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("dst")).distinct(), "dst", "left_anti")
 
 
-def on_cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """(node): nodes that reach themselves. Nodes without a way in or out are peeled first, so only cycles and what
-    lies between them are walked."""
-    left = checkpointed(edges.select("src", "dst").distinct())
-    size = left.count()
-    while size:
+def _jumped(steps: DataFrame) -> DataFrame:
+    """(node, to, low) of a forest of single steps (node, to): where walks end, and the least node on the way.
+
+    A step doubles with each round. A walk ends at a node without a step of its own, or, after as many steps as there are
+    nodes, at some node of the ring that it has run into.
+    """
+    now = checkpointed(steps.select("node", "to", F.least("node", "to").alias("low")))
+    most, length = now.count(), 1
+    while length < most:
+        on = now.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low"))
+        after = now.join(on, "to", "left").select("node", F.coalesce("_to", "to").alias("to"), F.least("low", "_low").alias("low"), F.col("_to").isNotNull().alias("_moved"))
+        after = checkpointed(after)
+        moved = not after.filter("_moved").isEmpty()
+        discard(now)
+        now, length = after.drop("_moved"), 2 * length
+        now._lodestone_at = after._lodestone_at
+        if not moved:
+            break
+    return now
+
+
+def _below(marked: DataFrame, steps: DataFrame) -> DataFrame:
+    """(node): the marked nodes and all that walks of single steps (node, to) from them pass, by doubling."""
+    found, jump = checkpointed(marked.select("node").distinct()), checkpointed(steps.select("node", "to"))
+    while not jump.isEmpty():
+        more = found.join(jump, "node").select(F.col("to").alias("node"))
+        after = checkpointed(found.union(more).distinct())
+        twice = checkpointed(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("_to")), "to").select("node", F.col("_to").alias("to")))
+        discard(found, jump)
+        found, jump = after, twice
+    return found
+
+
+def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label): the least label that reaches each node along the edges (src, dst); only what changed goes on."""
+    labels = front = checkpointed(labels)
+    while True:
+        less = edges.join(front, edges["src"] == front["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("_less"))
+        after = checkpointed(labels.join(less, "node", "left").select("node", F.least("label", "_less").alias("label"), (F.col("_less") < F.col("label")).alias("_new")))
+        front = after.filter("_new").select("node", "label")
+        labels = after.select("node", "label")
+        if front.isEmpty():
+            return labels
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges`` (src, dst): the least node that it reaches and that reaches it.
+
+    Three steps shrink the graph until nothing is left, each linear in its edges. Nodes with one way out are contracted to
+    where their walks end, by doubling, so a ring or a chain of n nodes takes log n rounds; rings of such nodes are
+    components. Nodes without a way in or out are cut off. What is left is coloured: the least node that reaches each
+    node is its colour, and the nodes of a colour that reach the node of that name are its component. At last contracted
+    nodes take the component of their end if something of it leads to them. Rounds grow with the longest shortest walk of
+    what cannot be contracted; rows never do. Null ends are no nodes.
+    """
+    every = checkpointed(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    left, settled, contracted = every.filter("src <> dst"), [], []
+    while not left.isEmpty():
+        ways = left.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("to"))
+        steps = checkpointed(ways.filter("n = 1").select("node", "to"))
+        if not steps.isEmpty():
+            ends = _jumped(steps)
+            ring = checkpointed(ends.select(F.col("to").alias("node")).distinct().join(ends.select("node", F.col("low").alias("component")), "node"))
+            settled.append(ring)
+            ends = checkpointed(ends.join(ring.select(F.col("node").alias("to")), "to", "left_anti").select("node", "to"))
+            contracted.append((left, steps, ends))
+            to = ends.select(F.col("node").alias("dst"), F.col("to").alias("_to"))
+            gone = steps.join(ends, "node", "left_anti").select("node")  # on rings or on the way to one
+            kept = left.join(steps.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
+            left = checkpointed(kept.join(to, "dst", "left").select("src", F.coalesce("_to", "dst").alias("dst")).filter("src <> dst").distinct())
+            continue
         inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
         inner = checkpointed(inner)
-        now = inner.count()
-        if now == size:
-            break
-        left, size = inner, now
-    if not size:
-        return left.select(F.col("src").alias("node")).limit(0)
-    starts = left.select(F.col("src").alias("root"), F.col("dst").alias("node"))
-    reach = distances(left, starts.select(F.col("node").alias("root")).distinct(), most)
-    return starts.join(reach.select(F.col("root").alias("node"), F.col("node").alias("root")), ["root", "node"]).select(F.col("root").alias("node")).distinct()
+        if inner.count() < left.count():
+            left = inner
+            continue
+        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        colour = _spread(left, nodes.select("node", F.col("node").alias("label")))
+        at = lambda end: colour.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+        inside = checkpointed(left.join(at("src"), "src").join(at("dst"), "dst").filter("_src = _dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        # backwards from the node of each colour: those that it reaches this way bear its label
+        named = colour.select("node", F.when(F.col("node") == F.col("label"), 0).otherwise(1).alias("label"))
+        back = _spread(inside, named).filter("label = 0").select("node").join(colour, "node").select("node", F.col("label").alias("component"))
+        found = checkpointed(back)
+        settled.append(found)
+        off = lambda end: found.select(F.col("node").alias(end))
+        left = checkpointed(left.join(off("src"), "src", "left_anti").join(off("dst"), "dst", "left_anti").select("src", "dst"))
+    nodes = every.select(F.col("src").alias("node")).union(every.select("dst")).distinct()
+    known = settled[0] if settled else nodes.select("node", F.col("node").alias("component")).limit(0)
+    for more in settled[1:]:
+        known = known.union(more)
+    for before, steps, ends in reversed(contracted):
+        known = checkpointed(known)
+        label = lambda node, out: known.select(F.col("node").alias(node), F.col("component").alias(out))
+        own = lambda end: F.coalesce(F.col(f"_{end}"), F.col(end))
+        into = before.join(ends.select(F.col("node").alias("dst"), "to"), "dst").join(steps.select(F.col("node").alias("src")), "src", "left_anti")
+        hit = into.join(label("src", "_src"), "src", "left").join(label("to", "_to"), "to", "left").filter(own("src") == own("to")).select(F.col("dst").alias("node"))
+        inside = steps.join(ends.select("node"), "node", "left_semi")
+        reached = _below(hit, inside).join(ends, "node").join(label("to", "_to"), "to", "left").select("node", own("to").alias("component"))
+        # an end that no other component member was known of is one now
+        new = reached.select(F.col("component").alias("node"), "component").distinct().join(known.select("node"), "node", "left_anti")
+        known = known.union(reached).union(new)
+    all_ = checkpointed(nodes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = all_.groupBy("component").agg(F.min("node").alias("_least"))
+    return all_.join(least, "component").select("node", F.col("_least").alias("component"))
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(node): nodes that reach themselves."""
+    found = checkpointed(strong_components(edges))
+    shared = found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+    return found.join(shared, "component").select("node").union(edges.filter("src = dst").select(F.col("src").alias("node"))).distinct()
 
 
 def nearest_names(reach: DataFrame, names: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import names, text
-from lodestone.operators import compact, cues, entries, graph, joins, layout, rank, stream
+from lodestone.operators import compact, cues, entries, graph, joins, layout, naming, rank, stream
 from lodestone.session import checkpointed, table
 from lodestone.sources import files, sinks
 
@@ -186,7 +186,45 @@ def entries_replaced(spark, sf_dir):
 )
 def dedupe_names(spark, sf_dir):
     named = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("name"))
-    return entries.dedupe_names(named, "name", ["o_orderkey"])
+    return naming.unique_names(named, "name", ["o_orderkey"])
+
+
+@query(
+    "unique_names",
+    """
+    WITH e AS MATERIALIZED (SELECT o_orderkey, 'f' || CAST(o_custkey % 40 AS VARCHAR) || CASE WHEN o_orderkey % 11 = 0 THEN '_' || CAST(o_orderkey % 300 AS VARCHAR) ELSE '' END AS name FROM orders),
+         f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY o_orderkey) - 1 AS k FROM e),
+         c AS (SELECT name, MAX(k) + 300 AS most FROM f GROUP BY 1),
+         free AS (SELECT c.name, i, row_number() OVER (PARTITION BY c.name ORDER BY i) AS k FROM c, range(1, (SELECT MAX(most) FROM c) + 1) t(i) WHERE i <= most AND c.name || '_' || CAST(i AS VARCHAR) NOT IN (SELECT name FROM e))
+    SELECT o_orderkey, f.name, CASE WHEN f.k = 0 THEN f.name ELSE f.name || '_' || CAST(i AS VARCHAR) END AS unique_name FROM f LEFT JOIN free ON free.name = f.name AND free.k = f.k
+    """,
+)
+def unique_names(spark, sf_dir):
+    """Entries whose own names look like numbered ones."""
+    number = F.when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("_"), (F.col("o_orderkey") % 300).cast("string"))).otherwise("")
+    named = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("f"), (F.col("o_custkey") % 40).cast("string"), number).alias("name"))
+    return naming.unique_names(named, "name", ["o_orderkey"])
+
+
+@query(
+    "unique_paths",
+    """
+    WITH e AS MATERIALIZED (SELECT p_partkey, p_size % 5 AS ident, CASE WHEN p_partkey % 7 = 0 THEN 'd/' || p_brand || '_' || CAST(p_partkey % 6 AS VARCHAR) ELSE 'd/' || p_brand END AS stem FROM part),
+         a AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY p_partkey) AS n FROM e),
+         b AS (SELECT *, stem || '_' || CAST(ident AS VARCHAR) AS t FROM a WHERE n > 1),
+         b1 AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY p_partkey) AS m FROM b WHERE t NOT IN (SELECT stem FROM e)),
+         w AS (SELECT p_partkey, t FROM b1 WHERE m = 1),
+         c AS (SELECT p_partkey, stem || '_' || CAST(ident AS VARCHAR) || '_' || CAST(p_partkey AS VARCHAR) AS t FROM b WHERE p_partkey NOT IN (SELECT p_partkey FROM w)),
+         taken AS (SELECT stem AS t FROM e UNION SELECT t FROM w)
+    SELECT p_partkey, stem || '.bin' AS safe_path FROM a WHERE n = 1 UNION ALL SELECT p_partkey, t || '.bin' FROM w
+    UNION ALL SELECT p_partkey, t || CASE WHEN t IN (SELECT t FROM taken) THEN '_1' ELSE '' END || '.bin' FROM c
+    """,
+)
+def unique_paths(spark, sf_dir):
+    """Paths of which some look as if an id had been added already."""
+    own = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("_"), (F.col("p_partkey") % 6).cast("string"))).otherwise("")
+    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 5).alias("ident"), F.concat(F.lit("d/"), "p_brand", own, F.lit(".bin")).alias("path"))
+    return naming.unique_paths(parts, "path", "ident", "p_partkey").select("p_partkey", "safe_path")
 
 
 @query(
@@ -357,10 +395,35 @@ def preferred_names(spark, sf_dir):
     return graph.nearest_names(reach.filter("distance > 0"), names).filter(F.startswith("node", F.lit("s")))
 
 
-@query("cycles", "SELECT CAST(v AS BIGINT) AS node FROM range(0, 10) t(v) WHERE v < 4")
+@query("cycles", "SELECT CAST(c_custkey AS BIGINT) AS node FROM customer")
 def cycles(spark, sf_dir):
-    ring = spark.range(4).select(F.col("id").alias("src"), ((F.col("id") + 1) % 4).alias("dst"))
-    return graph.on_cycles(ring.union(spark.range(4, 10).select("id", (F.col("id") - 1).alias("dst"))))
+    """One ring of all customers, with the suppliers as tails that lead into it and out of it."""
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("src"))
+    ends = keys.agg(F.min("src").alias("low"), F.max("src").alias("high"))
+    ring = keys.join(F.broadcast(ends)).select("src", F.when(F.col("src") == F.col("high"), F.col("low")).otherwise(F.col("src") + 1).alias("dst"))
+    k = F.col("s_suppkey").cast("long")
+    tails = table(spark, sf_dir, "supplier").select(F.when(k % 2 == 0, -k).otherwise(k), F.when(k % 2 == 0, k).otherwise(-k))
+    return graph.on_cycles(ring.union(tails))
+
+
+@query(
+    "strong_components",
+    """
+    WITH RECURSIVE k AS (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer), e AS MATERIALIZED (
+      SELECT k AS src, k - k % 50 + (k * 7 + 3) % 50 AS dst FROM k UNION SELECT k, k - k % 50 + (k * k + 1) % 50 FROM k WHERE k % 3 = 0 UNION SELECT k, k + 50 FROM k WHERE k % 100 = 0),
+    r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src WHERE e.dst // 50 = r.a // 50),
+    n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+    SELECT node, least(node, (SELECT MIN(x.b) FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a = node)) AS component FROM n
+    """,
+)
+def strong_components(spark, sf_dir):
+    """Blocks of fifty customers, each a graph of its own kind, with edges from one block to the next."""
+    k = F.col("c_custkey").cast("long")
+    keys = table(spark, sf_dir, "customer").select(k.alias("k"))
+    block = F.col("k") - F.pmod("k", F.lit(50))
+    first = keys.select(F.col("k").alias("src"), (block + (F.col("k") * 7 + 3) % 50).alias("dst"))
+    second = keys.filter("k % 3 = 0").select("k", block + (F.col("k") * F.col("k") + 1) % 50)
+    return graph.strong_components(first.union(second).union(keys.filter("k % 100 = 0").select("k", F.col("k") + 50)))
 
 
 @query("customer_cycles", "SELECT CAST(c_custkey AS BIGINT) AS node FROM customer WHERE c_custkey < (SELECT COUNT(*) // 7 * 7 FROM customer)")
@@ -721,7 +784,7 @@ def command_schedule(spark, sf_dir):
 )
 def conflict_paths(spark, sf_dir):
     parts = table(spark, sf_dir, "part").withColumn("path", F.concat(F.lit("d/"), "p_brand", F.lit(".bin")))
-    return entries.conflict_paths(parts, "path", "p_size", "p_partkey").select("p_partkey", "safe_path")
+    return naming.unique_paths(parts, "path", "p_size", "p_partkey").select("p_partkey", "safe_path")
 
 
 @query("last_header", "SELECT c_custkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
