@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -262,31 +263,57 @@ def shared_places(texts: DataFrame) -> DataFrame:
 
 
 def _cut(texts: DataFrame, first: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, doc_id, tid, start, snippet): the bytes of first places; those of overfull owners in shorter
-    snippets, by the least other hash of the grams that are not the owner's."""
+    """(bucket, doc_id, tid, start, snippet, windows): the bytes of first places; those of overfull owners in shorter
+    snippets, by the least other hash of the grams that are not the owner's.
+
+    Windows without other grams are one repeated byte, one string a byte. They do not travel: a task sends its first
+    place of each byte, and all others as spans (no snippet, ``windows`` long), since they are repeats.
+    """
     ship(texts.sparkSession)
     wanted = first.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "windows", "owner", "big")).alias("at"))
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+        cols = list(zip(*rows)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["bucket", "doc_id", "tid", "start", "snippet", "windows"])
+
     def over(batches):
+        first: dict[int, tuple[int, int, int]] = {}  # of each byte
         for batch in batches:
             for piece in pieces(batch, 2):
                 rows = []
                 for doc, tid, text, at in zip(*(piece.column(i).to_pylist() for i in range(4))):
                     raw = text.encode("utf-8", "surrogatepass")
+                    repeat = lambda d, t, at, m: (-1 - d % buckets, d, t, at, None, m)
                     for p in at:
                         a, n = p["start"], p["windows"]
                         if not p["big"]:
-                            rows.append((p["owner"] % buckets, doc, tid, a, raw[a : a + n + LENGTH - 1]))
-                        else:
-                            rows += [(o % buckets, doc, tid, a + i, raw[a + i : a + i + m + LENGTH - 1]) for o, i, m in other_runs(raw[a : a + n + LENGTH - 1], p["owner"])]
-                cols = list(zip(*rows)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "doc_id", "tid", "start", "snippet"])
-
-    return texts.join(wanted, ["doc_id", "tid"]).select("doc_id", "tid", "text", "at").mapInArrow(over, "bucket int, doc_id long, tid int, start int, snippet binary")
+                            rows.append((p["owner"] % buckets, doc, tid, a, raw[a : a + n + LENGTH - 1], None))
+                            continue
+                        for o, i, m in other_runs(raw[a : a + n + LENGTH - 1], p["owner"]):
+                            if o != -1:
+                                rows.append((o % buckets, doc, tid, a + i, raw[a + i : a + i + m + LENGTH - 1], None))
+                                continue
+                            if m > 1:
+                                rows.append(repeat(doc, tid, a + i + 1, m - 1))
+                            here = (doc, tid, a + i)
+                            known = first.setdefault(raw[a + i], here)
+                            if known != here:
+                                first[raw[a + i]] = min(known, here)
+                                rows.append(repeat(*max(known, here), 1))
+                yield batch_of(rows)
+        yield batch_of([(-1 % buckets, *place, bytes([b]) * LENGTH, None) for b, place in first.items()])
+
+    return texts.join(wanted, ["doc_id", "tid"]).select("doc_id", "tid", "text", "at").mapInArrow(over, "bucket int, doc_id long, tid int, start int, snippet binary, windows int")
 
 
 def _later_spans(t: pa.Table) -> pa.Table:
-    """Spans (doc_id, tid, begin, end) of the repeated windows of one bucket's snippets."""
+    """Spans (doc_id, tid, begin, end) of the repeated windows of one bucket's snippets, and those known already."""
+    known = t.filter(pc.is_null(t.column("snippet")))
+    if known.num_rows:
+        begin = known.column("start")
+        end = pc.add(begin, pc.add(known.column("windows"), LENGTH - 1)).cast(pa.int32())
+        return pa.table({"doc_id": known.column("doc_id"), "tid": known.column("tid"), "begin": begin, "end": end})
     t = t.sort_by([("doc_id", "ascending"), ("tid", "ascending"), ("start", "ascending")])
     docs, tids, starts = (t.column(c).to_numpy() for c in ("doc_id", "tid", "start"))
     out = []

@@ -193,6 +193,30 @@ def test_substring_dedup(frame, monkeypatch, owner_bytes):
     assert suffix_dedup.remove_repeats(frame([])).count() == 0
 
 
+def test_long_runs_of_one_byte_do_not_meet_in_one_bucket(frame, monkeypatch):
+    """Very many texts with a run of one byte: one owner, whose windows are one string a byte."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(suffix_dedup, "OWNER_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 5000)
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 6) + rng.choice("--- A") * rng.randint(100, 400) + prose(rng, 6)) for i in range(300)]
+    rows += [(400, "-" * 1000), (401, "-" * 99), (-3, "A" * 100), (402, "é" * 300), (403, "é" * 301)]
+    sizes, real = [], suffix_dedup._cut
+
+    def cut(texts, first, buckets):
+        out = real(texts, first, buckets)
+        hot = first.filter("big").groupBy("owner").count().count()
+        sizes.append((hot, out.agg(F.sum(F.octet_length("snippet"))).first()[0], out.groupBy("bucket").agg(F.sum(F.octet_length("snippet")).alias("n")).agg(F.max("n")).first()[0]))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_cut", cut)
+    got = suffix_dedup.remove_repeats(frame(rows)).collect()
+    assert Counter(tuple(r) for r in got) == Counter(removed(rows))
+    hot, _, largest = sizes[0]
+    assert hot >= 2 and largest < 20_000  # one in four of the runs would be over 15,000 bytes a byte
+
+
 def test_memory_of_a_large_bucket():
     import tracemalloc
 
