@@ -39,11 +39,11 @@ COLUMN = 64
 #: Entries that a task gathers before it hands them on, and entries of a block.
 FLUSH, BLOCK = 1 << 20, 1 << 19
 #: Rounds of one leader a hot column.
-ROUNDS = 3
+ROUNDS = 2
 #: Bits of the screen that thins the texts before sets are compared.
 SCREEN = 1 << 24
 #: Bytes of a word from which it is hashed on its own, and bytes that are hashed at a time.
-LONG, SLICE = 1 << 12, 1 << 21
+LONG, SLICE = 1 << 12, 1 << 18
 #: A-Z become a-z; words are runs of all bytes but these six.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -389,14 +389,8 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, pe
     wanted = checkpointed(nodes.join(members, "node", "left_semi").select("node", "first"))
     screen = spark.sparkContext.broadcast(_screen(wanted))
 
-    def of(keys: pa.Array, sets: list[np.ndarray]) -> dict:
-        each = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(each), pa.array(np.concatenate(sets).view(np.int64)))
-        return {"node": pa.array(_signed([name(s) for s in sets])), "shingles": lists}
-
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SCREEN))
-    held = _screened(docs.select("doc_id", "text", place.alias("place")), screen)
-    sets = checkpointed(_map_sets(held, words, of, "node long, shingles array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    held = _wanted_sets(docs, screen, words)
+    sets = checkpointed(held.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     out = checkpointed(close.join(side("a"), "a").join(side("b"), "b").filter(both >= _needed("a_n", "b_n", percent)).select("a", "b"))
@@ -404,17 +398,23 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, pe
     return out
 
 
-def _screened(docs: DataFrame, screen) -> DataFrame:
-    """Rows whose ``place`` is set in the screen, or that have no doc_id."""
+def _wanted_sets(docs: DataFrame, screen, words: int) -> DataFrame:
+    """(node, shingles) of the rows whose doc_id is in the screen, or null."""
+    ship(docs.sparkSession)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = screen.value
+        bits = screen.value
         for batch in batches:
-            place = batch.column(2).to_numpy(zero_copy_only=False)
-            hit = (words[place // 64] >> (place % 64)) & 1 == 1
-            yield batch.filter(pa.array(hit | batch.column(0).is_null().to_numpy(zero_copy_only=False))).select([0, 1])
+            place = batch.column(1).to_numpy(zero_copy_only=False)
+            hit = (bits[place // 64] >> (place % 64)) & 1 == 1
+            for piece in pieces(batch.filter(pa.array(hit | batch.column(0).is_null().to_numpy(zero_copy_only=False))), 2):
+                sets = shingle_sets(piece.column(2), words)
+                each = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(each, pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_pydict({"node": pa.array(_signed([name(s) for s in sets])), "shingles": lists})
 
-    return docs.mapInArrow(over, "doc_id long, text string")
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SCREEN))
+    return docs.select("doc_id", place.alias("place"), whole_text().alias("t")).mapInArrow(over, "node long, shingles array<long>")
 
 
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
