@@ -58,3 +58,22 @@ def disagreeing(rows: DataFrame, key: Sequence[str], columns: Sequence[str]) ->
 def inferred_lengths(rows: DataFrame, key: Sequence[str], start: str, length: str) -> DataFrame:
     """The end of the latest part of each key."""
     return rows.groupBy(*key).agg(F.max(F.col(start) + F.col(length)).alias("inferred"))
+
+
+def routed(items: DataFrame, item: str, hops: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
+    """(item, route, name): the name that the first successful of several routes leads to.
+
+    ``hops`` has (route, hop, src, dst): a route walks its hops from 1 on, ``most`` at the most, and routes are tried in
+    order of their number. ``names`` has (route, hop, node, name): what a route finds at a node after so many hops. All routes walk
+    in the same joins, one a hop. Of several names of the winning route the least counts; an item that no route
+    names has a null route and name.
+    """
+    front = items.select(F.col(item)).distinct().join(F.broadcast(hops.select("route").distinct())).select(item, "route", F.col(item).alias("node"))
+    found = None
+    for hop in range(1, most + 1):
+        step = hops.filter(F.col("hop") == hop).select("route", F.col("src").alias("node"), "dst").distinct()
+        front = front.join(step, ["route", "node"]).select(item, "route", F.col("dst").alias("node")).distinct()
+        here = front.join(names.filter(F.col("hop") == hop).drop("hop"), ["route", "node"]).filter("name IS NOT NULL").select(item, F.struct("route", "name").alias("r"))
+        found = here if found is None else found.union(here)
+    best = found.groupBy(item).agg(F.min("r").alias("r"))
+    return items.join(best, item, "left").select(*items.columns, F.col("r.route").alias("route"), F.col("r.name").alias("name"))

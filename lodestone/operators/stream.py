@@ -99,3 +99,24 @@ def mix(clips: DataFrame, group: Sequence[str], sample: Column) -> DataFrame:
 def expand_loops(df: DataFrame, loops: Column, out: str = "pass_no") -> DataFrame:
     """One row for each pass of a looped block: the first play and ``loops`` repeats."""
     return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.greatest(loops, F.lit(0)))))
+
+
+def packets(rows: DataFrame, stream: str, order: Sequence[str], payload: str, size: int) -> DataFrame:
+    """(stream, packet_no, content): the payloads of each stream one after the other, cut every ``size`` bytes; only a stream's last
+    packet may be shorter.
+
+    Offsets are distributed prefix sums, and a row gives a piece to each packet that it touches, so a stream may be as long
+    as the table: a packet is all that one group holds. A null payload has no bytes; the order is total in each stream.
+    """
+    sized = rows.select(stream, *order, payload).withColumn("_n", F.coalesce(F.octet_length(payload), F.lit(0)).cast("long")).filter("_n > 0")
+    placed = running_offset(sized, "_n", [stream, *order], "_at")
+    first = placed.groupBy(stream).agg(F.min("_at").alias("_first"))
+    placed = placed.join(first, stream).withColumn("_at", F.col("_at") - F.col("_first"))
+    of = lambda at: (at / F.lit(size)).cast("long")
+    cut = placed.withColumn("packet_no", F.explode(F.sequence(of(F.col("_at")), of(F.col("_at") + F.col("_n") - 1))))
+    begin = F.greatest(F.col("packet_no") * size - F.col("_at"), F.lit(0))
+    end = F.least((F.col("packet_no") + 1) * size - F.col("_at"), F.col("_n"))
+    piece = F.substring(F.col(payload).cast("binary"), (begin + 1).cast("int"), (end - begin).cast("int"))
+    pieces = cut.select(stream, "packet_no", F.struct((F.col("_at") + begin).alias("at"), piece.alias("piece")).alias("p"))
+    whole = F.aggregate(F.array_sort(F.collect_list("p")), F.lit(b""), lambda made, p: F.concat(made, p["piece"]))
+    return pieces.groupBy(stream, "packet_no").agg(whole.alias("content"))

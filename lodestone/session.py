@@ -10,6 +10,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 #: Spark's own setting by which shuffle files go as soon as the execution that wrote them ends.
@@ -92,6 +93,14 @@ def checkpointed(df: DataFrame, by: str | None = None) -> DataFrame:
     return back
 
 
+def together(*dfs: DataFrame) -> DataFrame:
+    """The rows of checkpointed tables of one schema, in one scan however many they are."""
+    first = dfs[0]
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(first.schema.fields)])
+    read = first.sparkSession.read.schema(plain).parquet(*[df._lodestone_at for df in dfs])
+    return read.select(*plain.names).toDF(*first.columns)
+
+
 def discard(*dfs: DataFrame) -> None:
     """Deletes the files of checkpointed tables that nothing reads any more."""
     for df in dfs:

@@ -7,6 +7,7 @@ cannot be parsed raises, or with ``errors="row"`` becomes a row whose ``error``
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,7 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone.codecs import adx, archives, media, stream
 from lodestone.codecs import table as tables
-from lodestone.session import ship
+from lodestone.functions.names import suspicion
+from lodestone.session import checkpointed, ship
 
 ENTRY = "pos int, entry_id long, path string, file_offset long, file_size long, extract_size long, packed boolean"
 ROWS_OUT = 4096
@@ -183,3 +185,66 @@ def transform_headers(blobs: DataFrame, errors: str = "raise") -> DataFrame:
 def program_packets(blobs: DataFrame, errors: str = "raise") -> DataFrame:
     """Packets of program streams; ``stream.stream_totals`` and ``stream.demux`` take them by stream id."""
     return parsed(blobs, stream.parse_program, "packet_no long, stream_id int, payload_offset long, payload_size long", errors)
+
+
+def attempted(blobs: DataFrame, readers: dict[str, Callable[[bytes], list]]) -> DataFrame:
+    """(file, attempt, reader, n_rows, error): every reader tries every file, a row each, in the readers' order."""
+
+    def tries(raw: bytes) -> list[dict]:
+        out = []
+        for i, (name, read) in enumerate(readers.items()):
+            try:
+                out.append({"attempt": i, "reader": name, "n_rows": len(read(raw))})
+            except (ValueError, LookupError, struct.error, OverflowError) as e:
+                out.append({"attempt": i, "reader": name, "error": str(e) or type(e).__name__})
+        return out
+
+    return parsed(blobs, tries, "attempt int, reader string, n_rows long, error string")
+
+
+def settled(attempts: DataFrame) -> DataFrame:
+    """(file, reader, n_rows, error): the first reader that succeeded, else the one that got furthest before it failed."""
+    good = F.col("error").isNull()
+    rank = F.struct(good.cast("int").alias("ok"), F.when(good, 0).otherwise(suspicion(F.col("error"))).alias("depth"), (-F.col("attempt")).alias("first"))
+    return attempts.groupBy("file").agg(F.max_by(F.struct("reader", "n_rows", "error"), rank).alias("b")).select("file", "b.*")
+
+
+def nested_entries(blobs: DataFrame, most: int = 16) -> DataFrame:
+    """(file, path, depth, size, digest, kind) of all entries of archives, of archives in them, and so on to ``most`` levels.
+
+    A work list: each round opens the archives that the last one brought up, every different content once whatever
+    the number of places that hold it, and dealt out by bytes. ``kind`` is null for what is no archive; an archive that cannot be
+    read counts as no archive. Deeper nesting than ``most`` is an error.
+    """
+    kind = F.when(F.startswith("content", F.lit(b"CPK ")), "cpk").when(F.startswith("content", F.lit(b"AFS\x00")), "afs").when(F.startswith("content", F.lit(b"AFS2")), "awb")
+    digest = F.sha2("content", 256)
+    top = checkpointed(blobs.select("file", digest.alias("digest"), kind.alias("kind"), "content"))
+    front = top.filter("kind IS NOT NULL").groupBy("digest").agg(F.first("content").alias("content"))
+    opened = None
+    for _ in range(most):
+        if front.isEmpty():
+            break
+        spread = front.repartition(F.pmod(F.xxhash64("digest"), F.lit(4096))).select(F.col("digest").alias("file"), "content")
+        got = archive_entries(spread, payload=True, errors="row").filter("error IS NULL").select(F.col("file").alias("parent"), "path", "pos", F.col("payload").alias("content"))
+        got = checkpointed(got.select("parent", "path", "pos", digest.alias("digest"), F.octet_length("content").cast("long").alias("size"), kind.alias("kind"), F.when(kind.isNotNull(), F.col("content")).alias("content")))
+        before = opened
+        opened = got.drop("content") if before is None else before.union(got.drop("content"))
+        front = got.filter("kind IS NOT NULL").groupBy("digest").agg(F.first("content").alias("content")).join(opened.select(F.col("parent").alias("digest")).distinct(), "digest", "left_anti")
+    else:
+        if not front.isEmpty():
+            raise RuntimeError(f"archives lie deeper than {most} levels")
+    schema = "file string, path string, depth int, size long, digest string, kind string"
+    if opened is None:
+        return blobs.sparkSession.createDataFrame([], schema)
+    walk = top.select("file", F.lit("").alias("path"), "digest")
+    out = None
+    for depth in range(1, most + 1):
+        step = walk.withColumnRenamed("path", "above").join(opened.withColumnRenamed("digest", "inner"), F.col("digest") == F.col("parent"))
+        name = F.coalesce("path", F.col("pos").cast("string"))
+        here = step.select("file", F.concat_ws("/", F.when(F.col("above") != "", F.col("above")), name).alias("path"), F.lit(depth).alias("depth"), "size", F.col("inner").alias("digest"), "kind")
+        here = checkpointed(here)
+        if here.isEmpty():
+            break
+        out = here if out is None else out.union(here)
+        walk = here.filter("kind IS NOT NULL").select("file", "path", "digest")
+    return out if out is not None else blobs.sparkSession.createDataFrame([], schema)

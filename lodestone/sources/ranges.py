@@ -117,6 +117,7 @@ class ChunkReader(DataSourceReader):
         self.payload = str(options.get("payload", "true")).lower() != "false"
         self.only: dict[str, set] = {}
         self.low, self.high = 0, None
+        self.scheme = ""
 
     def pushFilters(self, filters) -> Iterator:
         """Keeps what headers can decide; the rest is Spark's."""
@@ -139,6 +140,7 @@ class ChunkReader(DataSourceReader):
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(self.root)
+        self.scheme = self.root[: -len(path)] if self.root.endswith(path) else ""  # rows name files as the path did
         info = system.get_file_info(path)
         found = [info] if info.is_file else system.get_file_info(fs.FileSelector(path, recursive=True))
         out = []
@@ -159,7 +161,8 @@ class ChunkReader(DataSourceReader):
 
         system, _ = fs.FileSystem.from_uri(self.root)
         with system.open_input_file(partition.path) as f:
-            yield from chunks(lambda at, n: f.read_at(min(n, partition.size - at), at), partition, self.wanted, self.payload)
+            for row in chunks(lambda at, n: f.read_at(min(n, partition.size - at), at), partition, self.wanted, self.payload):
+                yield (self.scheme + row[0], *row[1:])
 
 
 class ChunkSource(DataSource):
