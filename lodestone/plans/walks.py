@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import chains
+from lodestone.codecs import archives
+from lodestone.operators import chains, joins, stream
 from lodestone.plans.catalog import query
 from lodestone.session import shared_folder, table
-from lodestone.sources import ranges, sinks
+from lodestone.sources import files, ranges, sinks
 
 _CUES = """
     cue AS (SELECT CAST(c_custkey AS BIGINT) AS k, CAST(c_custkey AS BIGINT) % 100 AS p FROM customer),
@@ -127,3 +128,76 @@ def payload_ranges(spark, sf_dir):
     heads = spark.read.format("lodestone_chunks").option("splitBytes", 1 << 16).option("payload", "false").load(_media(spark, sf_dir))
     wanted = heads.filter("magic <> 'CRID' AND frame_time % 97 = 0").select("file", (F.col("chunk_offset") + 32).alias("file_offset"), F.col("payload_size").alias("file_size"), "frame_time")
     return ranges.payloads(wanted).select("frame_time", F.decode("payload", "utf-8").alias("props"))
+
+
+@query(
+    "packets",
+    """
+    WITH s AS (SELECT lang, hex(encode(string_agg(coalesce(text, ''), '' ORDER BY doc_id))) AS h FROM documents GROUP BY 1),
+         p AS (SELECT lang, k AS packet_no, substring(h, 1 + 8192 * k, 8192) AS c FROM s, range(0, (SELECT MAX(strlen(h)) // 8192 + 1 FROM s)) t(k) WHERE 8192 * k < strlen(h))
+    SELECT lang, packet_no, CAST(strlen(c) // 2 AS INT) AS size, md5(unhex(c)) AS digest FROM p
+    """,
+)
+def packets(spark, sf_dir):
+    """The texts of each language as one stream, in packets of 4096 bytes."""
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", F.encode("text", "utf-8").alias("raw"))
+    return stream.packets(docs, "lang", ["doc_id"], "raw", 4096).select("lang", "packet_no", F.octet_length("content").alias("size"), F.md5("content").alias("digest"))
+
+
+@query(
+    "routed_names",
+    """
+    WITH a AS (SELECT l_partkey, MIN(s_name) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 50 GROUP BY 1),
+         b AS (SELECT l_partkey, MIN(n_name) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity >= 48 GROUP BY 1),
+         c AS (SELECT l_partkey, MIN(n_name) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_linenumber = 7 GROUP BY 1)
+    SELECT p_partkey, CAST(CASE WHEN a.n IS NOT NULL THEN 1 WHEN b.n IS NOT NULL THEN 2 WHEN c.n IS NOT NULL THEN 3 END AS INT) AS route, coalesce(a.n, b.n, c.n) AS name
+    FROM part LEFT JOIN a ON a.l_partkey = p_partkey LEFT JOIN b ON b.l_partkey = p_partkey LEFT JOIN c ON c.l_partkey = p_partkey
+    """,
+)
+def routed_names(spark, sf_dir):
+    """A part's name by its supplier, else by that one's nation, else by the nation of a customer who ordered it."""
+    t = lambda name: table(spark, sf_dir, name)
+    key = lambda c: F.col(c).cast("long")
+    hop = lambda df, route, n, src, dst: df.select(F.lit(route).alias("route"), F.lit(n).alias("hop"), key(src).alias("src"), key(dst).alias("dst"))
+    lines = t("lineitem")
+    hops = hop(lines.filter("l_quantity >= 50"), 1, 1, "l_partkey", "l_suppkey").union(hop(lines.filter("l_quantity >= 48"), 2, 1, "l_partkey", "l_suppkey")).union(hop(t("supplier"), 2, 2, "s_suppkey", "s_nationkey"))
+    hops = hops.union(hop(lines.filter("l_linenumber = 7"), 3, 1, "l_partkey", "l_orderkey")).union(hop(t("orders"), 3, 2, "o_orderkey", "o_custkey")).union(hop(t("customer"), 3, 3, "c_custkey", "c_nationkey"))
+    named = lambda df, route, n, node, name: df.select(F.lit(route).alias("route"), F.lit(n).alias("hop"), key(node).alias("node"), F.col(name).alias("name"))
+    names = named(t("supplier"), 1, 1, "s_suppkey", "s_name").union(named(t("nation"), 2, 2, "n_nationkey", "n_name")).union(named(t("nation"), 3, 3, "n_nationkey", "n_name"))
+    return joins.routed(t("part").select("p_partkey"), "p_partkey", hops, names)
+
+
+@query(
+    "reader_attempts",
+    """
+    SELECT 'c' || CAST(o_custkey AS VARCHAR) AS file, CASE WHEN o_custkey % 4 = 2 THEN 'package' ELSE 'bank' END AS reader, CASE WHEN o_custkey % 4 = 0 THEN COUNT(*) END AS n_rows, o_custkey % 4 <> 0 AS failed
+    FROM orders GROUP BY o_custkey
+    """,
+)
+def reader_attempts(spark, sf_dir):
+    """A bank of orders for each customer: whole, cut in its header, with another magic, or cut in its entries."""
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("file"), "o_orderkey", F.encode("o_orderpriority", "utf-8").alias("payload"))
+    made = sinks.bank(orders, "file", "o_orderkey", "payload")
+    k, size = F.substring("file", 2, 20).cast("long") % 4, F.octet_length("content")
+    cut = lambda n: F.substring(F.col("content"), F.lit(1), n)
+    broken = F.when(k == 1, cut(F.lit(20))).when(k == 2, F.concat(F.lit(b"XXXX"), F.substring(F.col("content"), F.lit(5), size))).when(k == 3, cut(size - 5)).otherwise(F.col("content"))
+    tried = files.attempted(made.select("file", broken.alias("content")), {"package": archives.PARSERS["cpk"], "bank": archives.PARSERS["awb"], "slots": archives.PARSERS["afs"]})
+    return files.settled(tried).select("file", "reader", "n_rows", F.col("error").isNotNull().alias("failed"))
+
+
+@query(
+    "nested_entries",
+    """
+    WITH d AS (SELECT 'f' || CAST(doc_id % 20 AS VARCHAR) AS file, lang, strlen(coalesce(text, '')) AS size, row_number() OVER (PARTITION BY doc_id % 20, lang ORDER BY doc_id) - 1 AS pos FROM documents)
+    SELECT file, lang || '.awb/' || CAST(pos AS VARCHAR) AS path, CAST(2 AS INT) AS depth, CAST(size AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS kind FROM d
+    UNION ALL SELECT DISTINCT file, lang || '.awb', 1, NULL, 'awb' FROM d
+    """,
+)
+def nested_entries(spark, sf_dir):
+    """Banks of texts inside packages."""
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("|", F.concat(F.lit("f"), F.col("doc_id") % 20), "lang").alias("key"), "doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("payload"))
+    banks = sinks.bank(docs, "key", "doc_id", "payload")
+    part = F.split("file", r"\|")
+    packages = sinks.package(banks.select(part[0].alias("key"), F.concat(part[1], F.lit(".awb")).alias("path"), "content"), "key", "path", "content")
+    found = files.nested_entries(packages)
+    return found.select("file", "path", "depth", F.when(F.col("depth") == 2, F.col("size")).alias("size"), "kind")

@@ -240,7 +240,7 @@ def nested_entries(blobs: DataFrame, most: int = 16) -> DataFrame:
     out = None
     for depth in range(1, most + 1):
         step = walk.withColumnRenamed("path", "above").join(opened.withColumnRenamed("digest", "inner"), F.col("digest") == F.col("parent"))
-        name = F.coalesce("path", F.col("pos").cast("string"))
+        name = F.when(F.coalesce(F.col("path"), F.lit("")) != "", F.col("path")).otherwise(F.col("pos").cast("string"))
         here = step.select("file", F.concat_ws("/", F.when(F.col("above") != "", F.col("above")), name).alias("path"), F.lit(depth).alias("depth"), "size", F.col("inner").alias("digest"), "kind")
         here = checkpointed(here)
         if here.isEmpty():
