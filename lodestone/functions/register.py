@@ -33,3 +33,32 @@ def register(spark: SparkSession) -> None:
     add("checksum_769", "bigint", checks.checksum769)
     add("legacy_text", "string", lambda b: checks.guess_text(b)[1])
     add("u16_list", "array<int>", checks.u16_list)
+
+
+def register_tables(spark: SparkSession) -> None:
+    """Makes archive_entries(content), stream_chunks(content) and nested_tables(content) callable as table functions: ``SELECT f.*
+    FROM blobs, LATERAL archive_entries(content) f``. Null or unreadable content gives no rows."""
+    from pyspark.sql.functions import udtf
+
+    from lodestone.codecs import archives, media, stream
+    from lodestone.sources.files import ENTRY
+
+    ship(spark)
+
+    def add(name: str, schema: str, read) -> None:
+        columns = [c.split()[0] for c in schema.split(", ")]
+
+        class Rows:
+            def eval(self, content: bytes):
+                try:
+                    rows = read(bytes(content)) if content is not None else []
+                except (ValueError, LookupError):
+                    rows = []
+                for r in rows:
+                    yield tuple(r.get(c) for c in columns)
+
+        spark.udtf.register(name, udtf(Rows, returnType=schema))
+
+    add("archive_entries", ENTRY, lambda raw: archives.PARSERS[archives.kind_of(raw[:16])](raw))
+    add("stream_chunks", "chunk_no long, chunk_offset long, magic string, channel int, payload_type string, frame_time long, payload binary", stream.parse_chunks)
+    add("nested_tables", "place string, table_name string, n_rows long, n_columns int", lambda raw: media.nested_tables(raw, 4))
