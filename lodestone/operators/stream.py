@@ -96,6 +96,13 @@ def mix(clips: DataFrame, group: Sequence[str], sample: Column) -> DataFrame:
     return clips.groupBy(*group).agg(F.greatest(F.lit(-32768), F.least(F.lit(32767), F.sum(sample))).alias("mixed"))
 
 
+def mix_clips(clips: DataFrame, group: Sequence[str], start: Column, samples: Column) -> DataFrame:
+    """(group, place, mixed): clips laid over each other on a sample axis, each from its start; what falls on one place is
+    summed and saturated to 16 bits. Sums are folded before they are shuffled, so very many clips may share a place."""
+    laid = clips.select(*group, start.alias("_start"), F.posexplode(samples).alias("_i", "_sample"))
+    return mix(laid.withColumn("place", F.col("_start") + F.col("_i")), [*group, "place"], F.col("_sample"))
+
+
 def expand_loops(df: DataFrame, loops: Column, out: str = "pass_no") -> DataFrame:
     """One row for each pass of a looped block: the first play and ``loops`` repeats."""
     return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.greatest(loops, F.lit(0)))))

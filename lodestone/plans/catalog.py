@@ -515,6 +515,20 @@ def mix_saturate(spark, sf_dir):
     return stream.mix(table(spark, sf_dir, "events"), ["user_id"], F.floor(F.col("value") * 100).cast("long"))
 
 
+@query(
+    "mix_clips",
+    """
+    WITH s AS (SELECT event_type, event_id % 400 + i AS place, CAST(floor(value * 100) AS BIGINT) * (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * (i + 1) AS sample FROM events, range(0, 6) t(i))
+    SELECT event_type, place, greatest(-32768, least(32767, CAST(SUM(sample) AS BIGINT))) AS mixed FROM s GROUP BY 1, 2
+    """,
+)
+def mix_clips(spark, sf_dir):
+    """Every event as a clip of six samples, laid over those of its type."""
+    loud = F.floor(F.col("value") * 100).cast("long")
+    samples = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: loud * F.when(i % 2 == 0, 1).otherwise(-1) * (i + 1))
+    return stream.mix_clips(table(spark, sf_dir, "events"), ["event_type"], F.col("event_id") % 400, samples)
+
+
 @query("loop_expand", "SELECT n_nationkey, CAST(unnest(range(0, n_regionkey + 1)) AS INT) AS pass_no FROM nation")
 def loop_expand(spark, sf_dir):
     return stream.expand_loops(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("n_regionkey")).drop("n_regionkey")
