@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lodestone.codecs import archives
 from lodestone.operators import chains, joins, stream
 from lodestone.plans.catalog import query
-from lodestone.session import shared_folder, table
+from lodestone.session import scratch, table
 from lodestone.sources import files, ranges, sinks
 
 _CUES = """
@@ -102,8 +100,8 @@ def key_depths(spark, sf_dir):
 def _media(spark, sf_dir) -> str:
     """A folder of chunk files of all events, written by the sink: one file a hundred users."""
     ranges.register(spark)
-    root = shared_folder(spark)
-    folder = f"{root if '://' in root else 'file://' + root}/media-{uuid.uuid4().hex}"
+    folder = scratch(spark)
+    folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
     kind = F.when(F.col("event_type") == "click", "@SFV").when(F.col("event_type") == "view", "@SFA").otherwise("@SBT")
     events = table(spark, sf_dir, "events").select(
         F.concat(F.lit("u"), (F.col("user_id") / 100).cast("long"), F.lit(".bin")).alias("file"), kind.alias("magic"), (F.col("user_id") % 3).cast("int").alias("channel"), F.col("event_id").alias("frame_time"), F.encode("props", "utf-8").alias("payload")

@@ -71,6 +71,16 @@ def tidy(spark: SparkSession) -> None:
         spark._lodestone_tidy = True
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder of its own for a step, in the shared folder; what is left there is deleted when the application ends."""
+    sc = spark.sparkContext
+    top = f"{shared_folder(spark)}/lodestone-{sc.applicationId}"
+    if top not in getattr(sc, "_lodestone_tops", ()):
+        sc._lodestone_tops = {top, *getattr(sc, "_lodestone_tops", ())}
+        atexit.register(_last, spark, top)
+    return f"{top}/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame, by: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there.
 
@@ -79,12 +89,7 @@ def checkpointed(df: DataFrame, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     tidy(spark)
-    sc = spark.sparkContext
-    top = f"{shared_folder(spark)}/lodestone-{sc.applicationId}"
-    if top not in getattr(sc, "_lodestone_tops", ()):
-        sc._lodestone_tops = {top, *getattr(sc, "_lodestone_tops", ())}
-        atexit.register(_last, spark, top)
-    folder = f"{top}/{uuid.uuid4().hex}"
+    folder = scratch(spark)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # any column name will do
     write = plain.write.option("compression", "zstd")
     (write.partitionBy(f"c{df.columns.index(by)}") if by else write).parquet(folder)
