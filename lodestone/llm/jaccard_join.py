@@ -29,7 +29,7 @@ WORDS, PERCENT = 5, 80
 #: Bits of an n-gram's hash; those above them hold its frequency class.
 BITS = 59
 #: Longs of a set's parity bit map, and how many of them travel with an entry of a hot column.
-LANES, NEAR_LANES = 16, 8
+LANES, NEAR_LANES = 16, 16
 #: Most columns whose frequency is sent to all executors; the most frequent ones are taken.
 HOT_MOST = 1 << 21
 #: Documents of a column from which its frequency is kept, as a power of two.
