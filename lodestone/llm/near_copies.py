@@ -31,8 +31,8 @@ SEGMENT_BITS = 20
 #: Rounds of one node against its group; more than one are worth it if one node in HOT or
 #: more is reached from the same one over HOPS links.
 ROUNDS, HOPS, HOT = 3, 3, 100
-#: Pairs whose sets are compared at a time.
-SLICE_PAIRS = 200_000
+#: Pairs whose sets are compared at a time, for each set that is sent: sets are sent no more often than pairs ask for.
+PAIRS_A_SET = 2
 
 
 @dataclass(frozen=True)
@@ -148,12 +148,16 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (a, b) whose whole shingle sets have SIMILARITY or more in common, a bounded slice of pairs at a time."""
+    """The (a, b) whose whole shingle sets have SIMILARITY or more in common.
+
+    A slice of pairs takes PAIRS_A_SET times the room of all sets at most, and the sets that all slices send are
+    in proportion to the pairs, whatever their number.
+    """
     members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = checkpointed(_sets(docs, nodes.join(members, "node", "left_semi").select(F.col("first").alias("doc_id"))))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
-    slices = max(1, -(-pairs.count() // SLICE_PAIRS))
+    slices = max(1, -(-pairs.count() // (PAIRS_A_SET * max(1, sets.count()))))
     out = []
     for k in range(slices):
         met = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k).join(side("a"), "a").join(side("b"), "b")
