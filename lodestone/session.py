@@ -15,10 +15,15 @@ from pyspark.sql.types import StructField, StructType
 PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 #: Spark's own setting by which shuffle files go as soon as the execution that wrote them ends.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own settings of the bytes up to which a join's side is broadcast: before it has been computed, and after that.
+PLANNED, COUNTED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+#: Bytes of rows up to which a side that has been computed is broadcast.
+BROADCAST_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a dataset folder; any path Spark's own readers open will do."""
+    tidy(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,9 +70,16 @@ def delete(spark: SparkSession, folder: str) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Has Spark delete an execution's shuffle files when it ends; a session may switch it off again."""
+    """Has Spark delete an execution's shuffle files when it ends, and broadcast by counted bytes only; a session may switch
+    both off again.
+
+    Before a side has been computed Spark goes by the bytes of its files, which say little of the rows: a few megabytes of
+    compressed columns can be many millions of rows, all of which the driver would hold. Sides that are broadcast by name still are.
+    """
     if not getattr(spark, "_lodestone_tidy", False):
         spark.conf.set(CLEAN, "true")
+        spark.conf.set(PLANNED, "-1")
+        spark.conf.set(COUNTED, str(BROADCAST_BYTES))
         spark._lodestone_tidy = True
 
 
