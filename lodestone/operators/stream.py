@@ -10,6 +10,10 @@ from pyspark.sql.window import Window
 
 from lodestone.operators.entries import numbered
 from lodestone.operators.layout import running_offset
+from lodestone.session import checkpointed
+
+#: Bytes of addresses that share a stream's start in one row.
+STRETCH_BYTES = 16 << 20
 
 
 def mux_order(chunks: DataFrame, order: Sequence[str], out: str = "mux_pos") -> DataFrame:
@@ -117,8 +121,12 @@ def packets(rows: DataFrame, stream: str, order: Sequence[str], payload: str, si
     """
     sized = rows.select(stream, *order, payload).withColumn("_n", F.coalesce(F.octet_length(payload), F.lit(0)).cast("long")).filter("_n > 0")
     placed = running_offset(sized, "_n", [stream, *order], "_at")
-    first = placed.groupBy(stream).agg(F.min("_at").alias("_first"))
-    placed = placed.join(first, stream).withColumn("_at", F.col("_at") - F.col("_first"))
+    # a stream's start reaches its rows by stretches of addresses, so that a stream of most rows is no one group
+    placed = placed.withColumn("_stretch", (F.col("_at") / STRETCH_BYTES).cast("long"))
+    low = checkpointed(placed.groupBy(stream, "_stretch").agg(F.min("_at").alias("_low")))
+    first = low.groupBy(stream).agg(F.min("_low").alias("_first"))
+    starts = checkpointed(low.join(first, stream).select(stream, "_stretch", "_first"))
+    placed = placed.join(starts, [stream, "_stretch"]).withColumn("_at", F.col("_at") - F.col("_first"))
     of = lambda at: (at / F.lit(size)).cast("long")
     cut = placed.withColumn("packet_no", F.explode(F.sequence(of(F.col("_at")), of(F.col("_at") + F.col("_n") - 1))))
     begin = F.greatest(F.col("packet_no") * size - F.col("_at"), F.lit(0))

@@ -32,3 +32,15 @@ def test_tables_that_pack_well_are_not_broadcast(fresh, tmp_path):
     whole = naming._first_of(named, "name", ["k"])
     assert "BroadcastExchange" not in whole._jdf.queryExecution().executedPlan().toString()
     assert whole.filter("_is_first").count() == 1 and whole.count() == rows
+
+
+def test_a_stream_of_packets_is_no_one_group(spark):
+    import re
+
+    from lodestone.operators import stream
+
+    rows = spark.range(1000).select(F.lit("all").alias("s"), "id", F.encode(F.lpad(F.col("id").cast("string"), 7, "0"), "utf-8").alias("raw"))
+    found = stream.packets(rows, "s", ["id"], "raw", 64)
+    assert not re.search(r"hashpartitioning\(s#\d+, \d+", found._jdf.queryExecution().executedPlan().toString())
+    whole = b"".join(f"{i:07}".encode() for i in range(1000))
+    assert {r.packet_no: bytes(r.content) for r in found.collect()} == {k: whole[64 * k : 64 * k + 64] for k in range(-(-len(whole) // 64))}
