@@ -92,7 +92,7 @@ def _keys(fp: Column, segments: tuple, probe: bool) -> Column:
     for number, (shift, bits, radius) in enumerate(segments):
         value = _segment(fp, shift, bits).bitwiseOR(F.lit(number << 32))
         flips = [sum(1 << i for i in flipped) for size in range(radius + 1 if probe else 1) for flipped in combinations(range(bits), size)]
-        keys.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, value=value: value.bitwiseXOR(x)))
+        keys.append(F.array(*[value.bitwiseXOR(F.lit(x).cast("long")) for x in flips]))
     return F.flatten(F.array(*keys))
 
 
