@@ -631,30 +631,35 @@ def _archived(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(file.alias("file"), "doc_id", F.concat_ws("/", "source", F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.encode("text", "utf-8").alias("payload"))
 
 
+def _stored(docs, kind, order, name=None):
+    folder = sinks.save_parts(sinks.archive_parts(docs, "file", kind, order, "payload", name))
+    return files.stored_entries(folder, docs.select("file", sinks.stored_as(F.col("file")).alias("stored")).distinct(), kind)
+
+
 def _listed(found):
     return found.select("file", "path", "file_size", F.md5("payload").alias("digest"))
 
 
 @query("package_files", ARCHIVE_SQL.format(path="source || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0')"))
 def package_files(spark, sf_dir):
-    return _listed(files.archive_entries(sinks.package(_archived(spark, sf_dir), "file", "path", "payload"), payload=True))
+    return _listed(_stored(_archived(spark, sf_dir), "cpk", "path"))
 
 
 @query("slot_files", ARCHIVE_SQL.format(path="lpad(CAST(doc_id AS VARCHAR), 9, '0')"))
 def slot_files(spark, sf_dir):
     docs = _archived(spark, sf_dir).withColumn("path", F.lpad(F.col("doc_id").cast("string"), 9, "0"))
-    return _listed(files.archive_entries(sinks.slots(docs, "file", "doc_id", "path", "payload"), payload=True))
+    return _listed(_stored(docs, "afs", "doc_id", "path"))
 
 
 @query("bank_files", ARCHIVE_SQL.format(path="CAST(doc_id AS VARCHAR)"))
 def bank_files(spark, sf_dir):
-    found = files.archive_entries(sinks.bank(_archived(spark, sf_dir), "file", "doc_id", "payload"), payload=True)
+    found = _stored(_archived(spark, sf_dir), "awb", "doc_id")
     return _listed(found.withColumn("path", F.col("entry_id").cast("string")))
 
 
 @query("pair_files", ARCHIVE_SQL.format(path="CAST(row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS VARCHAR)"))
 def pair_files(spark, sf_dir):
-    found = files.archive_entries(sinks.pairs(_archived(spark, sf_dir), "file", "doc_id", "payload"), payload=True)
+    found = _stored(_archived(spark, sf_dir), "acx", "doc_id")
     return _listed(found.withColumn("path", F.col("pos").cast("string")))
 
 

@@ -46,9 +46,11 @@ class EntryReader(DataSourceReader):
         system, path = fs.FileSystem.from_uri(self.root)
         info = system.get_file_info(path)
         found = [info] if info.is_file else system.get_file_info(fs.FileSelector(path, recursive=True))
-        return [FilePartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file]
+        return [FilePartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and not f.base_name.startswith(("_", ".", "lodestone-manifest-"))]
 
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
+    def read(self, partition: FilePartition | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's one partition of a folder without files
+            return
         from pyarrow import fs
 
         from lodestone.codecs import archives

@@ -69,6 +69,19 @@ def archive_entries(blobs: DataFrame, kind: str | None = None, payload: bool = F
     return parsed(blobs, parse, ENTRY + (", payload binary" if payload else ""), errors)
 
 
+def stored_entries(folder: str, stored: DataFrame, kind: str | None = None) -> DataFrame:
+    """Entries, with payloads, of the archives in a folder; ``stored`` is (file, stored) with the name of each file there. Headers and
+    indexes are read first, then the ranges of the payloads, so no task holds an archive."""
+    from lodestone.sources import datasource, ranges
+
+    spark = stored.sparkSession
+    datasource.register(spark)
+    reader = spark.read.format("lodestone")
+    found = (reader.option("kind", kind) if kind else reader).load(folder).withColumn("stored", F.element_at(F.split("file", "/"), -1))
+    named = found.drop("file").join(stored, "stored").withColumn("place", F.concat(F.lit(folder.rstrip("/") + "/"), "stored")).drop("stored")
+    return ranges.payloads(named, "place").drop("place")
+
+
 def table_columns(blobs: DataFrame, errors: str = "raise") -> DataFrame:
     """Schema of typed tables: a row for each column with its type and storage flags."""
 

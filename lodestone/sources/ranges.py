@@ -33,6 +33,8 @@ CHAIN = 4
 MAGICS = (b"CRID", b"@SFV", b"@SFA", b"@ALP", b"@SBT", b"@CUE", b"@ELM", b"@STA", b"@AHX", b"@USR", b"@PST")
 #: Bytes between two ranges up to which they are read as one; bytes of the file ranges that tasks share out.
 NEAR_BYTES, REGION_BYTES = 1 << 16, 64 << 20
+#: Bytes of several ranges that are read at once, and of payloads that a batch of rows carries on; one range may be longer.
+READ_BYTES = 8 << 20
 
 CHUNK = "file string, chunk_offset long, magic string, channel int, payload_type string, flags int, frame_time long, frame_rate long, payload_size long, payload binary"
 
@@ -156,7 +158,9 @@ class ChunkReader(DataSourceReader):
         values = {"magic": magic, "channel": channel, "payload_type": kind}
         return all(values[c] in some for c, some in self.only.items())
 
-    def read(self, partition: ChunkRange) -> Iterator[tuple]:
+    def read(self, partition: ChunkRange | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's one partition of a folder without files
+            return
         from pyarrow import fs
 
         system, _ = fs.FileSystem.from_uri(self.root)
@@ -179,8 +183,9 @@ class ChunkSource(DataSource):
         return ChunkReader(self.options)
 
 
-def read_ranges(read: Callable[[int, int], bytes], ranges: list[tuple[int, int]], near: int = NEAR_BYTES) -> Iterator[bytes]:
-    """The bytes of (offset, size) ranges in rising order; ranges with at most ``near`` bytes between them are read at once."""
+def read_ranges(read: Callable[[int, int], bytes], ranges: list[tuple[int, int]], near: int = NEAR_BYTES, most: int = READ_BYTES) -> Iterator[bytes]:
+    """The bytes of (offset, size) ranges in rising order; ranges with at most ``near`` bytes between them are read at once, up
+    to ``most`` bytes."""
     held: list[tuple[int, int]] = []
 
     def out() -> Iterator[bytes]:
@@ -190,7 +195,7 @@ def read_ranges(read: Callable[[int, int], bytes], ranges: list[tuple[int, int]]
             yield raw[a - begin : a - begin + n]
 
     for a, n in ranges:
-        if held and a > max(x + m for x, m in held[-1:]) + near:
+        if held and (a > max(x + m for x, m in held[-1:]) + near or a + n > held[0][0] + most):
             yield from out()
             held = []
         held.append((a, n))
@@ -214,8 +219,13 @@ def payloads(entries: DataFrame, file: str = "file", offset: str = "file_offset"
         from pyarrow import fs
 
         for batch in batches:
-            found: list[bytes] = []
             names, offsets, sizes = (batch.column(i).to_pylist() for i in at)
+            begin, held, found = 0, 0, []
+
+            def rows() -> pa.RecordBatch:
+                part = batch.slice(begin, len(found))
+                return pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out])
+
             start = 0
             while start < len(names):
                 stop = start
@@ -223,9 +233,15 @@ def payloads(entries: DataFrame, file: str = "file", offset: str = "file_offset"
                     stop += 1
                 system, path = fs.FileSystem.from_uri(names[start])
                 with system.open_input_file(path) as f:
-                    found += read_ranges(lambda a, n: f.read_at(n, a), list(zip(offsets[start:stop], sizes[start:stop])))
+                    for raw in read_ranges(lambda a, n: f.read_at(n, a), list(zip(offsets[start:stop], sizes[start:stop]))):
+                        found.append(raw)
+                        held += len(raw)
+                        if held >= READ_BYTES:
+                            yield rows()
+                            begin, held, found = begin + len(found), 0, []
                 start = stop
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out])
+            if found:
+                yield rows()
 
     read = dealt.mapInArrow(over, StructType([*dealt.schema.fields, StructField(out, BinaryType())]))
     rest = entries.filter(F.col(file).isNull() | F.col(offset).isNull() | F.col(size).isNull()).withColumn(out, F.lit(None).cast("binary"))
@@ -246,6 +262,7 @@ class FileWriter(DataSourceWriter):
         names = [f.name for f in schema]
         self.root = options["path"].rstrip("/")
         self.file, self.content = names.index(options.get("file", "file")), names.index(options.get("content", "content"))
+        self.step = names.index(options["step"]) if "step" in options else None
         self.job = uuid.uuid4().hex
 
     def _open(self):
@@ -258,15 +275,29 @@ class FileWriter(DataSourceWriter):
         system, _, staging = self._open()
         place = f"{staging}/{uuid.uuid4().hex}"  # of this attempt alone
         system.create_dir(place, recursive=True)
-        out = []
-        for i, row in enumerate(rows):
-            parts = [p for p in (row[self.file] or "").replace("\\", "/").split("/") if p not in ("", ".", "..")]
-            if not parts:
-                raise ValueError("a row has no file name")
-            raw = bytes(row[self.content] or b"")
-            with system.open_output_stream(f"{place}/{i}") as f:
+        out, f, name, size, digest = [], None, None, 0, None
+        try:
+            for row in rows:
+                parts = [p for p in (row[self.file] or "").replace("\\", "/").split("/") if p not in ("", ".", "..")]
+                if not parts:
+                    raise ValueError("a row has no file name")
+                if f is None or self.step is None or "/".join(parts) != name:
+                    if f is not None:
+                        f.close()
+                        out.append((name, size, digest.hexdigest(), f"{place}/{len(out)}"))
+                    name, size, digest = "/".join(parts), 0, sha256()
+                    f = system.open_output_stream(f"{place}/{len(out)}", buffer_size=1 << 20)
+                raw = bytes(row[self.content] or b"")
+                if self.step is not None:
+                    raw = bytes(-size % (row[self.step] or 1)) + raw
                 f.write(raw)
-            out.append(("/".join(parts), len(raw), sha256(raw).hexdigest(), f"{place}/{i}"))
+                digest.update(raw)
+                size += len(raw)
+        finally:
+            if f is not None:
+                f.close()
+        if f is not None:
+            out.append((name, size, digest.hexdigest(), f"{place}/{len(out)}"))
         return Staged(out)
 
     def commit(self, messages) -> None:
@@ -278,7 +309,7 @@ class FileWriter(DataSourceWriter):
         if len(set(names)) < len(names):
             self.abort(messages)
             raise ValueError(f"two rows have the name {next(a for a, b in zip(names, names[1:]) if a == b)}")
-        for folder in sorted({n.rpartition("/")[0] for n in names}):
+        for folder in sorted({"", *[n.rpartition("/")[0] for n in names]}):
             system.create_dir(f"{root}/{folder}" if folder else root, recursive=True)
         for name, _, _, place in found:
             system.move(place, f"{root}/{name}")
@@ -299,7 +330,9 @@ class FileWriter(DataSourceWriter):
 
 
 class FileSink(DataSource):
-    """Rows as files: ``df.write.format("lodestone_files").mode("append").save(folder)``. Options ``file`` and ``content`` name the columns."""
+    """Rows as files: ``df.write.format("lodestone_files").mode("append").save(folder)``. Options ``file`` and ``content`` name the
+    columns. With the option ``step``, rows of one file that follow each other are its pieces, each of which begins at the next
+    multiple of the number in that column; a task holds a piece at a time."""
 
     @classmethod
     def name(cls) -> str:

@@ -6,14 +6,15 @@ import os
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.codecs import archives, compress, stream
 from lodestone.codecs import table as tables
 from lodestone.operators import layout
-from lodestone.session import ship
+from lodestone.session import scratch, ship
+from lodestone.sources import ranges
 
 
 def built(df: DataFrame, key: str, columns: list[str], order: list[str], build: Callable[[list[dict]], bytes]) -> DataFrame:
@@ -61,6 +62,70 @@ def bank_parts(df: DataFrame, key: str, ident: str, payload: str, step: int = 32
     return heads.union(bodies)
 
 
+#: Multiples on which the payloads of an archive begin, by its kind.
+STEPS = {"cpk": 2048, "afs": 2048, "awb": 32, "acx": 4}
+
+
+def archive_parts(df: DataFrame, key: str, kind: str, order: str, payload: str, name: str | None = None) -> DataFrame:
+    """The pieces, for ``save_parts``, of the same archives as ``package`` (``order`` being the path), ``slots``, ``bank`` and ``pairs`` make.
+
+    What stands before and behind the payloads is built from numbers, names and sizes alone; payloads never meet in one place.
+    Rows that are alike in ``order`` are told apart by name and size.
+    """
+    ship(df.sparkSession)
+    step = STEPS[kind]
+    folded = F.lower(F.replace(F.col(order), F.lit("\\"), F.lit("/"))) if kind == "cpk" else F.lit(None).cast("string")
+    size = F.octet_length(payload) if kind == "afs" else F.coalesce(F.octet_length(payload), F.lit(0))
+    placed = df.select(F.col(key).alias("file"), folded.alias("p0"), F.col(order).alias("p1"), (F.col(name) if name else F.lit(None).cast("string")).alias("p2"), size.alias("p3"), (F.col(payload) if kind == "afs" else F.coalesce(F.col(payload), F.lit(b""))).alias("content"))
+
+    def ends(t: pa.Table) -> pa.Table:
+        file = t.column("file")[0].as_py()
+        t = t.sort_by([(c, "ascending") for c in ("p0", "p1", "p2", "p3")])
+        keys, names, sizes = (t.column(c).to_pylist() for c in ("p1", "p2", "p3"))
+        tail = b""
+        if kind == "cpk":
+            number = sorted(range(len(keys)), key=lambda i: keys[i])
+            at = dict(zip(number, range(len(keys))))
+            head = archives.package_header([(at[i], path, n) for i, (path, n) in enumerate(zip(keys, sizes))], step)
+        elif kind == "afs":
+            head, tail = archives.slots_header(sizes, names, step)
+        elif kind == "awb":
+            begin = 16 + 8 * len(keys) + 4 * (len(keys) + 1)
+            marks = [begin]
+            for n in sizes:
+                marks.append(-(-marks[-1] // step) * step + n)
+            head = archives.bank_header(keys, marks, step, 4, 8)
+        else:
+            head = archives.pairs_header(sizes, step)
+        kept = [(0, 1, head)] + ([] if kind == "awb" else [(2, step, tail)])  # the last payload of a bank is not padded
+        turn, steps, content = zip(*kept)
+        return pa.table({"file": pa.array([file] * len(kept), pa.string()), "turn": pa.array(turn, pa.int32()), "step": pa.array(steps, pa.int32()), "content": pa.array(content, pa.binary())})
+
+    around = placed.drop("content").groupBy("file").applyInArrow(ends, "file string, turn int, step int, content binary")
+    bodies = placed.withColumn("turn", F.lit(1)).withColumn("step", F.lit(step))
+    return bodies.filter("content IS NOT NULL").unionByName(around, allowMissingColumns=True)
+
+
+def stored_as(file: Column) -> Column:
+    """The name under which ``save_parts`` writes a file of any name."""
+    return F.when(file.isNull(), "none").otherwise(F.sha2(file, 256))
+
+
+def save_parts(parts: DataFrame) -> str:
+    """Writes pieces (file, turn, p0 and so on, step, content) as files of a scratch folder, which it returns.
+
+    A file is written by one task, front to back, which holds a piece at a time.
+    """
+    spark = parts.sparkSession
+    ranges.register(spark)
+    folder = scratch(spark)
+    folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    places = [F.asc_nulls_last(c) for c in parts.columns if c not in ("file", "turn", "step", "content")]
+    in_order = parts.withColumn("file", stored_as(F.col("file"))).repartition("file").sortWithinPartitions("file", "turn", *places)
+    in_order.select("file", "step", "content").write.format("lodestone_files").option("step", "step").mode("append").save(folder)
+    return folder
+
+
 def slots(df: DataFrame, key: str, order: str, name: str, payload: str) -> DataFrame:
     """A null payload is an empty slot."""
     return built(df, key, [name, payload], [order], lambda rows: archives.build_slots([r[payload] for r in rows], [r[name] for r in rows]))
