@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.entries import numbered
 from lodestone.operators.layout import running_offset
+from lodestone.session import checkpointed
 
 _STEM = r"^(.*?[^/])(\.[^./]*)?$"
 
@@ -65,18 +66,19 @@ def allocated(df: DataFrame, name: str, order: Sequence[str], tries: Sequence[Co
     """
     order = list(order)
     named = df.filter(F.col(name).isNotNull())
-    state = _first_of(named, name, order)
+    # each step is written out: the next ones read it several times and would compute it, and all before it, each time
+    state = checkpointed(_first_of(named, name, order))
     settled = state.filter("_is_first").drop("_is_first").withColumn(out, F.col(name))
     left = state.filter("NOT _is_first").drop("_is_first")
-    taken = named.select(F.col(name).alias("_name")).distinct()
+    taken = checkpointed(named.select(F.col(name).alias("_name")).distinct()) if tries else named.select(F.col(name).alias("_name")).distinct()
     for make in tries:
         asked = left.withColumn("_try", make)
         free = asked.join(taken.withColumnRenamed("_name", "_try"), "_try", "left_anti")
-        state = _first_of(free, "_try", order)
+        state = checkpointed(_first_of(free, "_try", order))
         won = state.filter("_is_first").drop("_is_first")
         settled = settled.unionByName(won.withColumn(out, F.col("_try")).drop("_try"))
         taken = taken.union(won.select("_try"))
-        left = left.join(won.select(*order), order, "left_anti")
+        left = checkpointed(left.join(won.select(*order), order, "left_anti"))
     base = tries[-1] if tries else F.col(name)
     head, tail = (F.regexp_extract(base, _STEM, 1), F.regexp_extract(base, _STEM, 2)) if paths else (base, F.lit(""))
     numbers = _suffixed(left.withColumn("_head", head).withColumn("_tail", tail), order, taken)

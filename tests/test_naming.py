@@ -4,6 +4,7 @@ import random
 import re
 
 from lodestone.operators import naming
+from pyspark.sql import functions as F
 
 
 def split(path):
@@ -69,3 +70,11 @@ def test_paths_by_id_position_and_number(spark):
 
 def test_empty(spark):
     assert naming.unique_names(spark.createDataFrame([], "pos long, name string"), "name", ["pos"]).count() == 0
+
+
+def test_steps_are_computed_once(spark):
+    """What a step has settled is written out: the result does not compute the rows again for each step that reads them."""
+    df = spark.range(60).select("id", F.concat(F.lit("d/"), (F.col("id") % 3).cast("string"), F.lit(".bin")).alias("path"), (F.col("id") % 4).alias("ident"))
+    found = naming.unique_paths(df, "path", "ident", "id")
+    assert found._jdf.queryExecution().analyzed().toString().count("Range (") == 1
+    assert found.select("safe_path").distinct().count() == 60
