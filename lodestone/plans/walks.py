@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.codecs import archives
 from lodestone.operators import chains, joins, stream
 from lodestone.plans.catalog import query
-from lodestone.session import scratch, table
+from lodestone.session import scratch, spread, table
 from lodestone.sources import files, ranges, sinks
 
 _CUES = """
@@ -71,7 +71,8 @@ _ROUND = """
 )
 def beam_rounds(spark, sf_dir):
     """From the parts of each supplier, five rounds of moves between parts, three kept."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("state")).agg(F.max("l_quantity").cast("long").alias("score"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("state"), "l_quantity")
+    lines = spread(lines, "grp", "state").groupBy("grp", "state").agg(F.max("l_quantity").cast("long").alias("score"))
     parts = table(spark, sf_dir, "part").select("p_partkey")
     size = parts.agg(F.count("*").alias("n"))
     moves = parts.join(F.broadcast(size)).withColumn("i", F.explode(F.array(*map(F.lit, (1, 2, 3)))))

@@ -19,6 +19,8 @@ CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 PLANNED, COUNTED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 #: Bytes of rows up to which a side that has been computed is broadcast.
 BROADCAST_BYTES = 2 << 20
+#: Rows of a task of ``spread``, about.
+ROWS_A_TASK = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +112,14 @@ def checkpointed(df: DataFrame, by: str | None = None) -> DataFrame:
     return back
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt out by the columns, to so many tasks that what one of them holds does not grow with the rows; for tables whose
+    rows are counted cheaply."""
+    spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // ROWS_A_TASK)), *by)
+
+
 def together(*dfs: DataFrame) -> DataFrame:
     """The rows of checkpointed tables of one schema, in one scan however many they are."""
     first = dfs[0]
