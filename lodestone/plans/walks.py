@@ -195,8 +195,10 @@ def reader_attempts(spark, sf_dir):
 def nested_entries(spark, sf_dir):
     """Banks of texts inside packages."""
     docs = table(spark, sf_dir, "documents").select(F.concat_ws("|", F.concat(F.lit("f"), F.col("doc_id") % 20), "lang").alias("key"), "doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("payload"))
-    banks = sinks.bank(docs, "key", "doc_id", "payload")
-    part = F.split("file", r"\|")
-    packages = sinks.package(banks.select(part[0].alias("key"), F.concat(part[1], F.lit(".awb")).alias("path"), "content"), "key", "path", "content")
-    found = files.nested_entries(packages)
+    folder = sinks.save_parts(sinks.archive_parts(docs, "key", "awb", "doc_id", "payload"))
+    named = docs.select("key", sinks.stored_as(F.col("key")).alias("file")).distinct()
+    part = F.split("key", r"\|")
+    banks = named.join(ranges.manifest(spark, folder), "file").select(part[0].alias("file"), F.concat(part[1], F.lit(".awb")).alias("path"), F.concat(F.lit(folder + "/"), "file").alias("place"), "bytes")
+    packages = sinks.save_parts(sinks.package_parts(banks, "file", "path", "place", "bytes"))
+    found = files.stored_nested(packages, banks.select("file", sinks.stored_as(F.col("file")).alias("stored")).distinct())
     return found.select("file", "path", "depth", F.when(F.col("depth") == 2, F.col("size")).alias("size"), "kind")

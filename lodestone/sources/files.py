@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestone.codecs import adx, archives, media, stream
 from lodestone.codecs import table as tables
@@ -246,9 +247,14 @@ def nested_entries(blobs: DataFrame, most: int = 16) -> DataFrame:
     else:
         if not front.isEmpty():
             raise RuntimeError(f"archives lie deeper than {most} levels")
+    return _places(top, opened, most)
+
+
+def _places(top: DataFrame, opened: DataFrame | None, most: int) -> DataFrame:
+    """(file, path, depth, size, digest, kind): where the entries of opened archives lie below the files on top."""
     schema = "file string, path string, depth int, size long, digest string, kind string"
     if opened is None:
-        return blobs.sparkSession.createDataFrame([], schema)
+        return top.sparkSession.createDataFrame([], schema)
     walk = top.select("file", F.lit("").alias("path"), "digest")
     out = None
     for depth in range(1, most + 1):
@@ -260,4 +266,96 @@ def nested_entries(blobs: DataFrame, most: int = 16) -> DataFrame:
             break
         out = here if out is None else out.union(here)
         walk = here.filter("kind IS NOT NULL").select("file", "path", "digest")
-    return out if out is not None else blobs.sparkSession.createDataFrame([], schema)
+    return out if out is not None else top.sparkSession.createDataFrame([], schema)
+
+
+def _stamped(windows: DataFrame) -> DataFrame:
+    """Windows (place, file_offset, file_size) of stored files with their ``digest`` and ``kind``; a task reads a block at a time."""
+    from lodestone.sources.ranges import READ_BYTES, REGION_BYTES
+
+    ship(windows.sparkSession)
+    dealt = windows.repartition(F.col("place"), (F.col("file_offset") / REGION_BYTES).cast("long")).sortWithinPartitions("place", "file_offset")
+    at = [dealt.columns.index(c) for c in ("place", "file_offset", "file_size")]
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
+        from pyarrow import fs
+
+        for batch in batches:
+            digests, kinds, name, f = [], [], None, None
+            try:
+                for place, begin, size in zip(*[batch.column(i).to_pylist() for i in at]):
+                    if place != name:
+                        if f is not None:
+                            f.close()
+                        system, path = fs.FileSystem.from_uri(place)
+                        name, f = place, system.open_input_file(path)
+                    digest = sha256()
+                    for part in range(0, size, READ_BYTES):
+                        digest.update(f.read_at(min(READ_BYTES, size - part), begin + part))
+                    found = archives.kind_of(f.read_at(min(16, size), begin))
+                    digests.append(digest.hexdigest())
+                    kinds.append(found if found in ("cpk", "afs", "awb") else None)
+            finally:
+                if f is not None:
+                    f.close()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string()), pa.array(kinds, pa.string())], names=[*batch.schema.names, "digest", "kind"])
+
+    return dealt.mapInArrow(over, StructType([*dealt.schema.fields, StructField("digest", StringType()), StructField("kind", StringType())]))
+
+
+def _windows(found: DataFrame) -> DataFrame:
+    """(parent, pos, path, place, file_offset, file_size) of the entries of archives (digest, place, file_offset, file_size, kind) that lie in stored
+    files; headers and indexes are read, and an archive that cannot be read has no entries."""
+    ship(found.sparkSession)
+    schema = "parent string, pos int, path string, place string, file_offset long, file_size long"
+    arrow = to_arrow_schema(found.sparkSession.createDataFrame([], schema).schema)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for digest, place, begin, size, kind in zip(*[c.to_pylist() for c in batch.columns]):
+                system, path = fs.FileSystem.from_uri(place)
+                with system.open_input_file(path) as f:
+                    try:
+                        rows = archives.PARSERS[kind](archives.Ranged(lambda a, n: f.read_at(n, begin + a), size))
+                    except ValueError:
+                        continue
+                for at in range(0, len(rows), ROWS_OUT):
+                    out = []
+                    for r in rows[at : at + ROWS_OUT]:
+                        start = min(r["file_offset"], size)  # as a slice of the archive's bytes ends with them
+                        out.append((digest, r["pos"], r["path"], place, begin + start, min(r["file_size"], size - start)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return found.select("digest", "place", "file_offset", "file_size", "kind").mapInArrow(over, schema)
+
+
+def stored_nested(folder: str, stored: DataFrame, most: int = 16) -> DataFrame:
+    """As ``nested_entries``, of the files of a folder; ``stored`` is (file, stored) with the name of each file there.
+
+    An archive inside another is a window of a stored file, of which its index is read, and payloads are read a block at a time for
+    their digests, so no task holds an archive or a payload.
+    """
+    spark = stored.sparkSession
+    root = folder.rstrip("/") + "/"
+    sizes = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("stored"), F.col("length").alias("file_size"))
+    whole = stored.join(sizes, "stored").select("file", F.concat(F.lit(root), "stored").alias("place"), F.lit(0).cast("long").alias("file_offset"), "file_size")
+    top = checkpointed(_stamped(whole))
+    at = F.min(F.struct("place", "file_offset", "file_size", "kind")).alias("at")
+    once = lambda df: df.filter("kind IS NOT NULL").groupBy("digest").agg(at).select("digest", "at.*")
+    front, opened = once(top), None
+    for _ in range(most):
+        if front.isEmpty():
+            break
+        dealt = front.repartition(F.pmod(F.xxhash64("digest"), F.lit(4096)))
+        got = checkpointed(_stamped(_windows(dealt)))
+        listed = got.select("parent", "path", "pos", "digest", F.col("file_size").alias("size"), "kind")
+        opened = listed if opened is None else opened.union(listed)
+        front = once(got).join(opened.select(F.col("parent").alias("digest")).distinct(), "digest", "left_anti")
+    else:
+        if not front.isEmpty():
+            raise RuntimeError(f"archives lie deeper than {most} levels")
+    return _places(top, opened, most)

@@ -62,21 +62,20 @@ def bank_parts(df: DataFrame, key: str, ident: str, payload: str, step: int = 32
     return heads.union(bodies)
 
 
+#: Bytes of a piece of a stored file that becomes a payload.
+BLOCK = 1 << 16
 #: Multiples on which the payloads of an archive begin, by its kind.
 STEPS = {"cpk": 2048, "afs": 2048, "awb": 32, "acx": 4}
 
 
-def archive_parts(df: DataFrame, key: str, kind: str, order: str, payload: str, name: str | None = None) -> DataFrame:
-    """The pieces, for ``save_parts``, of the same archives as ``package`` (``order`` being the path), ``slots``, ``bank`` and ``pairs`` make.
+def _folded(path: str) -> Column:
+    """Paths as a package orders them."""
+    return F.lower(F.replace(F.col(path), F.lit("\\"), F.lit("/")))
 
-    What stands before and behind the payloads is built from numbers, names and sizes alone; payloads never meet in one place.
-    Rows that are alike in ``order`` are told apart by name and size.
-    """
-    ship(df.sparkSession)
+
+def _around(placed: DataFrame, kind: str) -> DataFrame:
+    """(file, turn, step, content): what stands before and behind the payloads of archives, of rows (file, p0 to p3)."""
     step = STEPS[kind]
-    folded = F.lower(F.replace(F.col(order), F.lit("\\"), F.lit("/"))) if kind == "cpk" else F.lit(None).cast("string")
-    size = F.octet_length(payload) if kind == "afs" else F.coalesce(F.octet_length(payload), F.lit(0))
-    placed = df.select(F.col(key).alias("file"), folded.alias("p0"), F.col(order).alias("p1"), (F.col(name) if name else F.lit(None).cast("string")).alias("p2"), size.alias("p3"), (F.col(payload) if kind == "afs" else F.coalesce(F.col(payload), F.lit(b""))).alias("content"))
 
     def ends(t: pa.Table) -> pa.Table:
         file = t.column("file")[0].as_py()
@@ -101,9 +100,35 @@ def archive_parts(df: DataFrame, key: str, kind: str, order: str, payload: str,
         turn, steps, content = zip(*kept)
         return pa.table({"file": pa.array([file] * len(kept), pa.string()), "turn": pa.array(turn, pa.int32()), "step": pa.array(steps, pa.int32()), "content": pa.array(content, pa.binary())})
 
-    around = placed.drop("content").groupBy("file").applyInArrow(ends, "file string, turn int, step int, content binary")
+    return placed.select("file", "p0", "p1", "p2", "p3").groupBy("file").applyInArrow(ends, "file string, turn int, step int, content binary")
+
+
+def archive_parts(df: DataFrame, key: str, kind: str, order: str, payload: str, name: str | None = None) -> DataFrame:
+    """The pieces, for ``save_parts``, of the same archives as ``package`` (``order`` being the path), ``slots``, ``bank`` and ``pairs`` make.
+
+    What stands before and behind the payloads is built from numbers, names and sizes alone; payloads never meet in one place.
+    Rows that are alike in ``order`` are told apart by name and size.
+    """
+    ship(df.sparkSession)
+    step = STEPS[kind]
+    folded = _folded(order) if kind == "cpk" else F.lit(None).cast("string")
+    size = F.octet_length(payload) if kind == "afs" else F.coalesce(F.octet_length(payload), F.lit(0))
+    placed = df.select(F.col(key).alias("file"), folded.alias("p0"), F.col(order).alias("p1"), (F.col(name) if name else F.lit(None).cast("string")).alias("p2"), size.alias("p3"), (F.col(payload) if kind == "afs" else F.coalesce(F.col(payload), F.lit(b""))).alias("content"))
+
     bodies = placed.withColumn("turn", F.lit(1)).withColumn("step", F.lit(step))
-    return bodies.filter("content IS NOT NULL").unionByName(around, allowMissingColumns=True)
+    return bodies.filter("content IS NOT NULL").unionByName(_around(placed, kind), allowMissingColumns=True)
+
+
+def package_parts(df: DataFrame, key: str, path: str, place: str, size: str) -> DataFrame:
+    """The pieces, for ``save_parts``, of packages whose payloads are stored files: ``place`` says where and ``size`` how long. A payload
+    is carried in blocks, so no task holds a stored file."""
+    ship(df.sparkSession)
+    placed = df.select(F.col(key).alias("file"), _folded(path).alias("p0"), F.col(path).alias("p1"), F.lit(None).cast("string").alias("p2"), F.col(size).cast("long").alias("p3"), F.col(place).alias("place"))
+    last = F.greatest(F.lit(0), F.ceil(F.col("p3") / BLOCK) - 1)
+    blocks = placed.withColumn("p4", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))).withColumn("at", F.col("p4") * BLOCK)
+    read = ranges.payloads(blocks.withColumn("length", F.least(F.lit(BLOCK), F.col("p3") - F.col("at"))), "place", "at", "length", "content")
+    bodies = read.withColumn("turn", F.lit(1)).withColumn("step", F.when(F.col("p4") == 0, STEPS["cpk"]).otherwise(1)).drop("place", "at", "length")
+    return bodies.unionByName(_around(placed, "cpk"), allowMissingColumns=True)
 
 
 def stored_as(file: Column) -> Column:
