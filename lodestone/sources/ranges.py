@@ -49,6 +49,13 @@ class ChunkRange(InputPartition):
     size: int
 
 
+@dataclass
+class ChunkTask(InputPartition):
+    """Neighbouring ranges, each read by itself, that one task reads."""
+
+    ranges: list[ChunkRange]
+
+
 def _header(raw: bytes) -> tuple | None:
     """(magic, size, payload offset, padding, channel, kind, time, rate) of a chunk header that can be one."""
     from lodestone.codecs.stream import CHUNK as HEADER
@@ -116,6 +123,7 @@ class ChunkReader(DataSourceReader):
     def __init__(self, options):
         self.root = options["path"]
         self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT_BYTES)))
+        self.task = int(options.get("taskbytes", options.get("taskBytes", 0)))
         self.payload = str(options.get("payload", "true")).lower() != "false"
         self.only: dict[str, set] = {}
         self.low, self.high = 0, None
@@ -138,7 +146,19 @@ class ChunkReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[ChunkRange]:
+    def partitions(self) -> list[ChunkRange] | list[ChunkTask]:
+        if not self.task:
+            return self.splits()
+        tasks, held = [], 0
+        for part in self.splits():
+            if not tasks or held + part.end - part.begin > self.task:
+                tasks.append(ChunkTask([]))
+                held = 0
+            tasks[-1].ranges.append(part)
+            held += part.end - part.begin
+        return tasks
+
+    def splits(self) -> list[ChunkRange]:
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(self.root)
@@ -158,19 +178,21 @@ class ChunkReader(DataSourceReader):
         values = {"magic": magic, "channel": channel, "payload_type": kind}
         return all(values[c] in some for c, some in self.only.items())
 
-    def read(self, partition: ChunkRange | None) -> Iterator[tuple]:
+    def read(self, partition: ChunkRange | ChunkTask | None) -> Iterator[tuple]:
         if partition is None:  # Spark's one partition of a folder without files
             return
         from pyarrow import fs
 
         system, _ = fs.FileSystem.from_uri(self.root)
-        with system.open_input_file(partition.path) as f:
-            for row in chunks(lambda at, n: f.read_at(min(n, partition.size - at), at), partition, self.wanted, self.payload):
-                yield (self.scheme + row[0], *row[1:])
+        for part in partition.ranges if isinstance(partition, ChunkTask) else [partition]:
+            with system.open_input_file(part.path) as f:
+                for row in chunks(lambda at, n: f.read_at(min(n, part.size - at), at), part, self.wanted, self.payload):
+                    yield (self.scheme + row[0], *row[1:])
 
 
 class ChunkSource(DataSource):
-    """Chunks of multiplexed files. Options: ``splitBytes``, and ``payload`` = false for headers only."""
+    """Chunks of multiplexed files. Options: ``splitBytes``, ``taskBytes`` up to which neighbouring splits share a task (a split is a task without it),
+    and ``payload`` = false for headers only."""
 
     @classmethod
     def name(cls) -> str:
