@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from lodestone.codecs import archives
 from lodestone.operators import chains, joins, stream
 from lodestone.plans.catalog import query
-from lodestone.session import scratch, spread, table
+from lodestone.session import spread, table
 from lodestone.sources import files, ranges, sinks
 
+#: Bytes of the small splits of chunk files that one task reads.
+TASK_BYTES = 4 << 20
+
 _CUES = """
     cue AS (SELECT CAST(c_custkey AS BIGINT) AS k, CAST(c_custkey AS BIGINT) % 100 AS p FROM customer),
     act AS (SELECT k AS node, 0 AS place, CAST(NULL AS BIGINT) AS w, CAST(NULL AS BIGINT) AS s, k + 1 AS target FROM cue WHERE p < 69
@@ -101,14 +104,11 @@ def key_depths(spark, sf_dir):
 def _media(spark, sf_dir) -> str:
     """A folder of chunk files of all events, written by the sink: one file a hundred users."""
     ranges.register(spark)
-    folder = scratch(spark)
-    folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
     kind = F.when(F.col("event_type") == "click", "@SFV").when(F.col("event_type") == "view", "@SFA").otherwise("@SBT")
     events = table(spark, sf_dir, "events").select(
         F.concat(F.lit("u"), (F.col("user_id") / 100).cast("long"), F.lit(".bin")).alias("file"), kind.alias("magic"), (F.col("user_id") % 3).cast("int").alias("channel"), F.col("event_id").alias("frame_time"), F.encode("props", "utf-8").alias("payload")
     )
-    sinks.stream_file(events, "file", ["frame_time"]).write.format("lodestone_files").mode("append").save(folder)
-    return folder
+    return sinks.save_parts(sinks.stream_parts(events, "file", ["frame_time"]), as_named=True)
 
 
 @query(
@@ -117,14 +117,14 @@ def _media(spark, sf_dir) -> str:
 )
 def chunks_filtered(spark, sf_dir):
     """Chunk files of all events, read in splits of 64 KiB with filters that the reader applies to headers."""
-    found = spark.read.format("lodestone_chunks").option("splitBytes", 1 << 16).load(_media(spark, sf_dir)).filter("magic = '@SFA' AND channel = 1")
+    found = spark.read.format("lodestone_chunks").option("splitBytes", 1 << 16).option("taskBytes", TASK_BYTES).load(_media(spark, sf_dir)).filter("magic = '@SFA' AND channel = 1")
     return found.select(F.element_at(F.split("file", "/"), -1).alias("file"), "frame_time", "channel", "payload_size", F.decode("payload", "utf-8").alias("props"))
 
 
 @query("payload_ranges", "SELECT event_id AS frame_time, props FROM events WHERE event_id % 97 = 0")
 def payload_ranges(spark, sf_dir):
     """Headers of all chunks first, then the payloads of about one in a hundred by their ranges."""
-    heads = spark.read.format("lodestone_chunks").option("splitBytes", 1 << 16).option("payload", "false").load(_media(spark, sf_dir))
+    heads = spark.read.format("lodestone_chunks").option("splitBytes", 1 << 16).option("taskBytes", TASK_BYTES).option("payload", "false").load(_media(spark, sf_dir))
     wanted = heads.filter("magic <> 'CRID' AND frame_time % 97 = 0").select("file", (F.col("chunk_offset") + 32).alias("file_offset"), F.col("payload_size").alias("file_size"), "frame_time")
     return ranges.payloads(wanted).select("frame_time", F.decode("payload", "utf-8").alias("props"))
 

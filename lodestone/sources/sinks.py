@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lodestone.codecs import archives, compress, stream
@@ -136,8 +137,9 @@ def stored_as(file: Column) -> Column:
     return F.when(file.isNull(), "none").otherwise(F.sha2(file, 256))
 
 
-def save_parts(parts: DataFrame) -> str:
-    """Writes pieces (file, turn, p0 and so on, step, content) as files of a scratch folder, which it returns.
+def save_parts(parts: DataFrame, as_named: bool = False) -> str:
+    """Writes pieces (file, turn, p0 and so on, step, content) as files of a scratch folder, which it returns; their names there are
+    those of ``stored_as``, or their own.
 
     A file is written by one task, front to back, which holds a piece at a time.
     """
@@ -146,7 +148,7 @@ def save_parts(parts: DataFrame) -> str:
     folder = scratch(spark)
     folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
     places = [F.asc_nulls_last(c) for c in parts.columns if c not in ("file", "turn", "step", "content")]
-    in_order = parts.withColumn("file", stored_as(F.col("file"))).repartition("file").sortWithinPartitions("file", "turn", *places)
+    in_order = (parts if as_named else parts.withColumn("file", stored_as(F.col("file")))).repartition("file").sortWithinPartitions("file", "turn", *places)
     in_order.select("file", "step", "content").write.format("lodestone_files").option("step", "step").mode("append").save(folder)
     return folder
 
@@ -175,20 +177,48 @@ def subtitle_file(df: DataFrame, key: str, order: str) -> DataFrame:
     return built(df, key, cols, [order], stream.build_subtitles)
 
 
+def _stream_head(totals: dict[tuple[str, int], int]) -> bytes:
+    """The directory before the chunks, by the bytes of each (magic, channel)."""
+    listed = [["", 0, 0, 0]] + [[f"{m}_{c}", int.from_bytes(m.encode("latin-1"), "big"), c, totals[m, c]] for m, c in sorted(totals)]
+    cols = [tables.Column("filename", 0xA, 0x50), tables.Column("stmid", 0x4, 0x50), tables.Column("chno", 0x2, 0x50), tables.Column("filesize", 0x4, 0x50)]
+    return stream.build_chunk("CRID", tables.build(tables.Table("CRIUSF_DIR_STREAM", cols, listed)), kind="header")
+
+
 def stream_file(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Multiplexed chunks of (magic, channel, frame_time, payload) rows behind a directory of their streams."""
 
     def build(rows: list[dict]) -> bytes:
-        ids = sorted({(r["magic"], r["channel"]) for r in rows})
-        total = {k: sum(len(r["payload"]) for r in rows if (r["magic"], r["channel"]) == k) for k in ids}
-        listed = [["", 0, 0, 0]] + [[f"{m}_{c}", int.from_bytes(m.encode("latin-1"), "big"), c, total[m, c]] for m, c in ids]
-        cols = [tables.Column("filename", 0xA, 0x50), tables.Column("stmid", 0x4, 0x50), tables.Column("chno", 0x2, 0x50), tables.Column("filesize", 0x4, 0x50)]
-        head = stream.build_chunk("CRID", tables.build(tables.Table("CRIUSF_DIR_STREAM", cols, listed)), kind="header")
-        return head + b"".join(stream.build_chunk(r["magic"], r["payload"], r["channel"], time=r["frame_time"]) for r in rows)
+        totals: dict[tuple[str, int], int] = {}
+        for r in rows:
+            totals[r["magic"], r["channel"]] = totals.get((r["magic"], r["channel"]), 0) + len(r["payload"])
+        return _stream_head(totals) + b"".join(stream.build_chunk(r["magic"], r["payload"], r["channel"], time=r["frame_time"]) for r in rows)
 
     return built(df, key, ["magic", "channel", "frame_time", "payload"], order, build)
 
 
+def stream_parts(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The pieces, for ``save_parts``, of the same files as ``stream_file``: a chunk is a piece, and the directory is built from sums."""
+    ship(df.sparkSession)
+
+    def head(t: pa.Table) -> pa.Table:
+        totals = {(r["magic"], r["channel"]): r["n"] for r in t.to_pylist()}
+        return pa.table({"file": t.column("file").slice(0, 1), "turn": pa.array([0], pa.int32()), "step": pa.array([1], pa.int32()), "content": pa.array([_stream_head(totals)], pa.binary())})
+
+    def chunk(batches):
+        for batch in batches:
+            magic, channel, time, payload = (batch.column(c).to_pylist() for c in ("magic", "channel", "frame_time", "payload"))
+            made = [stream.build_chunk(m, p, c, time=t) for m, c, t, p in zip(magic, channel, time, payload)]
+            kept = [i for i, n in enumerate(batch.schema.names) if n not in ("magic", "channel", "frame_time", "payload")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(made, pa.binary())], names=[*[batch.schema.names[i] for i in kept], "content"])
+
+    sums = df.groupBy(F.col(key).alias("file"), "magic", "channel").agg(F.sum(F.octet_length("payload")).alias("n"))
+    heads = sums.groupBy("file").applyInArrow(head, "file string, turn int, step int, content binary")
+    rows = df.select(F.col(key).alias("file"), F.lit(1).alias("turn"), F.lit(1).alias("step"), *[F.col(c).alias(f"p{i}") for i, c in enumerate(order)], "magic", "channel", "frame_time", "payload")
+    fields = [f for f in rows.schema.fields if f.name not in ("magic", "channel", "frame_time", "payload")]
+    bodies = rows.mapInArrow(chunk, StructType([*fields, StructField("content", BinaryType())]))
+    return bodies.unionByName(heads, allowMissingColumns=True)
+
+
 def wave_file(df: DataFrame, key: str, order: str, sample: str, rate: int) -> DataFrame:
     """Wave files of 16-bit samples in order, one channel."""
     import struct

@@ -120,3 +120,28 @@ def test_a_retried_task_is_written_once(tmp_path):
     writer.commit([writer.write(iter(rows)), None])
     assert sorted(n for n in os.listdir(tmp_path / "out") if not n.startswith("lodestone-manifest-")) == ["a", "b"]
     assert (tmp_path / "out" / "b").read_bytes() == b""
+
+
+def test_chunk_files_by_pieces(spark):
+    """A chunk is a piece: files have the bytes that the builder gives, and no task holds one."""
+    from lodestone.sources import files, sinks
+    from pyspark.sql import functions as F
+
+    rows = [(f"f{i % 3}.bin", ("@SFV", "@SFA")[i % 2], i % 4, 1000 - i, b"x" * (i % 70)) for i in range(200)]
+    df = spark.createDataFrame(rows, "file string, magic string, channel int, frame_time long, payload binary")
+    folder = sinks.save_parts(sinks.stream_parts(df, "file", ["frame_time"]), as_named=True)
+    name = F.element_at(F.split("file", "/"), -1)
+    got = {r.file: bytes(r.content) for r in files.files(spark, folder, "*.bin").select(name.alias("file"), "content").collect()}
+    assert got == {r.file: bytes(r.content) for r in sinks.stream_file(df, "file", ["frame_time"]).collect()}
+
+
+def test_small_splits_share_a_task(spark, tmp_path):
+    from lodestone.codecs import stream
+    from lodestone.sources import ranges
+
+    for i in range(3):
+        (tmp_path / f"{i}.bin").write_bytes(b"".join(stream.build_chunk("@SFA", bytes([65 + i]) * 40, 1, time=t) for t in range(400)))
+    ranges.register(spark)
+    found = spark.read.format("lodestone_chunks").option("splitBytes", 1 << 10).option("taskBytes", 1 << 20).load(f"file://{tmp_path}")
+    assert found.rdd.getNumPartitions() == 1
+    assert sorted((r.file[-5:], r.frame_time, bytes(r.payload)) for r in found.collect()) == [(f"{i}.bin", t, bytes([65 + i]) * 40) for i in range(3) for t in range(400)]
