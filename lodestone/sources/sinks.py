@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,18 +17,37 @@ from lodestone.codecs import table as tables
 from lodestone.operators import layout
 from lodestone.session import scratch, ship
 from lodestone.sources import ranges
+from lodestone.sources.files import BYTES_OUT, ROWS_OUT
 
+#: Rows that become Python objects at a time.
+ROWS_IN = 256
 
-def built(df: DataFrame, key: str, columns: list[str], order: list[str], build: Callable[[list[dict]], bytes]) -> DataFrame:
-    """(file, content): ``build`` gets a file's rows as dicts, in order. A file has to fit in memory."""
-    ship(df.sparkSession)
 
-    def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by([(c, "ascending") for c in order])
-        rows = t.to_pylist()
-        return pa.table({"file": pa.array([rows[0][key]], pa.string()), "content": pa.array([build(rows)], pa.binary())})
+def built(df: DataFrame, key: str, columns: list[str], order: list[str], build: Callable[[list[dict]], bytes]) -> DataFrame:
+    """(file, content): ``build`` gets a file's rows as dicts, in order. A file has to fit in memory.
 
-    return df.select(*dict.fromkeys([key, *columns, *order])).groupBy(key).applyInArrow(one, "file string, content binary")
+    Spark sorts the rows of a task by file, so files are cut from one stream of batches: a call for each group would cost more
+    than the building of small files. Small files leave together.
+    """
+    ship(df.sparkSession)
+    schema = pa.schema([("file", pa.string()), ("content", pa.binary())])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for at in range(0, batch.num_rows, ROWS_IN) for row in batch.slice(at, ROWS_IN).to_pylist())
+        names, contents, size = [], [], 0
+        for name, of in itertools.groupby(rows, lambda row: row[key]):
+            names.append(name)
+            contents.append(build(list(of)))
+            size += len(contents[-1])
+            if size >= BYTES_OUT or len(names) >= ROWS_OUT:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], schema=schema)
+                names, contents, size = [], [], 0
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], schema=schema)
+
+    chosen = df.select(*dict.fromkeys([key, *columns, *order]))
+    in_order = chosen.repartition(key).sortWithinPartitions(key, *[F.asc_nulls_last(c) for c in order])
+    return in_order.mapInArrow(over, "file string, content binary")
 
 
 def package(df: DataFrame, key: str, path: str, payload: str) -> DataFrame:
