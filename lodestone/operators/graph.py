@@ -16,6 +16,9 @@ from pyspark.sql.window import Window
 
 from lodestone.session import BROADCAST_BYTES, checkpointed, discard
 
+#: Steps that doubling follows in a large table before nodes are taken out of walks that are longer.
+LONG = 16
+
 
 def distances(edges: DataFrame, roots: DataFrame, most: int | None = None, skip: Sequence[str] = ()) -> DataFrame:
     """(root, node, distance): least number of edges from each root. ``edges`` is (src, dst[, kind]), ``roots`` is
@@ -62,18 +65,20 @@ def _keys(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if _few(df, rows) else df.distinct()
 
 
-def _jumped(steps: DataFrame) -> tuple[DataFrame, int, int]:
+def _jumped(steps: DataFrame, most: int | None = None) -> tuple[DataFrame, int, int, bool]:
     """(node, to, low) of a forest of single steps (node, to): where walks end, and the least node on the way behind the first;
-    its rows, and how many of them run into rings.
+    its rows, how many of them run into rings, and whether all is done, which may take over ``most`` steps.
 
     A step doubles with each round. A walk ends at a node without a step of its own, or, once it has run into a ring, at
     some node of it. A node that is the least on its own way lies on a ring that has been passed as a whole. When
     the later half of each walk that goes on has such a node as its least, all of them are on their rings.
     """
-    now, most, _ = _counted(steps.select("node", "to", F.col("to").alias("low")))
-    length, moved, passed = 1, most, 0
-    while length < most and moved:
-        on = _side(now.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low")), most)
+    now, rows, _ = _counted(steps.select("node", "to", F.col("to").alias("low")))
+    length, moved, passed = 1, rows, 0
+    while length < rows and moved:
+        if most is not None and length >= most:
+            return now, rows, moved, False
+        on = _side(now.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low")), rows)
         after = now.join(on, "to", "left").select("node", F.coalesce("_to", "to").alias("to"), F.least("low", "_low").alias("low"), F.col("_low").alias("_later"))
         before, (after, _, (moved, rings)) = (moved, passed), _counted(after, F.col("_later").isNotNull(), F.col("low") == F.col("node"))
         discard(now)
@@ -83,7 +88,50 @@ def _jumped(steps: DataFrame) -> tuple[DataFrame, int, int]:
             least = after.filter("low = node").select(F.col("node").alias("_later"))
             if after.filter("_later IS NOT NULL").select("_later").distinct().join(_side(least, rings), "_later", "left_anti").isEmpty():
                 break
-    return now, most, moved
+    return now, rows, moved, True
+
+
+def _followed(steps: DataFrame, rows: int) -> tuple[DataFrame, int, DataFrame | None, int]:
+    """(node, to): where the walks of single steps (node, to) end, without those that run into rings; (node, component) of the
+    rings, a component being named by a node of its own; and the rows of both.
+
+    Doubling sends all rows in each round. Where they are too many to be broadcast and walks are long, nodes are taken out first:
+    by a coin for each node and round, one of tails goes if its step leads to one of heads, and steps that led to it lead on. That
+    is a quarter of the nodes, of which the next round has no more to send. Once walks are followed, what was taken out
+    ends where the node ends that it led to, and lies on a ring if a node on that ring led to it.
+    """
+    few, levels = BROADCAST_BYTES // 32, []
+    ends, n, moved, done = _jumped(steps, LONG if rows > few else None)
+    if not done:
+        discard(ends)
+        now, n, before = steps, rows, 2 * rows
+        while n > few and 8 * n <= 7 * before:  # rings of one node stay
+            heads = lambda c, i=len(levels): F.xxhash64(F.lit(i), F.col(c)) % 2 == 0
+            goes = ~heads("node") & heads("to")
+            gone = now.filter(goes).select(F.col("node").alias("to"), F.col("to").alias("_to"))
+            led = now.filter(~heads("to")).join(gone, "to", "left").select("node", F.coalesce("_to", "to").alias("to"), F.when(F.col("_to").isNotNull(), F.col("to")).alias("by"))
+            rest = now.filter(heads("node") & heads("to")).select("node", "to", F.lit(None).cast(now.schema["node"].dataType).alias("by"))
+            before, (after, n, _) = n, _counted(led.union(rest))
+            levels.append((now.filter(goes), heads("node"), after))
+            now = after.select("node", "to")
+        ends, n, moved, _ = _jumped(now)
+    ring, n_ring = None, 0
+    if moved:
+        ring, n_ring, _ = _counted(ends.join(_keys(ends.select(F.col("to").alias("node")), n), "node", "left_semi").select("node", F.col("low").alias("component")))
+        on = _side(ring.select(F.col("node").alias("to"), F.lit(True).alias("_on")), n_ring)
+        ends, n, _ = _counted(ends.join(on, "to", "left").select("node", F.when(F.col("_on").isNull(), F.col("to")).alias("to")))
+    ends = ends.select("node", "to")
+    for gone, heads, after in reversed(levels):
+        known = ends.filter(heads).select(F.col("node").alias("to"), F.col("to").alias("_end"), F.lit(True).alias("_known"))
+        more, n_more, _ = _counted(gone.join(known, "to", "left").select("node", F.when(F.col("_known"), F.col("_end")).otherwise(F.col("to")).alias("to")))
+        ends, n = ends.union(more), n + n_more
+        if n_ring:
+            passed, n_more, _ = _counted(after.filter("by IS NOT NULL").join(_side(ring, n_ring), "node").select(F.col("by").alias("node"), "component"))
+            ring, n_ring = ring.union(passed), n_ring + n_more
+    if moved:
+        ends, n, _ = _counted(ends.filter("to IS NOT NULL"))
+    discard(*[after for *_, after in levels])
+    return ends, n, ring, n_ring
 
 
 def _below(marked: DataFrame, steps: DataFrame) -> DataFrame:
@@ -131,14 +179,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
         ways = left.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("to"))
         steps, n_steps, _ = _counted(ways.filter("n = 1").select("node", "to"))
         if n_steps:
-            (ends, n_ends, in_rings), before = _jumped(steps), (left, n)
+            (ends, n_ends, ring, n_ring), before = _followed(steps, n_steps), (left, n)
             kept = left.join(_side(steps.select(F.col("node").alias("src")), n_steps), "src", "left_anti")
-            if in_rings:
-                ring, n_ring, _ = _counted(ends.join(_keys(ends.select(F.col("to").alias("node")), n_ends), "node", "left_semi").select("node", F.col("low").alias("component")))
+            if n_ring:
                 settled.append((ring, n_ring))
-                ends, n_ends, _ = _counted(ends.join(_side(ring.select(F.col("node").alias("to")), n_ring), "to", "left_anti").select("node", "to"))
                 gone = steps.join(_side(ends.select("node"), n_ends), "node", "left_anti").select("node")  # on rings or on the way to one
-                kept = kept.join(_side(gone.select(F.col("node").alias("dst")), in_rings), "dst", "left_anti")
+                kept = kept.join(_side(gone.select(F.col("node").alias("dst")), n_steps - n_ends), "dst", "left_anti")
             contracted.append((*before, steps, n_steps, ends, n_ends))
             to = ends.select(F.col("node").alias("dst"), F.col("to").alias("_to"))
             left, n, _ = _counted(kept.join(_side(to, n_ends), "dst", "left").select("src", F.coalesce("_to", "dst").alias("dst")).filter("src <> dst").distinct())

@@ -54,6 +54,35 @@ def test_rings_with_tails_and_random_walks(spark, monkeypatch, kind, most):
     assert dict(graph.strong_components(df).collect()) == want
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_nodes_taken_out_of_long_walks_come_back(spark, monkeypatch, kind):
+    """Rings, tails and chains, some of which are taken out as a whole but for one node."""
+    monkeypatch.setattr(graph, "BROADCAST_BYTES", 32 * 20)
+    monkeypatch.setattr(graph, "LONG", 2)
+    rng, to = random.Random(11), {}
+    for i, (ring, tail) in enumerate([(2, 0), (2, 40), (90, 70), (3, 3), (1, 0), (40, 0)]):
+        to |= tailed(rng, ring, tail, 1000 * i, i % 2)
+    to |= {20_000 + n: 20_000 + rng.randrange(n) for n in range(1, 80)} | {30_000 + n: 30_001 + n for n in range(90)}
+    df, want = graph_of(spark, to, kind)
+    assert dict(graph.strong_components(df).collect()) == want
+    ends, n, ring, n_ring = graph._followed(df.filter("src <> dst").toDF("node", "to"), len(to))
+    assert {r.node for r in ring.collect()} == {n for n in want if list(want.values()).count(want[n]) > 1} and ring.count() == n_ring
+    got = {r.node: r.to for r in ends.collect()}
+    text = (lambda n: f"n{n:06}") if kind == "string" else int
+    assert len(got) == n and got.items() >= {text(20_000 + n): text(20_000) for n in range(1, 80)}.items() and all(got[text(30_000 + n)] == text(30_090) for n in range(90))
+
+
+def test_long_walks_send_less_than_by_doubling(spark, monkeypatch):
+    """Rows on the larger side of a join shrink with the rounds: of a ring, less than half of what doubling writes."""
+    monkeypatch.setattr(graph, "BROADCAST_BYTES", 32 * 200)
+    sizes, real = [], graph._counted
+    monkeypatch.setattr(graph, "_counted", lambda df, *c: (lambda out: (sizes.append(out[1]), out)[1])(real(df, *c)))
+    ring = spark.range(4000).selectExpr("id AS node", "(id + 1) % 4000 AS to")
+    ends, n, found, n_ring = graph._followed(ring, 4000)
+    assert (n, n_ring, found.distinct().count(), found.select("component").distinct().count()) == (0, 4000, 4000, 1)
+    assert sum(1 for x in sizes if x > 3000) <= 12
+
+
 def test_small_rings_take_few_rounds(spark, monkeypatch):
     """As many as the longest ring asks for, not the whole table."""
     steps, real = [], graph.checkpointed
@@ -66,7 +95,7 @@ def test_small_rings_take_few_rounds(spark, monkeypatch):
 def test_tails_are_cut_before_walks_are_followed(spark, monkeypatch):
     """A ring whose nodes have tails in and out is followed once."""
     walks, real = [], graph._jumped
-    monkeypatch.setattr(graph, "_jumped", lambda steps: (walks.append(1), real(steps))[1])
+    monkeypatch.setattr(graph, "_jumped", lambda steps, *a: (walks.append(1), real(steps, *a))[1])
     edges = spark.range(400).selectExpr("id AS src", "(id + 1) % 400 AS dst").union(spark.range(1, 100).selectExpr("IF(id % 2 = 0, -id, id)", "IF(id % 2 = 0, id, -id)"))
     assert sorted(r.node for r in graph.on_cycles(edges).collect()) == list(range(400)) and len(walks) == 1
 
