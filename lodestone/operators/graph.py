@@ -219,16 +219,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
         # an end that no other component member was known of is one now
         new = reached.select(F.col("component").alias("node"), "component").distinct().join(_side(known.select("node"), n_known), "node", "left_anti")
         known = known.union(reached).union(new)
-    all_ = checkpointed(nodes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    all_, _, (n_components,) = _counted(nodes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), F.col("component") == F.col("node"))
     least = all_.groupBy("component").agg(F.min("node").alias("_least"))
-    return all_.join(least, "component").select("node", F.col("_least").alias("component"))
+    return all_.join(_side(least, n_components), "component").select("node", F.col("_least").alias("component"))
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """(node): nodes that reach themselves."""
-    found = checkpointed(strong_components(edges))
-    shared = found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
-    return found.join(shared, "component").select("node").union(edges.filter("src = dst").select(F.col("src").alias("node"))).distinct()
+    """(node): nodes that reach themselves. A component is named by its least node, so all others in it bear another name than their own."""
+    shared = strong_components(edges).filter("node <> component").select(F.explode(F.array("node", "component")).alias("node"))
+    return shared.union(edges.filter("src = dst").select(F.col("src").alias("node"))).distinct()
 
 
 def nearest_names(reach: DataFrame, names: DataFrame) -> DataFrame:

@@ -111,3 +111,12 @@ def test_null_ends_and_repeated_edges(spark):
     assert sorted(map(tuple, graph.strong_components(edges).collect())) == [(1, 1), (2, 1), (3, 3), (4, 4)]
     assert graph.strong_components(edges.limit(0)).count() == 0
     assert graph.strong_components(edges.filter("src = 3")).collect() == [(3, 3)]
+
+
+def test_one_large_component_is_no_hot_key(spark):
+    """Neither components nor nodes on cycles are dealt out by component while there are few of them; nodes on their own loop count, single ones don't."""
+    edges = spark.createDataFrame([(n, (n + 1) % 50) for n in range(50)] + [(60, 61), (61, 60), (70, 70), (80, 0), (1, 90), (70, 60), (None, None)], "src long, dst long")
+    found = graph.on_cycles(edges)
+    assert sorted(r.node for r in found.collect()) == [*range(50), 60, 61, 70]
+    assert "rightHint=(strategy=broadcast)" in graph.strong_components(edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
