@@ -118,7 +118,7 @@ def _followed(steps: DataFrame, rows: int) -> tuple[DataFrame, int, DataFrame |
     ring, n_ring = None, 0
     if moved:
         ring, n_ring, _ = _counted(ends.join(_keys(ends.select(F.col("to").alias("node")), n), "node", "left_semi").select("node", F.col("low").alias("component")))
-        on = _side(ring.select(F.col("node").alias("to"), F.lit(True).alias("_on")), n_ring)
+        on = _side(ring.select(F.col("node").alias("to"), F.lit(1).alias("_on")), n_ring)
         ends, n, _ = _counted(ends.join(on, "to", "left").select("node", F.when(F.col("_on").isNull(), F.col("to")).alias("to")))
     ends = ends.select("node", "to")
     for gone, heads, after in reversed(levels):
